@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waymark.functions import cells, geo
-from waymark.operators.windows import WindowSet, match_times, shape_chips
-
-CELLS_PER_SEGMENT = 64  # a longer segment looks at a coarser grid level instead, with the same result
+from waymark.functions import geo
+from waymark.operators.skew import salted_join
+from waymark.operators.windows import WindowSet, grid_probes, match_times, multi_level_chips
 
 
 def segments_of(tracks: DataFrame, ring: str = "points", track: str = "track") -> DataFrame:
@@ -37,21 +36,9 @@ def tracks_meeting_shapes(segments: DataFrame, ws: WindowSet, track: str = "trac
     box = _segment_box(s)
     if ws.envelope:
         segments = segments.filter(geo.boxes_meet(box, [F.lit(v) for v in ws.envelope]))
-    grid_levels = sorted({0, *ws.levels})
-    coarser = F.filter(F.array(*[F.lit(g) for g in grid_levels]), lambda g: g <= F.col("level"))
-    chips = shape_chips(ws.geoms.withColumn("_grid", F.explode(coarser)), F.col("_grid"), F.col("level"))
-
-    def probe(own_level: int) -> Column:
-        usable = [g for g in grid_levels if g <= own_level]
-        level = F.lit(usable[0])
-        for g in usable[1:]:
-            level = F.when(cells.n_box_cells(*box, g) <= CELLS_PER_SEGMENT, F.lit(g)).otherwise(level)
-        start_x, start_y = cells.cell_x(s[0], level), cells.cell_y(s[1], level)
-        return F.transform(cells.box_cells(*box, level), lambda c: F.struct(
-            cells.cell_key(F.lit(own_level * 32) + level, c["cx"], c["cy"]).alias("key"),
-            ((c["cx"] == start_x) & (c["cy"] == start_y)).alias("holds_start")))
-
-    keyed = segments.withColumn("_p", F.explode(F.concat(*[probe(lv) for lv in ws.levels]))).select("*", "_p.key", "_p.holds_start").drop("_p")
+    chips = multi_level_chips(ws)
+    keyed = segments.withColumn("_p", F.explode(grid_probes(box, ws.levels, (s[0], s[1])))).select(
+        "*", "_p.key", "_p.holds_start").drop("_p")
     # a cell wholly inside counts only for the segment's own start: any other way in crosses an edge,
     # and that crossing lies in a boundary cell the segment also looks at
     in_polygon = (
@@ -59,9 +46,9 @@ def tracks_meeting_shapes(segments: DataFrame, ws: WindowSet, track: str = "trac
         | F.exists(F.coalesce("near", F.array().cast(geo.EDGE_TYPE)), lambda e: geo.segment_crosses_edge(s, e))
     )
     shape_box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
-    polygons = F.broadcast(ws.geoms.filter(F.col("edges").isNotNull()).select("geom_id", F.lit(True).alias("_poly")))
+    polygons = ws.geoms.filter(F.col("edges").isNotNull()).select("geom_id", F.lit(True).alias("_poly"))
     return (
-        keyed.join(F.broadcast(chips) if ws.small else chips, "key")
+        (keyed.join(F.broadcast(chips), "key") if ws.small else salted_join(keyed, chips, ["key"], ["x1", "y1", "x2", "y2"]))
         .join(polygons, "geom_id", "left")
         .filter(geo.segment_meets_box(s, shape_box) & (F.col("_poly").isNull() | in_polygon))
         .select(track, "geom_id").distinct()

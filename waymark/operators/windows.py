@@ -222,9 +222,9 @@ def shape_test(shape: Shape, lon: Column, lat: Column, mode: str = "exact") -> C
 
 def _match_shapes(features: DataFrame, ws: WindowSet, lon: str, lat: str, mode: str, fid: str) -> DataFrame:
     x, y = F.col(lon), F.col(lat)
-    if len(ws.shapes) == 1:
+    if len(ws.shapes) == 1 and mode != "flag":
         return features.filter(shape_test(ws.shapes[0], x, y, mode)).withColumn("geom_id", F.lit(ws.shapes[0].geom_id))
-    if mode != "loose" and ws.envelope:
+    if mode == "exact" and ws.envelope:
         features = features.filter(geo.in_box(x, y, ws.envelope))
     chips = shape_chips(ws.geoms)
     keyed = features.withColumn("key", _point_keys(x, y, ws.levels))
@@ -232,12 +232,15 @@ def _match_shapes(features: DataFrame, ws: WindowSet, lon: str, lat: str, mode:
         joined = keyed.join(F.broadcast(chips), "key")
     else:
         joined = salted_join(keyed, chips, ["key"], [fid])
-    if mode != "loose":
-        joined = joined.filter(
-            geo.in_box(x, y, [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")])
-            & (F.col("near").isNull() | geo.in_edges(x, y, F.col("near")))
-            & (F.col("metres").isNull() | geo.within_metres(x, y, F.col("mx"), F.col("my"), F.col("metres")))
-        )
+    exact = (
+        geo.in_box(x, y, [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+        & (F.col("near").isNull() | geo.in_edges(x, y, F.col("near")))
+        & (F.col("metres").isNull() | geo.within_metres(x, y, F.col("mx"), F.col("my"), F.col("metres")))
+    )
+    if mode == "exact":
+        joined = joined.filter(exact)
+    elif mode == "flag":
+        joined = joined.withColumn("exact", exact)
     return joined.drop("key", "near", "xmin", "ymin", "xmax", "ymax", "mx", "my", "metres")
 
 
@@ -299,3 +302,65 @@ def count_matches(matches: DataFrame, ws: WindowSet) -> DataFrame:
 
 def count_in_windows(features: DataFrame, ws: WindowSet, time_col: str = "ts", **options) -> DataFrame:
     return count_matches(points_in_windows(features, ws, time_col, **options), ws)
+
+
+def selectivity(features: DataFrame, ws: WindowSet, time_col: str = "ts", **options) -> DataFrame:
+    """Per window: rows in the cells of its cover, rows that match, and the share read in vain.
+
+    ``cells`` is the number of cells of the cover and ``span`` their share of the world grid.
+    """
+    level = F.pow(F.lit(4.0), F.col("level"))
+    covers = ws.geoms.select("geom_id", cells.n_box_cells(
+        F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("level")).alias("cells"), "level").withColumn(
+        "span", F.col("cells") / level).drop("level")
+    counts = points_in_windows(features, ws, time_col, mode="flag", **options).groupBy("name").agg(
+        F.count("*").alias("candidates"), F.count_if("exact").alias("matches"))
+    n, m = F.coalesce("candidates", F.lit(0)), F.coalesce("matches", F.lit(0))
+    return ws.windows.select("name", "geom_id").join(covers, "geom_id").join(counts, "name", "left").select(
+        "name", "cells", "span", n.alias("candidates"), m.alias("matches"),
+        F.when(n > 0, (n - m) / n).otherwise(0.0).alias("extra"))
+
+
+CELLS_PER_EXTENT = 64
+
+
+def grid_probes(box: Sequence[Column], own_levels: Sequence[int], start: tuple[Column, Column] | None = None) -> Column:
+    """Chip keys of features with an extent, as an array of ``struct<key, holds_start>``.
+
+    For each level shapes are cut at, a feature that would cover too many cells there looks at a coarser
+    level; :func:`multi_level_chips` holds every shape at the coarser levels too.
+    """
+    grid_levels = sorted({0, *own_levels})
+    start = start or (box[0], box[1])
+
+    def probe(own: int) -> Column:
+        usable = [g for g in grid_levels if g <= own]
+        level = F.lit(usable[0])
+        for g in usable[1:]:
+            level = F.when(cells.n_box_cells(*box, g) <= CELLS_PER_EXTENT, F.lit(g)).otherwise(level)
+        sx, sy = cells.cell_x(start[0], level), cells.cell_y(start[1], level)
+        return F.transform(cells.box_cells(*box, level), lambda c: F.struct(
+            cells.cell_key(F.lit(own * 32) + level, c["cx"], c["cy"]).alias("key"),
+            ((c["cx"] == sx) & (c["cy"] == sy)).alias("holds_start")))
+
+    return F.concat(*[probe(lv) for lv in own_levels])
+
+
+def multi_level_chips(ws: WindowSet) -> DataFrame:
+    coarser = F.filter(F.array(*[F.lit(g) for g in sorted({0, *ws.levels})]), lambda g: g <= F.col("level"))
+    return shape_chips(ws.geoms.withColumn("_grid", F.explode(coarser)), F.col("_grid"), F.col("level"))
+
+
+def extents_in_windows(extents: DataFrame, ws: WindowSet, time_col: str = "day", fid: str = "fid") -> DataFrame:
+    """``fid, name`` of box features (xmin, ymin, xmax, ymax) that meet box windows, edges included."""
+    box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    ends = ws.span.lo is not None or ws.span.hi is not None
+    if ends:
+        extents = extents.filter(in_span(F.col(time_col), TimeSpan(ws.span.lo, ws.span.hi, True)))
+    keyed = extents.select(fid, time_col, *box, F.explode(grid_probes(box, ws.levels)).alias("_p")).select(
+        fid, time_col, *[c.alias(f"f_{n}") for c, n in zip(box, ("xmin", "ymin", "xmax", "ymax"))], F.col("_p.key").alias("key"))
+    chips = multi_level_chips(ws)
+    joined = keyed.join(F.broadcast(chips), "key") if ws.small else salted_join(keyed, chips, ["key"], [fid])
+    own = [F.col(f"f_{n}") for n in ("xmin", "ymin", "xmax", "ymax")]
+    met = joined.filter(geo.boxes_meet(own, box)).select(fid, time_col, "geom_id").distinct()
+    return match_times(met, ws, time_col, fid).select(fid, "name")

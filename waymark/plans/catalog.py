@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from waymark.plans import q_filters, q_presets, q_sources  # noqa: F401
+from waymark.plans import q_filters, q_joins, q_presets, q_projections, q_results, q_sources  # noqa: F401
 from waymark.plans.registry import QUERIES, SQL  # noqa: F401

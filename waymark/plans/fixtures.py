@@ -109,7 +109,7 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("run-"), k.cast("string")).alias("uuid"), name.alias("queryName"),
         F.when(k % 2 == 0, "A").otherwise("B").alias("system"),
-        F.concat(F.lit("cluster-"), (k % 4).cast("string")).alias("clusterId"),
+        F.concat(F.lit("cluster-"), (k % 2 + 2 * (F.floor(k / 9216) % 2)).cast("string")).alias("clusterId"),
         start.alias("startTime"), (start + duration).alias("endTime"), duration.alias("duration"),
         (start + F.floor(duration / 4)).alias("timeAtFirstResult"),
         (idx * 7919 % 20011 + F.when((k % 2 == 1) & (F.floor(k / 2) % 97 == 0), 1).otherwise(0)).alias("result"),
@@ -168,7 +168,7 @@ CTES: dict[str, tuple[list[str], str]] = {
              + pick_sql(PERIOD_WORDS, "idx // 8") + " || '-' || (2000 + idx // 576) || '-' || "
              + pick_sql([s[1] for s in SITES], "idx // 48") + " || '-' || " + pick_sql(CITY_BUFFER_KM, "idx")
              + " || '-KM' || CASE WHEN idx % 10 = 3 THEN '-LOOSE' ELSE '' END AS \"queryName\", "
-             "CASE WHEN k % 2 = 0 THEN 'A' ELSE 'B' END AS system, 'cluster-' || (k % 4) AS \"clusterId\", "
+             "CASE WHEN k % 2 = 0 THEN 'A' ELSE 'B' END AS system, 'cluster-' || (k % 2 + 2 * (k // 9216 % 2)) AS \"clusterId\", "
              "st AS \"startTime\", st + dur AS \"endTime\", dur AS duration, st + dur // 4 AS \"timeAtFirstResult\", "
              "idx * 7919 % 20011 + CASE WHEN k % 2 = 1 AND (k // 2) % 97 = 0 THEN 1 ELSE 0 END AS result, "
              "k % 7 = 0 AS test FROM runs0)"),
