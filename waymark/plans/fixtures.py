@@ -45,9 +45,13 @@ def _spread_points(df: DataFrame, key: str, site_by: str) -> DataFrame:
 
 def geo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with a time of day: fid, ts, user_id, event_type, value, city, lon, lat."""
-    events = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("fid"), "ts", "user_id", "event_type", "value")
-    return _spread_points(events, "fid", "user_id")
+    return as_points(table(spark, sf_dir, "events"))
+
+
+def as_points(events: DataFrame) -> DataFrame:
+    """The same columns for an events table or stream."""
+    columns = events.select(F.col("event_id").alias("fid"), "ts", "user_id", "event_type", "value")
+    return _spread_points(columns, "fid", "user_id")
 
 
 def geo_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
