@@ -15,7 +15,7 @@ from waymark.streaming import jobs
 
 def point_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return as_points(jobs.read_stream(spark, f"{sf}/events.parquet", schema))
+    return as_points(jobs.read_stream(spark, f"{sf}/events*.parquet", schema))
 
 
 _FENCES = P.combine("FENCE", [*P.city_buffers("Paris"), *P.city_buffers("Tokyo"), ("beijing", P.beijing())],
