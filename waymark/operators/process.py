@@ -74,46 +74,50 @@ def nearest_centre(df: DataFrame, centres: Sequence[tuple[str, float, float]]) -
     return df.withColumn("centre", F.array_min(options)["name"])
 
 
-_FINE = 4  # cells per search distance
-
-
-def within_distance_of_any(a: DataFrame, b: DataFrame, metres: float, fid: str = "fid") -> DataFrame:
+def within_distance_of_any(a: DataFrame, b: DataFrame, metres: float, pair_limit: int = 4_000_000) -> DataFrame:
     """Rows of ``a`` with any point of ``b`` within map metres.
 
-    The occupied fine cells of both sides meet first. A pair of cells whose farthest corners are within
-    reach settles all its points at once, and a pair whose nearest corners are out of reach is dropped.
-    Points are compared only across the pairs between, once per distinct place.
+    The occupied cells of both sides meet first. A pair of cells whose farthest corners are within reach
+    settles all its points at once, and a pair whose nearest corners are out of reach is dropped. Points are
+    compared only across the pairs between, once per distinct place. If such a pair would need more than
+    ``pair_limit`` comparisons the cells are made finer; the result is the same for any cell size.
     """
-    side = metres / _FINE
-    placed = lambda df: df.withColumn("_mx", geo.merc_x(F.col("lon"))).withColumn("_my", geo.merc_y(F.col("lat"))).withColumn(
-        "_cx", F.floor(F.col("_mx") / F.lit(side))).withColumn("_cy", F.floor(F.col("_my") / F.lit(side)))
-    left, right = placed(a), placed(b).select("_cx", "_cy", "_mx", "_my").distinct()
-    reach = [
-        (dx, dy, (abs(dx) + 1) ** 2 + (abs(dy) + 1) ** 2 <= _FINE**2)
-        for dx in range(-_FINE - 1, _FINE + 2) for dy in range(-_FINE - 1, _FINE + 2)
-        if max(abs(dx) - 1, 0) ** 2 + max(abs(dy) - 1, 0) ** 2 <= _FINE**2
-    ]
-    offsets = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(s).alias("sure")) for x, y, s in reach])
-    a_cells = left.select("_cx", "_cy").distinct().select("_cx", "_cy", F.inline(offsets)).select(
-        "_cx", "_cy", "sure", (F.col("_cx") + F.col("dx")).alias("_bx"), (F.col("_cy") + F.col("dy")).alias("_by"))
-    b_cells = right.select(F.col("_cx").alias("_bx"), F.col("_cy").alias("_by")).distinct()
-    cell_pairs = a_cells.join(b_cells, ["_bx", "_by"])
-    settled = cell_pairs.groupBy("_cx", "_cy").agg(F.bool_or("sure").alias("sure"))
-    open_pairs = cell_pairs.join(settled.filter(~F.col("sure")).select("_cx", "_cy"), ["_cx", "_cy"], "left_semi").drop("sure")
-
-    sure = left.join(settled.filter("sure").select("_cx", "_cy"), ["_cx", "_cy"], "left_semi")
-    unsure = left.join(settled.filter(~F.col("sure")).select("_cx", "_cy"), ["_cx", "_cy"], "left_semi")
-    candidates = open_pairs.join(
+    for fine in (2**0.5 * (1 + 1e-9), 4.0, 8.0, 16.0):
+        side = metres / fine
+        left, right = _in_cells(a, side), _in_cells(b, side).select("_cx", "_cy", "_mx", "_my").distinct()
+        reach = int(-(-fine // 1)) + 1
+        gaps = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)
+                if max(abs(i) - 1, 0) ** 2 + max(abs(j) - 1, 0) ** 2 <= fine**2 * (1 + 1e-9)]
+        offsets = F.array(*[
+            F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit((abs(i) + 1) ** 2 + (abs(j) + 1) ** 2 <= fine**2 * (1 - 1e-12)).alias("sure"))
+            for i, j in gaps])
+        a_cells = left.groupBy("_cx", "_cy").agg(F.count("*").alias("na")).select("_cx", "_cy", "na", F.inline(offsets)).select(
+            "_cx", "_cy", "na", "sure", (F.col("_cx") + F.col("dx")).alias("_bx"), (F.col("_cy") + F.col("dy")).alias("_by"))
+        b_cells = right.groupBy(F.col("_cx").alias("_bx"), F.col("_cy").alias("_by")).agg(F.count("*").alias("nb"))
+        pairs = cut_lineage(a_cells.join(b_cells, ["_bx", "_by"]))
+        sure_cells = cut_lineage(pairs.filter("sure").select("_cx", "_cy").distinct())
+        open_pairs = pairs.join(sure_cells, ["_cx", "_cy"], "left_anti").drop("sure")
+        most = open_pairs.agg(F.max(F.col("na") * F.col("nb"))).first()[0]
+        if most is None or most <= pair_limit:
+            break
+    settled = left.join(sure_cells, ["_cx", "_cy"], "left_semi")
+    unsure = left.join(open_pairs.select("_cx", "_cy").distinct(), ["_cx", "_cy"], "left_semi")
+    candidates = open_pairs.select("_cx", "_cy", "_bx", "_by").join(
         right.select(F.col("_cx").alias("_bx"), F.col("_cy").alias("_by"), F.col("_mx").alias("_px"), F.col("_my").alias("_py")), ["_bx", "_by"])
     places = unsure.select("_cx", "_cy", "_mx", "_my").distinct()
     dx, dy = F.col("_mx") - F.col("_px"), F.col("_my") - F.col("_py")
     hits = salted_join(places, candidates, ["_cx", "_cy"], ["_mx", "_my"]).filter(
         dx * dx + dy * dy <= F.lit(metres * metres)).select("_cx", "_cy", "_mx", "_my").distinct()
     found = unsure.join(hits, ["_cx", "_cy", "_mx", "_my"], "left_semi")
-    return sure.select(*a.columns).unionByName(found.select(*a.columns))
+    return settled.select(*a.columns).unionByName(found.select(*a.columns))
+
+
+def _in_cells(df: DataFrame, side: float) -> DataFrame:
+    moved = df.withColumn("_mx", geo.merc_x(F.col("lon"))).withColumn("_my", geo.merc_y(F.col("lat")))
+    return moved.withColumn("_cx", F.floor(F.col("_mx") / F.lit(side))).withColumn("_cy", F.floor(F.col("_my") / F.lit(side)))
 
 
-def nearest_neighbours(df: DataFrame, fid: str = "fid", cell_limit: int = 1000, step: int = 4) -> DataFrame:
+def nearest_neighbours(df: DataFrame, fid: str = "fid", cell_limit: int = 16, step: int = 4) -> DataFrame:
     """``fid, nn, d2``: the nearest other feature by planar distance in degrees, smallest id on a tie.
 
     Copies at one place are settled by counting. Distinct places look in the 3 x 3 cells around them, from

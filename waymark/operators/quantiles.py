@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Window
 from waymark.operators.skew import ROWS_PER_TASK, running_sum
+from waymark.session import cut_lineage
 
 CUTS = 64
 
@@ -25,7 +25,7 @@ def bounded_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Seque
 def exact_quantiles(
     df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """The same for any column and size, as a distributed selection.
+    """The same for any column and size, as a distributed selection in three passes over the data.
 
     Approximate cut points split every group in buckets; bucket counts tell which buckets hold the wanted
     ranks; only these are ordered, with equal values counted first and large buckets split further.
@@ -34,7 +34,7 @@ def exact_quantiles(
     v = F.col(col).cast("double")
     rows = df.filter(F.col(col).isNotNull()).select(*by, v.alias("_v"))
     cut_probs = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", cut_probs, 10 * CUTS).alias("_cuts"), F.count("*").alias("_total"))
+    sketch = cut_lineage(rows.groupBy(*by).agg(F.percentile_approx("_v", cut_probs, 10 * CUTS).alias("_cuts"), F.count("*").alias("_total")))
     if by:
         cut_rows = rows.join(sketch, by)
     else:
@@ -55,10 +55,10 @@ def exact_quantiles(
     key = by or one
     spans_k = spans if by else spans.withColumn("_one", F.lit(1))
     wanted_k = wanted if by else wanted.withColumn("_one", F.lit(1))
-    targets = wanted_k.join(spans_k, key).filter((F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_last"))).select(
-        *by, "_b", "i", "side", "part", (F.col("rank") - F.col("_first")).alias("_r"))
+    targets = cut_lineage(wanted_k.join(spans_k, key).filter((F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_last"))).select(
+        *by, "_b", "i", "side", "part", (F.col("rank") - F.col("_first")).alias("_r")))
     needed = targets.select(*by, "_b").distinct()
-    values = bucketed.join(needed, [*by, "_b"], "left_semi").groupBy(*by, "_b", "_v").agg(F.count("*").alias("_f"))
+    values = cut_lineage(bucketed.join(needed, [*by, "_b"], "left_semi").groupBy(*by, "_b", "_v").agg(F.count("*").alias("_f")))
     placed = running_sum(values, [*by, "_b"], ["_v"], "_f", "_upto", rows_per_task)
     picked = placed.join(targets, [*by, "_b"]).filter((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_f")))
     pairs = picked.groupBy(*by, "i").agg(

@@ -2,7 +2,8 @@
 
 Every helper first counts rows per key (partial aggregation, one small row per key leaves a task) and
 keeps only the keys above ``rows_per_task``. There can be at most ``total rows / rows_per_task`` of
-them, so that table is safe to broadcast at any data size.
+them, so that table is safe to broadcast at any data size. The count runs when the plan is built: without
+hot keys the plan stays the plain join or window.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions.cells import unix_millis
+from waymark.session import cut_lineage
 
 ROWS_PER_TASK = 2_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys above the limit with the number of parts each is split in."""
-    return (
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """Keys above the limit with the number of parts each is split in; None if there are none."""
+    hot = cut_lineage(
         df.groupBy(*keys).agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > rows_per_task)
         .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
     )
+    return None if hot.isEmpty() else hot
 
 
 def salted_join(
@@ -34,7 +37,10 @@ def salted_join(
     ``spread_by`` are columns of ``big`` that differ between its rows (a feature id); the split is a
     hash of them, so a task run again after a lost executor makes the same split.
     """
-    hot = F.broadcast(hot_keys(big, keys, rows_per_task))
+    found = hot_keys(big, keys, rows_per_task)
+    if found is None:
+        return big.join(other, list(keys), how)
+    hot = F.broadcast(found)
     left = big.join(hot, list(keys), "left").withColumn(
         "_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int"))
@@ -51,15 +57,20 @@ def _as_number(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def with_chunks(df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Add ``_chunk``: 0 for ordinary keys, a slice number along ``order`` for hot keys, and ``_hot``."""
+def with_chunks(df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """Add ``_chunk``: 0 for ordinary keys, a slice number along ``order`` for hot keys, and ``_hot``.
+
+    None if no key is hot.
+    """
     position = _as_number(df, order)
-    stats = (
+    stats = cut_lineage(
         df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
         .filter(F.col("_n") > rows_per_task)
         .withColumn("_parts", F.ceil(F.col("_n") / rows_per_task))
         .drop("_n")
     )
+    if stats.isEmpty():
+        return None
     slice_no = F.floor((position - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1) * F.col("_parts"))
     return (
         df.join(F.broadcast(stats), list(keys), "left")
@@ -75,11 +86,13 @@ def lead_in_key(
 ) -> DataFrame:
     """Struct ``out`` with the ``take`` columns of the next row of the same key (null for the last).
 
-    ``order[0]`` is the time or number the rows run along. Within a chunk this is ``lead``; the last row
-    of a chunk takes the first row of the key's next chunk.
+    ``order[0]`` is the time or number the rows run along. Within a chunk of a hot key this is ``lead``; the
+    last row of a chunk takes the first row of the key's next chunk.
     """
-    chunked = with_chunks(df, keys, order[0], rows_per_task)
     nxt = F.struct(*take)
+    chunked = with_chunks(df, keys, order[0], rows_per_task)
+    if chunked is None:
+        return df.withColumn(out, F.lead(nxt).over(Window.partitionBy(*keys).orderBy(*order)))
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     led = chunked.withColumn("_lead", F.lead(nxt).over(within))
     heads = (
@@ -101,6 +114,9 @@ def running_sum(
 ) -> DataFrame:
     """Sum of ``value`` over this and all earlier rows of the key, in two levels for hot keys."""
     chunked = with_chunks(df, keys, order[0], rows_per_task)
+    if chunked is None:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(upto))
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -47,7 +47,8 @@ class Shape:
 
     @property
     def level(self) -> int:
-        return cells.level_for(self.box[2] - self.box[0], self.box[3] - self.box[1])
+        # a polygon gains from small cells (fewer edges each, more cells wholly inside); a box or circle does not
+        return cells.level_for(self.box[2] - self.box[0], self.box[3] - self.box[1], 8 if self.edges else 4)
 
 
 def box_shape(geom_id: str, box: Sequence[float]) -> Shape:
@@ -146,7 +147,9 @@ def window_set_from_tables(geoms: DataFrame, windows: DataFrame) -> WindowSet:
     for name, kind in missing.items():
         if name not in geoms.columns:
             geoms = geoms.withColumn(name, F.lit(None).cast(kind))
-    geoms = geoms.withColumn("level", cells.level_expr(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
+    width, height = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
+    geoms = geoms.withColumn("level", F.when(F.col("edges").isNull(), cells.level_expr(width, height, 4)).otherwise(
+        cells.level_expr(width, height, 8)))
     windows = windows.withColumn("closed", F.coalesce("closed", F.lit(False)))
     g = geoms.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.coalesce("edges", F.array().cast(geo.EDGE_TYPE)))), F.lit(0)).alias("edges"),
@@ -362,5 +365,9 @@ def extents_in_windows(extents: DataFrame, ws: WindowSet, time_col: str = "day",
     chips = multi_level_chips(ws)
     joined = keyed.join(F.broadcast(chips), "key") if ws.small else salted_join(keyed, chips, ["key"], [fid])
     own = [F.col(f"f_{n}") for n in ("xmin", "ymin", "xmax", "ymax")]
-    met = joined.filter(geo.boxes_meet(own, box)).select(fid, time_col, "geom_id").distinct()
+    # a pair that shares several cells counts only in the cell of the lower left corner of the common part
+    tag = F.floor(F.col("key") / F.lit(2**48))
+    level = (tag % 32).cast("int")
+    corner = cells.cell_key(tag, cells.cell_x(F.greatest(own[0], box[0]), level), cells.cell_y(F.greatest(own[1], box[1]), level))
+    met = joined.filter(geo.boxes_meet(own, box) & (corner == F.col("key"))).select(fid, time_col, "geom_id")
     return match_times(met, ws, time_col, fid).select(fid, "name")

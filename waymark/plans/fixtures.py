@@ -84,6 +84,13 @@ def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("nxt.lon").alias("x2"), F.col("nxt.lat").alias("y2"))
 
 
+def track_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track, t_start of every day track with at least two points, straight from the points."""
+    track = F.concat_ws("-", F.col("user_id"), F.date_format(F.to_date("ts"), "yyyyMMdd")).alias("track")
+    return geo_events(spark, sf_dir).groupBy(track).agg(F.min("ts").alias("t_start"), F.count("*").alias("_n")).filter(
+        F.col("_n") >= 2).drop("_n")
+
+
 def track_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per track from its segments: track, t_start, n_points, metres."""
     step = F.hypot(geo.merc_x(F.col("x2")) - geo.merc_x(F.col("x1")), geo.merc_y(F.col("y2")) - geo.merc_y(F.col("y1")))

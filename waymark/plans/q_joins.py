@@ -13,7 +13,7 @@ from waymark.operators.windows import (
 )
 from waymark.plans import presets as P, regions as R
 from waymark.plans.fixtures import (
-    geo_boxes, geo_events, geo_orders, table, track_segments, track_table, with_ctes,
+    geo_boxes, geo_events, geo_orders, table, track_segments, track_times, with_ctes,
 )
 from waymark.plans.q_presets import SEGMENT_BOX_HITS_SQL
 from waymark.plans.q_projections import _RANDOM_BOX_SQL, random_boxes
@@ -46,7 +46,7 @@ _TRACK_JOIN = P.tracks_grid("JOIN", "1WEEK", [3], range(4), 2024)
     windows_cte(_TRACK_JOIN[1]), shapes_cte(_TRACK_JOIN[0]), SEGMENT_BOX_HITS_SQL))
 def join_tracks_windows(spark, sf):
     ws = window_set(spark, *_TRACK_JOIN)
-    return tracks_in_windows(track_segments(spark, sf), track_table(spark, sf), ws).select("track", "name")
+    return tracks_in_windows(track_segments(spark, sf), track_times(spark, sf), ws).select("track", "name")
 
 
 # ---- counts --------------------------------------------------------------------------------------
@@ -249,7 +249,7 @@ def plan_sa(spark, sf):
 
 @query("plan_loop", with_ctes(
     "geo_events", "SELECT name, count(e.fid) AS candidates, count(e.fid) FILTER (WHERE " + _IN_BOX + ") AS matches FROM "
-    "(SELECT *, least(20, greatest(0, floor(log2(greatest(1e0, least(360e0/greatest(xmax-xmin, 1e-9), 180e0/greatest(ymax-ymin, 1e-9))*8))/2)*2)) AS lvl FROM series) b LEFT JOIN geo_events e ON "
+    "(SELECT *, least(20, greatest(0, floor(log2(greatest(1e0, least(360e0/greatest(xmax-xmin, 1e-9), 180e0/greatest(ymax-ymin, 1e-9))*4))/2)*2)) AS lvl FROM series) b LEFT JOIN geo_events e ON "
     "floor((e.lon+180e0)/360e0*pow(2e0,lvl)) BETWEEN floor((b.xmin+180e0)/360e0*pow(2e0,lvl)) AND least(floor((b.xmax+180e0)/360e0*pow(2e0,lvl)), pow(2e0,lvl)-1) AND "
     "floor((e.lat+90e0)/180e0*pow(2e0,lvl)) BETWEEN floor((b.ymin+90e0)/180e0*pow(2e0,lvl)) AND least(floor((b.ymax+90e0)/180e0*pow(2e0,lvl)), pow(2e0,lvl)-1) GROUP BY name", _SERIES_SQL))
 def plan_loop(spark, sf):

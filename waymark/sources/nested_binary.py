@@ -7,10 +7,11 @@ key, 8-byte double, 4-byte integer, all big-endian.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RECORD_SCHEMA = (
@@ -30,25 +31,36 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD_SCHEMA).parquet(path)
 
 
-def _line_of_wkb(wkb: bytes) -> np.ndarray:
-    order = ">" if wkb[0] == 0 else "<"
-    kind, n = np.frombuffer(wkb, f"{order}u4", 2, 1)
-    if kind != 2:
-        raise ValueError(f"expected a WKB line string, found type {kind}")
-    return np.frombuffer(wkb, f"{order}f8", 2 * int(n), 9).reshape(-1, 2).astype(float)
+def _numbers(column: pa.Array, kind: str) -> np.ndarray:
+    """One big-endian number per value; the values follow each other in memory."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(kind[1:])
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lines_of_wkb(column: list[bytes]) -> pa.Array:
+    """WKB line strings to lists of points; lines of one byte order are decoded together."""
+    counts = np.empty(len(column), dtype=np.int64)
+    bodies = []
+    for i, wkb in enumerate(column):
+        order = ">" if wkb[0] == 0 else "<"
+        kind, counts[i] = struct.unpack_from(order + "II", wkb, 1)
+        if kind != 2:
+            raise ValueError(f"expected a WKB line string, found type {kind}")
+        body = wkb[9:9 + 16 * counts[i]]
+        bodies.append(body if order == ">" else np.frombuffer(body, "<f8").astype(">f8").tobytes())
+    xy = np.frombuffer(b"".join(bodies), ">f8").astype("f8").reshape(-1, 2)
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], names=["x", "y"])
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), points)
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = batch["values"]
-        yield pd.DataFrame({
-            "fid": batch["fid"],
-            "points": [[{"x": x, "y": y} for x, y in _line_of_wkb(bytes(v[0]))] for v in values],
-            "num_track_points": [int(np.frombuffer(v[4], ">i4")[0]) for v in values],
-            "time_millis": [int(np.frombuffer(v[1], ">i8")[0]) for v in values],
-            "key": [bytes(v[2]).decode("ascii") for v in values],
-            "total_distance": [float(np.frombuffer(v[3], ">f8")[0]) for v in values],
-        })
+        col = {n: batch.column(n) for n in batch.schema.names}
+        yield pa.RecordBatch.from_arrays([
+            col["fid"], _lines_of_wkb(col["geometry"].to_pylist()), pa.array(_numbers(col["points"], ">i4")),
+            pa.array(_numbers(col["time"], ">i8")), pa.array([k.decode("ascii") for k in col["key"].to_pylist()], pa.string()),
+            pa.array(_numbers(col["distance"], ">f8")),
+        ], names=["fid", "points", "num_track_points", "time_millis", "key", "total_distance"])
 
 
 def decode_tracks(records: DataFrame) -> DataFrame:
@@ -58,8 +70,9 @@ def decode_tracks(records: DataFrame) -> DataFrame:
     checked = records.select(
         F.when(F.size(one) != 1, F.raise_error(F.lit("a record must hold exactly one feature")).cast("string"))
         .when(feature["classifications"].isNotNull(), F.raise_error(F.lit("classifications not null")).cast("string"))
-        .otherwise(feature["fid"]).alias("fid"), feature["values"].alias("values"))
-    decoded = checked.mapInPandas(_decode, TRACK_SCHEMA)
+        .otherwise(feature["fid"]).alias("fid"),
+        *[F.get(feature["values"], F.lit(i)).alias(n) for i, n in enumerate(("geometry", "time", "key", "distance", "points"))])
+    decoded = checked.mapInArrow(_decode, TRACK_SCHEMA)
     return decoded.withColumn("time_stamp", F.timestamp_millis("time_millis").cast("timestamp_ntz")).drop("time_millis")
 
 
@@ -68,21 +81,32 @@ def count_disagreements(tracks: DataFrame) -> DataFrame:
     return tracks.filter(F.size("points") != F.col("num_track_points"))
 
 
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for row in batch.itertuples(index=False):
-            xy = np.array([[p["x"], p["y"]] for p in row.points], dtype=">f8")
-            wkb = b"\x00" + np.array([2, len(xy)], dtype=">u4").tobytes() + xy.tobytes()
-            rows.append([{"fid": row.fid, "classifications": None, "values": [
-                wkb, np.array([row.time_millis], ">i8").tobytes(), row.key.encode("ascii"),
-                np.array([row.total_distance], ">f8").tobytes(), np.array([row.num_track_points], ">i4").tobytes()]}])
-        yield pd.DataFrame({
-            "featureType": [{"name": "generated-tracks", "attributes": [], "types": [], "roles": []}] * len(batch),
-            "simpleFeatureCollection": rows})
+        points = batch.column("points")
+        offsets = points.offsets.to_numpy()
+        flat = points.values
+        xy = np.column_stack([flat.field("x").to_numpy(), flat.field("y").to_numpy()]).astype(">f8")
+        yield pa.RecordBatch.from_arrays([
+            batch.column("fid"),
+            pa.array([struct.pack(">BII", 0, 2, e - s) + xy[s:e].tobytes() for s, e in zip(offsets, offsets[1:])], pa.binary()),
+            *[pa.array([struct.pack(f, v) for v in batch.column(n).to_pylist()], pa.binary())
+              for n, f in (("time_millis", ">q"), ("total_distance", ">d"), ("num_track_points", ">i"))],
+        ], names=["fid", "geometry", "time", "distance", "points"])
 
 
 def encode_tracks(tracks: DataFrame) -> DataFrame:
     """The inverse of :func:`decode_tracks`, for exports in this form."""
     millis = F.unix_millis(F.col("time_stamp").cast("timestamp")).alias("time_millis")
-    return tracks.select("fid", "points", "num_track_points", millis, "key", "total_distance").mapInPandas(_encode, RECORD_SCHEMA)
+    packed = tracks.select("fid", "points", "num_track_points", millis, "key", "total_distance")
+    bytes_schema = "fid string, geometry binary, time binary, distance binary, points binary"
+    keyed = packed.select(F.struct(F.col("fid"), F.col("key")).alias("id"), "*").select(
+        F.to_json("id").alias("fid"), "points", "num_track_points", "time_millis", "total_distance")
+    coded = keyed.mapInArrow(_encode, bytes_schema).withColumn("id", F.from_json("fid", "fid string, key string"))
+    empty = F.array().cast("array<string>")
+    return coded.select(
+        F.struct(F.lit("generated-tracks").alias("name"), empty.alias("attributes"), empty.alias("types"), empty.alias("roles")).alias("featureType"),
+        F.array(F.struct(
+            F.col("id.fid").alias("fid"),
+            F.array("geometry", "time", F.col("id.key").cast("binary"), "distance", "points").alias("values"),
+            F.lit(None).cast("string").alias("classifications"))).alias("simpleFeatureCollection"))

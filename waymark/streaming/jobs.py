@@ -66,10 +66,10 @@ def cell_counts(points: DataFrame, level: int, window: str, lateness: str, time_
     """Count per grid cell and tumbling window; a window comes out once the watermark passes its end and
     rows later than that are dropped."""
     return (
-        points.withWatermark(time_col, lateness)
-        .groupBy(F.window(time_col, window).alias("w"), cells.cell_x(F.col("lon"), level).alias("cx"), cells.cell_y(F.col("lat"), level).alias("cy"))
+        points.withColumn("_t", F.col(time_col).cast("timestamp")).withWatermark("_t", lateness)
+        .groupBy(F.window("_t", window).alias("w"), cells.cell_x(F.col("lon"), level).alias("cx"), cells.cell_y(F.col("lat"), level).alias("cy"))
         .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "cx", "cy", "n")
+        .select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "cx", "cy", "n")
     )
 
 
