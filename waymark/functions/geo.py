@@ -105,7 +105,7 @@ def edges_of_rings(rings: Sequence[Sequence[tuple[float, float]]]) -> list[tuple
     """Upward edges of closed rings. Holes need no mark: the even-odd rule subtracts them."""
     edges = []
     for ring in rings:
-        points = list(ring)
+        points = [(float(x), float(y)) for x, y in ring]
         if points[0] != points[-1]:
             points.append(points[0])
         for (x1, y1), (x2, y2) in zip(points, points[1:]):
@@ -129,9 +129,10 @@ def ring_edges(ring: Column) -> Column:
 
 
 def edges_literal(edges: Sequence[tuple[float, float, float, float]]) -> Column:
-    return F.array(*[
-        F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(e, ("x1", "y1", "x2", "y2"))]) for e in edges
-    ])
+    """A constant array; one expression text however many edges there are."""
+    rows = ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {float(v)!r}D" for n, v in zip(("x1", "y1", "x2", "y2"), e)) + ")" for e in edges)
+    return F.expr(f"array({rows})")
 
 
 def _side(x: Column, y: Column, e: Column) -> Column:

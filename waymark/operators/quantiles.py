@@ -9,7 +9,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from waymark.operators.skew import ROWS_PER_TASK, running_sum
 from waymark.session import cut_lineage
 
-CUTS = 64
+CUTS = 64  # buckets of the ungrouped form
+GROUP_CUTS = 16  # and per group
+
+
+def _bucket(cuts: Sequence[float], first: int = 0) -> str:
+    """Number of cut points below ``_v``, as a search tree of literals (compiled, unlike a lambda)."""
+    if not cuts:
+        return str(first)
+    middle = len(cuts) // 2
+    above, below = _bucket(cuts[middle + 1:], first + middle + 1), _bucket(cuts[:middle], first)
+    return f"CASE WHEN _v > {cuts[middle]!r}D THEN {above} ELSE {below} END"
 
 
 def bounded_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -33,23 +43,24 @@ def exact_quantiles(
     by = list(by)
     v = F.col(col).cast("double")
     rows = df.filter(F.col(col).isNotNull()).select(*by, v.alias("_v"))
-    cut_probs = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    sketch = cut_lineage(rows.groupBy(*by).agg(F.percentile_approx("_v", cut_probs, 10 * CUTS).alias("_cuts"), F.count("*").alias("_total")))
+    n_cuts = GROUP_CUTS if by else CUTS
+    cut_probs = F.array(*[F.lit(i / n_cuts) for i in range(1, n_cuts)])
+    sketch = cut_lineage(rows.groupBy(*by).agg(F.percentile_approx("_v", cut_probs, 10 * n_cuts).alias("_cuts"), F.count("*").alias("_total")))
     if by:
-        cut_rows = rows.join(sketch, by)
+        bucketed = rows.join(sketch, by).select(*by, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
     else:
-        cut_rows = rows.withColumn("_cuts", sketch.select("_cuts").scalar())
-    bucketed = cut_rows.select(*by, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
+        cuts = sorted(set(sketch.first()["_cuts"] or []))  # at most CUTS numbers
+        bucketed = rows.select("_v", F.expr(_bucket(cuts)).alias("_b"))
 
     sizes = bucketed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     # at most CUTS rows per group from here
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     spans = sizes.withColumn("_last", F.sum("_n").over(upto)).withColumn("_first", F.col("_last") - F.col("_n"))
-    rank = lambda p: F.lit(float(p)) * (F.col("_total") - 1)
-    wanted = sketch.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), (F.floor(rank(p)) if side == 0 else F.ceil(rank(p))).alias("rank"),
-                 (rank(p) - F.floor(rank(p))).alias("part"))
-        for i, p in enumerate(probs) for side in (0, 1)])).alias("_w")).select(*by, "_w.*")
+    numbers = ", ".join(f"{float(p)!r}D" for p in probs)
+    asked = sketch.select(*by, "_total", F.posexplode(F.expr(f"array({numbers})")).alias("i", "p")).withColumn(
+        "at", F.col("p") * (F.col("_total") - 1))
+    wanted = asked.select(*by, "i", (F.col("at") - F.floor("at")).alias("part"), F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), F.floor("at").alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil("at").alias("rank")))))
     # one wanted rank meets the at most CUTS buckets of its own group
     one = ["_one"]
     key = by or one

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.functions import geo
 from waymark.operators.skew import salted_join
-from waymark.operators.windows import WindowSet, grid_probes, match_times, multi_level_chips
+from waymark.operators.windows import WindowSet, with_grid_keys, match_times, multi_level_chips
 
 
 def segments_of(tracks: DataFrame, ring: str = "points", track: str = "track") -> DataFrame:
@@ -37,8 +37,7 @@ def tracks_meeting_shapes(segments: DataFrame, ws: WindowSet, track: str = "trac
     if ws.envelope:
         segments = segments.filter(geo.boxes_meet(box, [F.lit(v) for v in ws.envelope]))
     chips = multi_level_chips(ws)
-    keyed = segments.withColumn("_p", F.explode(grid_probes(box, ws.levels, (s[0], s[1])))).select(
-        "*", "_p.key", "_p.holds_start").drop("_p")
+    keyed = with_grid_keys(segments.select(track, *s), box, ws.levels, (s[0], s[1]))
     # a cell wholly inside counts only for the segment's own start: any other way in crosses an edge,
     # and that crossing lies in a boundary cell the segment also looks at
     in_polygon = (

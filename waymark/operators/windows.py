@@ -57,8 +57,8 @@ def box_shape(geom_id: str, box: Sequence[float]) -> Shape:
 
 def polygon_shape(geom_id: str, *rings: Sequence[tuple[float, float]]) -> Shape:
     """Polygon or multipolygon: all rings, holes included, under the even-odd rule."""
-    xs = [p[0] for r in rings for p in r]
-    ys = [p[1] for r in rings for p in r]
+    xs = [float(p[0]) for r in rings for p in r]
+    ys = [float(p[1]) for r in rings for p in r]
     return Shape(geom_id, (min(xs), min(ys), max(xs), max(ys)), tuple(geo.edges_of_rings(rings)))
 
 
@@ -327,8 +327,8 @@ def selectivity(features: DataFrame, ws: WindowSet, time_col: str = "ts", **opti
 CELLS_PER_EXTENT = 64
 
 
-def grid_probes(box: Sequence[Column], own_levels: Sequence[int], start: tuple[Column, Column] | None = None) -> Column:
-    """Chip keys of features with an extent, as an array of ``struct<key, holds_start>``.
+def with_grid_keys(df: DataFrame, box: Sequence[Column], own_levels: Sequence[int], start: tuple[Column, Column] | None = None) -> DataFrame:
+    """A row per chip ``key`` a feature with an extent must look at; ``holds_start`` marks its start's cell.
 
     For each level shapes are cut at, a feature that would cover too many cells there looks at a coarser
     level; :func:`multi_level_chips` holds every shape at the coarser levels too.
@@ -336,17 +336,33 @@ def grid_probes(box: Sequence[Column], own_levels: Sequence[int], start: tuple[C
     grid_levels = sorted({0, *own_levels})
     start = start or (box[0], box[1])
 
-    def probe(own: int) -> Column:
+    def level_of(own: int) -> Column:
         usable = [g for g in grid_levels if g <= own]
         level = F.lit(usable[0])
         for g in usable[1:]:
             level = F.when(cells.n_box_cells(*box, g) <= CELLS_PER_EXTENT, F.lit(g)).otherwise(level)
-        sx, sy = cells.cell_x(start[0], level), cells.cell_y(start[1], level)
-        return F.transform(cells.box_cells(*box, level), lambda c: F.struct(
-            cells.cell_key(F.lit(own * 32) + level, c["cx"], c["cy"]).alias("key"),
-            ((c["cx"] == sx) & (c["cy"] == sy)).alias("holds_start")))
-
-    return F.concat(*[probe(lv) for lv in own_levels])
+        return level
+
+    # one step per intermediate value, so that none is worked out again for every cell
+    df = df.withColumns({f"_g{own}": level_of(own) for own in own_levels})
+    corners = {}
+    for own in own_levels:
+        g = F.col(f"_g{own}")
+        corners.update({
+            f"_c{own}": F.struct(
+                cells.cell_x(box[0], g).alias("x0"), cells.cell_y(box[1], g).alias("y0"), cells.cell_x(box[2], g).alias("x1"), cells.cell_y(box[3], g).alias("y1"),
+                cells.cell_x(start[0], g).alias("sx"), cells.cell_y(start[1], g).alias("sy"),
+                cells.cell_key(F.lit(own * 32) + g, F.lit(0).cast("long"), F.lit(0).cast("long")).alias("base"))})
+    df = df.withColumns(corners)
+
+    def keys(own: int) -> Column:
+        c = F.col(f"_c{own}")
+        rows = F.sequence(c["y0"], c["y1"])
+        return F.flatten(F.transform(F.sequence(c["x0"], c["x1"]), lambda cx: F.transform(rows, lambda cy: F.struct(
+            (c["base"] + cx * F.lit(2**24) + cy).alias("key"), ((cx == c["sx"]) & (cy == c["sy"])).alias("holds_start")))))
+
+    probed = df.withColumn("_p", F.explode(F.concat(*[keys(own) for own in own_levels])))
+    return probed.select("*", "_p.key", "_p.holds_start").drop("_p", *[f"_g{o}" for o in own_levels], *corners)
 
 
 def multi_level_chips(ws: WindowSet) -> DataFrame:
@@ -360,8 +376,8 @@ def extents_in_windows(extents: DataFrame, ws: WindowSet, time_col: str = "day",
     ends = ws.span.lo is not None or ws.span.hi is not None
     if ends:
         extents = extents.filter(in_span(F.col(time_col), TimeSpan(ws.span.lo, ws.span.hi, True)))
-    keyed = extents.select(fid, time_col, *box, F.explode(grid_probes(box, ws.levels)).alias("_p")).select(
-        fid, time_col, *[c.alias(f"f_{n}") for c, n in zip(box, ("xmin", "ymin", "xmax", "ymax"))], F.col("_p.key").alias("key"))
+    keyed = with_grid_keys(extents.select(fid, time_col, *box), box, ws.levels).select(
+        fid, time_col, *[c.alias(f"f_{n}") for c, n in zip(box, ("xmin", "ymin", "xmax", "ymax"))], "key")
     chips = multi_level_chips(ws)
     joined = keyed.join(F.broadcast(chips), "key") if ws.small else salted_join(keyed, chips, ["key"], [fid])
     own = [F.col(f"f_{n}") for n in ("xmin", "ymin", "xmax", "ymax")]

@@ -13,6 +13,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no call-site capture per Column function: it makes plans of large expressions slow to build
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
