@@ -101,6 +101,14 @@ def within_metres(lon: Column, lat: Column, mx, my, metres) -> Column:
     return dx * dx + dy * dy <= metres * metres
 
 
+def box_within_metres(box: Sequence[Column], mx, my, metres) -> Column:
+    """Any part of a lon/lat box within map metres of the projected centre (a box stays a box in the projection)."""
+    zero = F.lit(0.0)
+    dx = F.greatest(merc_x(box[0]) - mx, zero, mx - merc_x(box[2]))
+    dy = F.greatest(merc_y(box[1]) - my, zero, my - merc_y(box[3]))
+    return dx * dx + dy * dy <= metres * metres
+
+
 def edges_of_rings(rings: Sequence[Sequence[tuple[float, float]]]) -> list[tuple[float, float, float, float]]:
     """Upward edges of closed rings. Holes need no mark: the even-odd rule subtracts them."""
     edges = []

@@ -37,7 +37,7 @@ def salted_join(
     ``spread_by`` are columns of ``big`` that differ between its rows (a feature id); the split is a
     hash of them, so a task run again after a lost executor makes the same split.
     """
-    found = hot_keys(big, keys, rows_per_task)
+    found = None if big.isStreaming else hot_keys(big, keys, rows_per_task)
     if found is None:
         return big.join(other, list(keys), how)
     hot = F.broadcast(found)

@@ -27,7 +27,7 @@ from waymark.operators.skew import salted_join
 Box = tuple[float, float, float, float]
 
 BROADCAST_MAX_SHAPES = 20_000
-BROADCAST_MAX_EDGES = 500_000
+BROADCAST_MAX_EDGES = 100_000  # a boundary cell repeats the edges to its right, about eight times over
 BROADCAST_MAX_WINDOWS = 500_000
 
 GEOM_SCHEMA = (
@@ -300,6 +300,8 @@ def count_matches(matches: DataFrame, ws: WindowSet) -> DataFrame:
     if ws.rows and len(ws.rows) == 1:
         return matches.agg(F.count("*").alias("n")).select(F.lit(ws.rows[0].name).alias("name"), "n")
     counts = matches.groupBy("name").agg(F.count("*").alias("n"))
+    # at most one row per window, so as bounded as the window table
+    counts = F.broadcast(counts) if ws.small else counts
     return ws.windows.select("name").join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -318,6 +320,7 @@ def selectivity(features: DataFrame, ws: WindowSet, time_col: str = "ts", **opti
         "span", F.col("cells") / level).drop("level")
     counts = points_in_windows(features, ws, time_col, mode="flag", **options).groupBy("name").agg(
         F.count("*").alias("candidates"), F.count_if("exact").alias("matches"))
+    counts, covers = (F.broadcast(counts), F.broadcast(covers)) if ws.small else (counts, covers)
     n, m = F.coalesce("candidates", F.lit(0)), F.coalesce("matches", F.lit(0))
     return ws.windows.select("name", "geom_id").join(covers, "geom_id").join(counts, "name", "left").select(
         "name", "cells", "span", n.alias("candidates"), m.alias("matches"),

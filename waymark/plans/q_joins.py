@@ -13,7 +13,7 @@ from waymark.operators.windows import (
 )
 from waymark.plans import presets as P, regions as R
 from waymark.plans.fixtures import (
-    geo_boxes, geo_events, geo_orders, table, track_segments, track_times, with_ctes,
+    geo_boxes, geo_events, geo_orders, mx_sql, my_sql, table, track_segments, track_times, with_ctes,
 )
 from waymark.plans.q_presets import SEGMENT_BOX_HITS_SQL
 from waymark.plans.q_projections import _RANDOM_BOX_SQL, random_boxes
@@ -49,6 +49,26 @@ def join_tracks_windows(spark, sf):
     return tracks_in_windows(track_segments(spark, sf), track_times(spark, sf), ws).select("track", "name")
 
 
+# buffers round a free point, with box features
+_FREE_POINT = (2.35, 48.86)
+_FREE_NAME = "TRANS-VIENNA-BUFFERS-(2.35,48.86)-"
+_FREE_DX = f"greatest({mx_sql('xmin')}-{num(geo.merc_xy(*_FREE_POINT)[0])}, 0e0, {num(geo.merc_xy(*_FREE_POINT)[0])}-{mx_sql('xmax')})"
+_FREE_DY = f"greatest({my_sql('ymin')}-{num(geo.merc_xy(*_FREE_POINT)[1])}, 0e0, {num(geo.merc_xy(*_FREE_POINT)[1])}-{my_sql('ymax')})"
+
+
+@query("vienna_buffers", with_ctes(
+    "geo_boxes", f"SELECT '{_FREE_NAME}' || km || '-KM' AS name, count(*) FILTER (WHERE dx*dx+dy*dy <= km*1000e0*(km*1000e0)) AS n FROM "
+    f"(SELECT {_FREE_DX} AS dx, {_FREE_DY} AS dy FROM geo_boxes), (VALUES {', '.join(f'({k})' for k in R.FREE_BUFFER_KM)}) b(km) GROUP BY km"))
+def vienna_buffers(spark, sf):
+    """One pass over the features counts all buffer sizes."""
+    mx, my = (F.lit(v) for v in geo.merc_xy(*_FREE_POINT))
+    box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    widest = geo_boxes(spark, sf).filter(geo.box_within_metres(box, mx, my, F.lit(max(R.FREE_BUFFER_KM) * 1000.0)))
+    counts = widest.agg(*[F.count_if(geo.box_within_metres(box, mx, my, F.lit(k * 1000.0))).alias(f"k{k}") for k in R.FREE_BUFFER_KM])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(f"{_FREE_NAME}{k}-KM").alias("name"), F.col(f"k{k}").alias("n")) for k in R.FREE_BUFFER_KM])))
+
+
 # ---- counts --------------------------------------------------------------------------------------
 
 _COUNT = P.france_halves(False, range(1995, 2002))
@@ -211,7 +231,6 @@ def _cells_sql(alias):
 def _selectivity_sql(source, ts, preset):
     shapes, rows = preset
     exact_box = f"f.lon BETWEEN s.xmin AND s.xmax AND f.lat BETWEEN s.ymin AND s.ymax"
-    from waymark.plans.fixtures import mx_sql, my_sql
     circle = f"(s.metres IS NULL OR pow({mx_sql('f.lon')}-s.mx,2)+pow({my_sql('f.lat')}-s.my,2) <= s.metres*s.metres)"
     return with_ctes(source, "SELECT w.name, c.cells, c.span, coalesce(k.candidates, 0) AS candidates, coalesce(k.matches, 0) AS matches, "
                      "CASE WHEN k.candidates > 0 THEN round((k.candidates-k.matches)/CAST(k.candidates AS DOUBLE), 6) ELSE 0e0 END AS extra FROM windows w "
