@@ -90,7 +90,7 @@ def agg_count_partial(spark, sf):
 
 
 @query("agg_count_iterate", with_ctes(
-    "geo_orders", f"SELECT w.name, count(*) AS n, sum(f.fid) AS fids, round(sum(f.price), 2) AS price, sum(length(f.priority)) AS chars FROM hits h JOIN geo_orders f ON f.fid = h.fid "
+    "geo_orders", f"SELECT w.name, count(*) AS n, CAST(sum(f.fid) AS BIGINT) AS fids, round(sum(f.price), 2) AS price, CAST(sum(length(f.priority)) AS BIGINT) AS chars FROM hits h JOIN geo_orders f ON f.fid = h.fid "
     f"JOIN windows w ON w.geom_id = h.geom_id AND {span_test('f.day')} GROUP BY w.name", windows_cte(_COUNT[1]), shapes_cte(_COUNT[0]), hits_cte("geo_orders")))
 def agg_count_iterate(spark, sf):
     return points_in_windows(geo_orders(spark, sf), window_set(spark, *_COUNT), "day").groupBy("name").agg(

@@ -38,8 +38,8 @@ def _iterated(name, preset, source="geo_orders", ts="day"):
     hit = "JOIN hits h ON h.fid = f.fid" if shapes else ""
     extra = [windows_cte(rows)] + ([shapes_cte(shapes), hits_cte(source)] if shapes else [])
     sql = with_ctes(
-        source, f"SELECT w.name, count(*) AS n, sum(f.fid) AS fids, sum(f.{number}) AS numbers, "
-        f"round(sum(f.{amount}), 2) AS amount, sum(length(f.{text}) + length(f.city)) AS chars, max(f.{ts}) AS last_time, "
+        source, f"SELECT w.name, count(*) AS n, CAST(sum(f.fid) AS BIGINT) AS fids, CAST(sum(f.{number}) AS BIGINT) AS numbers, "
+        f"round(sum(f.{amount}), 2) AS amount, CAST(sum(length(f.{text}) + length(f.city)) AS BIGINT) AS chars, max(f.{ts}) AS last_time, "
         "round(avg(f.lon), 6) AS lon, round(avg(f.lat), 6) AS lat "
         f"FROM {source} f {hit} JOIN windows w ON {span_test('f.' + ts)} GROUP BY w.name", *extra)
 

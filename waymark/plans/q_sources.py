@@ -49,7 +49,7 @@ def src_delimited(spark, sf):
                            "the_geom.lon", "the_geom.lat", "type_name")
 
 
-@query("src_skip_bad_files", "SELECT count(*) AS n, sum(event_id) AS ids FROM events")
+@query("src_skip_bad_files", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
 def src_skip_bad_files(spark, sf):
     events, path = table(spark, sf, "events"), scratch_dir(spark, "mixed")
     events.write.parquet(path + "/good")
@@ -121,7 +121,7 @@ def snk_features(spark, sf):
 
 
 @query("snk_layout", with_ctes(
-    "geo_orders", "SELECT extract(year FROM day) - 1970 AS period, count(*) AS n, sum(fid) AS fids, "
+    "geo_orders", "SELECT extract(year FROM day) - 1970 AS period, count(*) AS n, CAST(sum(fid) AS BIGINT) AS fids, "
     "TRUE AS sharded FROM geo_orders GROUP BY 1"))
 def snk_layout(spark, sf):
     """Space and time layout, clustered, with hash shards."""
@@ -145,7 +145,7 @@ def snk_register_schema(spark, sf):
 
 
 @query("snk_run_results", with_ctes(
-    "runs", "SELECT test AS is_test, system, count(*) AS n, sum(duration) AS duration FROM runs GROUP BY test, system"))
+    "runs", "SELECT test AS is_test, system, count(*) AS n, CAST(sum(duration) AS BIGINT) AS duration FROM runs GROUP BY test, system"))
 def snk_run_results(spark, sf):
     path, runs = scratch_dir(spark, "runs"), run_results(spark, sf)
     for system in ("A", "B"):
@@ -170,7 +170,7 @@ def snk_csv_export(spark, sf):
     return tables.read_result_csv(spark, _csv_trip(spark, sf))
 
 
-@query("src_result_csv", with_ctes("runs", "SELECT system, count(*) AS n, sum(result) AS result, sum(\"startTime\") AS started FROM runs GROUP BY system"))
+@query("src_result_csv", with_ctes("runs", "SELECT system, count(*) AS n, CAST(sum(result) AS BIGINT) AS result, CAST(sum(\"startTime\") AS BIGINT) AS started FROM runs GROUP BY system"))
 def src_result_csv(spark, sf):
     path = scratch_dir(spark, "csv")
     tables.export_csv(run_results(spark, sf), path)

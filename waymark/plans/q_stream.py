@@ -45,7 +45,7 @@ def str_cell_counts(spark, sf):
     return jobs.drain(jobs.cell_counts(point_stream(spark, sf), 5, "1 hour", "10 minutes"), "cells")
 
 
-@query("str_ingest", with_ctes("geo_events", "SELECT CAST(floor(epoch(ts)/86400) AS BIGINT) AS period, count(*) AS n, sum(fid) AS fids FROM geo_events GROUP BY 1"))
+@query("str_ingest", with_ctes("geo_events", "SELECT CAST(floor(epoch(ts)/86400) AS BIGINT) AS period, count(*) AS n, CAST(sum(fid) AS BIGINT) AS fids FROM geo_events GROUP BY 1"))
 def str_ingest(spark, sf):
     base = scratch_dir(spark, "ingest")
     jobs.ingest(point_stream(spark, sf), base + "/out", base + "/checkpoint").awaitTermination()
