@@ -10,7 +10,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.operators.skew import salted_join
+from waymark.operators.skew import join_measured, salted_join
 from waymark.session import cut_lineage
 
 
@@ -188,4 +188,4 @@ def density_clusters(df: DataFrame, eps: float, min_points: int, fid: str = "fid
     border = pairs(edge, core).select("x", "y", node("kx", "ky").alias("node")).distinct().join(labels, "node").groupBy("x", "y").agg(
         F.min("label").alias("cluster"), F.lit(False).alias("core"))
     marked = core_labelled.unionByName(border)
-    return points.join(marked, ["x", "y"], "left").select("fid", F.coalesce("cluster", F.lit("-1")).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+    return join_measured(points, marked, ["x", "y"], ["fid"], "left").select("fid", F.coalesce("cluster", F.lit("-1")).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from waymark.functions import cells, draws, geo
-from waymark.operators.skew import salted_join
+from waymark.operators.skew import join_measured, salted_join
 from waymark.session import cut_lineage
 
 
@@ -127,9 +127,10 @@ def nearest_neighbours(df: DataFrame, fid: str = "fid", cell_limit: int = 16, st
     """
     points = df.select(F.col(fid).alias("fid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     first = points.groupBy("x", "y").agg(F.min("fid").alias("first"), F.count("*").alias("n"))
-    copies = points.join(first.filter("n > 1"), ["x", "y"])
-    second = copies.filter(F.col("fid") != F.col("first")).groupBy("x", "y").agg(F.min("fid").alias("second"))
-    settled = copies.join(second, ["x", "y"]).select(
+    repeated = first.filter("n > 1").select("x", "y", "first")
+    copies = join_measured(points, repeated, ["x", "y"], ["fid"])
+    second = copies.filter(F.col("fid") != F.col("first")).groupBy("x", "y", "first").agg(F.min("fid").alias("second"))
+    settled = join_measured(points, second, ["x", "y"], ["fid"]).select(
         "fid", F.when(F.col("fid") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("nn"), F.lit(0.0).alias("d2"))
     parts = [settled]
 

@@ -47,7 +47,9 @@ def exact_quantiles(
     cut_probs = F.array(*[F.lit(i / n_cuts) for i in range(1, n_cuts)])
     sketch = cut_lineage(rows.groupBy(*by).agg(F.percentile_approx("_v", cut_probs, 10 * n_cuts).alias("_cuts"), F.count("*").alias("_total")))
     if by:
-        bucketed = rows.join(sketch, by).select(*by, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
+        # one row per group and at most GROUP_CUTS numbers each
+        side = F.broadcast(sketch) if sketch.count() <= 100_000 else sketch
+        bucketed = rows.join(side, by).select(*by, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
     else:
         cuts = sorted(set(sketch.first()["_cuts"] or []))  # at most CUTS numbers
         bucketed = rows.select("_v", F.expr(_bucket(cuts)).alias("_b"))

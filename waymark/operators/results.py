@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.operators.quantiles import bounded_quantiles, scalar_array
-from waymark.operators.skew import running_sum
+from waymark.operators.skew import join_measured, running_sum
 
 
 def without_outliers(runs: DataFrame, col: str = "duration") -> DataFrame:
@@ -95,7 +95,7 @@ def regression(df: DataFrame, by: Sequence[str], y: str = "duration", x: str = "
 
 
 def predict(df: DataFrame, lines: DataFrame, by: Sequence[str], x: str = "result") -> DataFrame:
-    return df.join(lines.select(*by, "slope", "intercept"), list(by)).withColumn(
+    return join_measured(df, lines.select(*by, "slope", "intercept"), by, ["uuid"]).withColumn(
         "predicted", F.col("intercept") + F.col("slope") * F.col(x))
 
 
@@ -117,7 +117,7 @@ def group_values(runs: DataFrame) -> DataFrame:
     """
     groups = runs.groupBy("queryName", "system").agg(
         F.count("*").alias("n"), (F.min("result") != F.max("result")).alias("differs"))
-    return runs.join(groups, ["queryName", "system"]).select(
+    return join_measured(runs, groups, ["queryName", "system"], ["uuid"]).select(
         "queryName", "system", "duration", (F.col("timeAtFirstResult") - F.col("startTime")).alias("first"),
         (F.col("endTime") - F.col("timeAtFirstResult")).alias("rest"), "n", "differs")
 
@@ -151,7 +151,7 @@ def requests_by_key(runs: DataFrame, keys: Sequence[str], ok: Column) -> DataFra
 def without_warmup(repeats: DataFrame, by: str, order: str) -> DataFrame:
     """Drop the first repeat of each measurement, without ordering a group in one task."""
     first = repeats.groupBy(by).agg(F.min(order).alias("_first"))
-    return repeats.join(first, by).filter(F.col(order) > F.col("_first")).drop("_first")
+    return join_measured(repeats, first, [by], [order]).filter(F.col(order) > F.col("_first")).drop("_first")
 
 
 def numbered_pairs(df: DataFrame, columns: Sequence[str], out: str = "group") -> DataFrame:

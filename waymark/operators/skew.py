@@ -51,6 +51,18 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_measured(
+    big: DataFrame, other: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner",
+    max_rows: int = 200_000,
+) -> DataFrame:
+    """Join with a side that is usually small: it is worked out first, broadcast if its row count is within
+    the limit, and otherwise joined with hot keys split."""
+    other = cut_lineage(other)
+    if other.count() <= max_rows:
+        return big.join(F.broadcast(other), list(keys), how)
+    return salted_join(big, other, keys, spread_by, how)
+
+
 def _as_number(df: DataFrame, column: str) -> Column:
     if dict(df.dtypes)[column].startswith("timestamp"):
         return unix_millis(F.col(column))
