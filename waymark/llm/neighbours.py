@@ -63,8 +63,13 @@ def encode(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cosine(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; the sums of equal rows are equal to the last bit."""
-    return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
+    """Cosines in double precision, summed in the order of the components: equal rows agree to the last bit."""
+    total = lambda x: np.add.accumulate(x, axis=-1)[..., -1]
+    left, right = total(vectors * vectors), total(query * query)
+    with np.errstate(over="ignore", under="ignore"):
+        norms = left * right
+    norms = np.where(np.isfinite(norms) & (norms > 1e-290), np.sqrt(norms), np.sqrt(left) * np.sqrt(right))
+    return total(vectors * query) / norms
 
 
 def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -48,7 +48,7 @@ FROM pairs QUALIFY rank <= 5
 """
 
 
-@query("op7_one_bit_neighbours")
+@query("op7_one_bit_neighbours", OP7_SQL)
 def one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every fiftieth vector among all others."""
     vectors = table(spark, sf_dir, "embeddings")
