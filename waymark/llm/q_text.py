@@ -1,10 +1,11 @@
-"""Queries on documents: mixing, decontamination."""
+"""Queries on documents: mixing, decontamination, language."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, mixing
+from waymark.llm import decontaminate, language, mixing
 from waymark.llm.registry import query, table
 
 # Seats are listed one by one here, which the operator never does.
@@ -82,3 +83,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, windows of ten words."""
     index = decontaminate.build_index(table(spark, sf_dir, "documents"))
     return decontaminate.report(decontaminate.phrase_hits(index, table(spark, sf_dir, "benchmark"), window=10))
+
+
+@query("op8_language")
+def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by frozen context trees; no SQL can express the code lengths."""
+    docs = table(spark, sf_dir, "documents")
+    kept = (F.col("doc_id").alias("doc_id"), language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.identify(docs, language.learn(docs, per_language=400), *kept)
