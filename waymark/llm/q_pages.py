@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import warc
+from waymark.llm import warc, wrappers
 from waymark.llm.registry import query, table
 
 # Five hex digits are four letters of base 32. The URL key is left to string functions.
@@ -33,3 +33,9 @@ def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives, indexed, merged and read back."""
     runs = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_archives(warc.merge_runs(runs))
+
+
+@query("op9_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages by host wrappers; no SQL can express the alignment."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
