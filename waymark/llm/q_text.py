@@ -1,11 +1,11 @@
-"""Queries on documents: mixing, decontamination, language."""
+"""Queries on documents: mixing, decontamination, language, language model."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, language, mixing
+from waymark.llm import decontaminate, kneser, language, mixing
 from waymark.llm.registry import query, table
 
 # Seats are listed one by one here, which the operator never does.
@@ -91,3 +91,12 @@ def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = (F.col("doc_id").alias("doc_id"), language.held_out(F.col("doc_id")).alias("held_out"))
     return language.identify(docs, language.learn(docs, per_language=400), *kept)
+
+
+@query("op2_language_model")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of six in seven of them; sums of logarithms have no exact SQL."""
+    docs = table(spark, sf_dir, "documents")
+    out = kneser.held_out(F.col("doc_id"))
+    model = kneser.train(docs.filter(~out))
+    return kneser.score(docs, model, F.col("doc_id").alias("doc_id"), out.alias("held_out"))
