@@ -107,7 +107,7 @@ class _Segment:
         origin = np.repeat(starts, end - begin)
         spans = pa.StructArray.from_arrays([pa.array(first[pick] - origin, pa.int64()), pa.array(last[pick] - origin, pa.int64())], ["first", "last"])
         item_bounds = np.append(np.searchsorted(docs, doc), len(docs)).astype(np.int32)
-        columns = [pa.array([self.name] * len(doc)), pa.array(doc, pa.int32()), pa.array([self.ids[d] for d in doc], pa.int64()),
+        columns = [pa.array([self.name] * len(doc), pa.string()), pa.array(doc, pa.int32()), pa.array([self.ids[d] for d in doc], pa.int64()),
                    pa.array(np.diff(self.bounds)[doc], pa.int64()), pa.ListArray.from_arrays(pa.array(span_bounds), spans),
                    pa.ListArray.from_arrays(pa.array(item_bounds), pa.array(names, pa.string()))]
         return pa.RecordBatch.from_arrays(columns, ["segment", "ordinal", "doc_id", "n_words", "spans", "items"])

@@ -78,7 +78,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
                     bytes_, own = _padded(data[bounds[i]:bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))
                     b = bytes_.astype(np.int64)
                     gram, n = np.unique(((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:])[own[3:]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     return sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

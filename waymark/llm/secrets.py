@@ -11,7 +11,7 @@ at the nearest part of each role on both sides, which decides existence without
 Positions come from splitting at the matches: a match starts behind all pieces and matches before it. Scan results
 hold lengths only and are written once with a row number, so nothing of the texts is shuffled.
 
-Defined cases: a null text is empty; repeated rows and repeated or null ids each give their own row; overlapping spans
+Defined cases: a null text has no spans, and stays null when redacted; repeated rows and repeated or null ids each give their own row; overlapping spans
 of different kinds all stay. Other columns pass through ``redact`` unchanged, whatever their names.
 """
 

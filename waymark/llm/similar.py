@@ -313,7 +313,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"), F.col("same"))).alias("best")
     kept = rows.groupBy("label").agg(best).select(F.col("best.row_key").alias("kept"), (F.col("best.same") > 1).alias("repeated"))
     alone = found.filter("label is null").select(F.col("row_key").alias("kept"), F.lit(False).alias("repeated")).distinct()
-    both = docs.join(cut_lineage(kept.unionByName(alone)), row_key(doc_id, text) == F.col("kept"))
+    packed = docs.select(row_key(doc_id, text).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    both = packed.join(cut_lineage(kept.unionByName(alone)), F.col("row_key") == F.col("kept"))
     # Only rows that stand there more than once are dealt by key again, and one of each is kept.
     once = both.filter("repeated").dropDuplicates(["kept"])
-    return both.filter("not repeated").unionByName(once).drop("kept", "repeated")
+    return both.filter("not repeated").unionByName(once).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
