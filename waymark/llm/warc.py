@@ -256,5 +256,7 @@ def read_archives(index: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    rows = index.repartition("file").sortWithinPartitions("file", "offset").select("urlkey", "captured", "file", "offset", "length")
+    # The entries are small and the records are not: one task per file, which adaptive execution must not put together.
+    n_files = max(1, index.select("file").distinct().count())
+    rows = index.repartition(n_files, "file").sortWithinPartitions("file", "offset").select("urlkey", "captured", "file", "offset", "length")
     return rows.mapInArrow(read, _RECORD)
