@@ -45,7 +45,9 @@ def brute(train, text):
     return out, len(w), sum(x in words for x in w), sum(words.values()), sum(math.log10((words[x] + 1) / (sum(words.values()) + len(words) + 1)) for x in w)
 
 
-def test_scores(spark):
+@pytest.mark.parametrize("group", [1 << 21, 4])
+def test_scores(spark, monkeypatch, group):
+    monkeypatch.setattr(kneser, "GROUP_WORDS", group)
     unseen = ["a zzz the cat", "mat hat cat", "b c q q a b"]
     frame = lambda texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     model = kneser.train(frame(TEXTS))

@@ -40,6 +40,7 @@ from waymark.session import scratch_dir
 
 END = mixed(np.array([0x656E64], np.uint64))[0]
 PAIRS = 1 << 22  # of a block; bounds a task's memory
+GROUP_WORDS = 1 << 21  # whose partners are added up together
 _BLOCK = "bucket int, hashes binary, counts binary, keys bigint, total bigint"
 _DONE = "bucket int, keys bigint, total bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"
 
@@ -237,47 +238,54 @@ def train(docs: DataFrame, folder: str | None = None, text: str = "text") -> dic
             yield from _blocks(*np.unique(np.concatenate(held), return_counts=True), bits)
 
     bases = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    order = np.array(buckets, np.int64)
+    # Word ranges in groups of about GROUP_WORDS, so that blocks per pair range follow the words, not the ranges.
+    group_of = (bases[:-1] // GROUP_WORDS).tolist()
+    firsts = [i for i, g in enumerate(group_of) if i == 0 or g != group_of[i - 1]]
+    bounds_of = np.append(bases[firsts], known + 1) if firsts else np.array([0, 1])
 
     def merge_pairs(group: pd.DataFrame) -> pd.DataFrame:
-        """The pairs of a range; and per word range, how many partners each word has there, by count."""
+        """The pairs of a range; and per group of word ranges, how many partners each word has there, by count."""
         pairs, counts, done = _merge(folder, "pair", group)
         both = unmixed(pairs)
         before, word = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rows = []
         for kind, numbers in ((0, word), (1, before[counts == 1]), (2, before[counts == 2]), (3, before[counts > 2])):
             numbers, n = np.unique(numbers, return_counts=True)
-            edges = np.searchsorted(numbers, np.append(bases, known + 1))
+            edges = np.searchsorted(numbers, bounds_of)
             for i in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[i], edges[i + 1])
-                rows.append((int(order[i]) if i < len(order) else -1, kind, pack(numbers[part].astype(np.uint64)), pack_counts(n[part]), len(n[part])))
-        out = pd.DataFrame(rows, columns=["word_bucket", "kind", "hashes", "counts", "keys"])
+                rows.append((int(i), kind, pack(numbers[part].astype(np.uint64)), pack_counts(n[part]), len(n[part])))
+        out = pd.DataFrame(rows, columns=["word_group", "kind", "hashes", "counts", "keys"])
         for name in ("bucket", "total", "n1", "n2", "n3", "n4"):
             out[name] = done[name].iloc[0]
         out["pairs"] = done["keys"].iloc[0]
         return out
 
-    partners = "word_bucket int, kind int, hashes binary, counts binary, keys bigint, bucket int, total bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, pairs bigint"
+    partners = "word_group int, kind int, hashes binary, counts binary, keys bigint, bucket int, total bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, pairs bigint"
     path = scratch_dir(spark, "partners")
     texts.mapInArrow(count_pairs, _BLOCK).groupBy("bucket").applyInPandas(merge_pairs, partners).write.parquet(path)
     found = spark.read.parquet(path)
     pair_ranges = found.select("bucket", "pairs", "n1", "n2", "n3", "n4").distinct().toPandas().sort_values("bucket")  # a row per range
 
     def add_partners(group: pd.DataFrame) -> pd.DataFrame:
-        """Dense arrays for the words of a range: distinct words before them, and followers by count."""
-        bucket = int(group["word_bucket"].iloc[0])
-        i = int(np.searchsorted(order, bucket)) if bucket >= 0 else len(order)
-        base, size = int(bases[i]), int(sizes[i]) if bucket >= 0 else 1
-        dense = np.zeros((4, size), np.int64)
+        """Dense arrays for the words of a group, saved by range: distinct words before them, and followers by count."""
+        group_number = int(group["word_group"].iloc[0])
+        base, behind = int(bounds_of[group_number]), int(bounds_of[group_number + 1])
+        dense = np.zeros((4, behind - base), np.int64)
         for kind, hashes, counts, n in zip(group["kind"], group["hashes"], group["counts"], group["keys"], strict=True):
             dense[kind, unpack(hashes, n).astype(np.int64) - base] += unpack_counts(counts, n)
-        for kind in range(4):
-            _save(folder, f"partner{kind}-{bucket:06d}", dense[kind].astype(np.uint32))
+        own = range(firsts[group_number], (firsts + [len(sizes)])[group_number + 1])
+        pieces = [(buckets[i], int(bases[i]), int(bases[i + 1])) for i in own]
+        if behind == known + 1:  # the start mark has the last number
+            pieces.append((-1, known, known + 1))
+        for bucket, begin, end in pieces:
+            for kind in range(4):
+                _save(folder, f"partner{kind}-{bucket:06d}", dense[kind, begin - base:end - base].astype(np.uint32))
         often = [int((dense[0] == k).sum()) for k in (1, 2, 3, 4)]
-        return pd.DataFrame([[bucket, int((dense[0] > 0).sum()), int(dense[0].sum()), *often]], columns=["bucket", "keys", "total", "n1", "n2", "n3", "n4"])
+        return pd.DataFrame([[group_number, int((dense[0] > 0).sum()), int(dense[0].sum()), *often]], columns=["bucket", "keys", "total", "n1", "n2", "n3", "n4"])
 
-    chosen = found.select("word_bucket", "kind", "hashes", "counts", "keys")
-    partner_ranges = chosen.groupBy("word_bucket").applyInPandas(add_partners, _DONE).toPandas()
+    chosen = found.select("word_group", "kind", "hashes", "counts", "keys")
+    partner_ranges = chosen.groupBy("word_group").applyInPandas(add_partners, _DONE).toPandas()
     end_count = _Ranges(folder, "word", bits, buckets, sizes).find(np.array([END], np.uint64), "word-count")[1][0]
     of = lambda frame: [int(frame[n].sum()) for n in ("n1", "n2", "n3", "n4")]
     lower, upper = of(partner_ranges), of(pair_ranges)
