@@ -109,6 +109,17 @@ def box_within_metres(box: Sequence[Column], mx, my, metres) -> Column:
     return dx * dx + dy * dy <= metres * metres
 
 
+def segment_within_metres(s: Sequence[Column], mx, my, metres) -> Column:
+    """Any part of a segment, straight on the map, within map metres of the projected centre."""
+    ax, ay, bx, by = merc_x(s[0]), merc_y(s[1]), merc_x(s[2]), merc_y(s[3])
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    along = F.when(length == 0, F.lit(0.0)).otherwise(((mx - ax) * dx + (my - ay) * dy) / length)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    x, y = ax + part * dx - mx, ay + part * dy - my
+    return x * x + y * y <= metres * metres
+
+
 def edges_of_rings(rings: Sequence[Sequence[tuple[float, float]]]) -> list[tuple[float, float, float, float]]:
     """Upward edges of closed rings. Holes need no mark: the even-odd rule subtracts them."""
     edges = []

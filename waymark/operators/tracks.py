@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.functions import geo
+from waymark.functions.times import TimeSpan, in_span
 from waymark.operators.skew import salted_join
 from waymark.operators.windows import WindowSet, with_grid_keys, match_times, multi_level_chips
 
@@ -31,13 +32,15 @@ def tracks_meeting_shapes(segments: DataFrame, ws: WindowSet, track: str = "trac
         test = geo.segment_meets_box(s, shape.box)
         if shape.edges:
             test = test & geo.segment_meets_edges(s, geo.edges_literal(shape.edges))
+        if shape.circle:
+            test = test & geo.segment_within_metres(s, *[F.lit(v) for v in shape.circle])
         return segments.filter(test).select(track, F.lit(shape.geom_id).alias("geom_id")).distinct()
 
     box = _segment_box(s)
     if ws.envelope:
         segments = segments.filter(geo.boxes_meet(box, [F.lit(v) for v in ws.envelope]))
     chips = multi_level_chips(ws)
-    keyed = with_grid_keys(segments.select(track, *s), box, ws.levels, (s[0], s[1]))
+    keyed = with_grid_keys(segments.select(track, *s, F.xxhash64(*segments.columns).alias("_row")), box, ws.levels, (s[0], s[1]))
     # a cell wholly inside counts only for the segment's own start: any other way in crosses an edge,
     # and that crossing lies in a boundary cell the segment also looks at
     in_polygon = (
@@ -45,13 +48,10 @@ def tracks_meeting_shapes(segments: DataFrame, ws: WindowSet, track: str = "trac
         | F.exists(F.coalesce("near", F.array().cast(geo.EDGE_TYPE)), lambda e: geo.segment_crosses_edge(s, e))
     )
     shape_box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
-    polygons = ws.geoms.filter(F.col("edges").isNotNull()).select("geom_id", F.lit(True).alias("_poly"))
-    return (
-        (keyed.join(F.broadcast(chips), "key") if ws.small else salted_join(keyed, chips, ["key"], ["x1", "y1", "x2", "y2"]))
-        .join(polygons, "geom_id", "left")
-        .filter(geo.segment_meets_box(s, shape_box) & (F.col("_poly").isNull() | in_polygon))
-        .select(track, "geom_id").distinct()
-    )
+    in_circle = F.col("metres").isNull() | geo.segment_within_metres(s, F.col("mx"), F.col("my"), F.col("metres"))
+    joined = keyed.join(F.broadcast(chips), "key") if ws.small else salted_join(keyed, chips, ["key"], ["_row"])
+    met = geo.segment_meets_box(s, shape_box) & F.when(F.col("polygon"), in_polygon).otherwise(in_circle)
+    return joined.filter(met).select(track, "geom_id").distinct()
 
 
 def tracks_in_windows(
@@ -59,7 +59,11 @@ def tracks_in_windows(
 ) -> DataFrame:
     """Rows of ``tracks`` (one per track, with its time) with the ``name`` of each window they meet.
 
-    The join back on the track id comes after the distinct, so a long track is one row per shape there.
+    Tracks outside of the windows' reach in time go first, and their segments with them. The join back on the track
+    id comes after the distinct, so a long track is one row per shape there.
     """
+    if ws.span.lo is not None or ws.span.hi is not None:
+        tracks = tracks.filter(in_span(F.col(time_col), TimeSpan(ws.span.lo, ws.span.hi, True)))
+        segments = segments.join(tracks.select(track).distinct(), track, "left_semi")
     matched = tracks_meeting_shapes(segments, ws, track).join(tracks, track)
     return match_times(matched, ws, time_col, track)

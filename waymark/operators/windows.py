@@ -21,14 +21,16 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.functions import cells, geo
-from waymark.functions.times import ALL_TIME, TimeSpan, in_span, in_span_columns, ntz
+from waymark.functions.times import ALL_TIME, TimeSpan, in_span, in_span_columns
 from waymark.operators.skew import salted_join
 
 Box = tuple[float, float, float, float]
 
-BROADCAST_MAX_SHAPES = 20_000
+# rows after they have grown: one per shape and cell, one per window and time bucket
+BROADCAST_MAX_CHIPS = 800_000
 BROADCAST_MAX_EDGES = 100_000  # a boundary cell repeats the edges to its right, about eight times over
-BROADCAST_MAX_WINDOWS = 500_000
+BROADCAST_MAX_WINDOW_ROWS = 500_000
+BUCKETS_PER_WINDOW = 32
 
 GEOM_SCHEMA = (
     f"geom_id string, xmin double, ymin double, xmax double, ymax double, edges {geo.EDGE_TYPE}, "
@@ -50,6 +52,12 @@ class Shape:
         # a polygon gains from small cells (fewer edges each, more cells wholly inside); a box or circle does not
         return cells.level_for(self.box[2] - self.box[0], self.box[3] - self.box[1], 8 if self.edges else 4)
 
+    @property
+    def most_cells(self) -> float:
+        """A bound on the cells of its cover."""
+        xmin, ymin, xmax, ymax = self.box
+        return ((xmax - xmin) * 2 ** self.level / 360 + 2) * ((ymax - ymin) * 2 ** self.level / 180 + 2)
+
 
 def box_shape(geom_id: str, box: Sequence[float]) -> Shape:
     return Shape(geom_id, tuple(float(v) for v in box))
@@ -98,6 +106,8 @@ class WindowSet:
     span: TimeSpan
     max_seconds: float
     open_ended: bool
+    untimed: bool
+    has_polygons: bool
     shapes: list[Shape] = field(default_factory=list)
     rows: list[WindowRow] = field(default_factory=list)
 
@@ -111,20 +121,30 @@ def window_set(spark: SparkSession, shapes: Iterable[Shape], rows: Iterable[Wind
     shapes, rows = list({s.geom_id: s for s in shapes}.values()), list(rows)
     geoms = spark.createDataFrame(
         [(s.geom_id, *s.box, list(s.edges) or None, *(s.circle or (None,) * 3), s.level) for s in shapes], GEOM_SCHEMA)
+    spans = [r.span for r in rows]
+    longest = max([(t.hi - t.lo).total_seconds() for t in spans if t.lo and t.hi] or [0.0])
     windows = spark.createDataFrame([(r.name, r.geom_id, *r.span) for r in rows], WINDOW_SCHEMA)
     return WindowSet(
         geoms=geoms, windows=windows,
         levels=sorted({s.level for s in shapes}),
         n_windows=len(rows),
-        small=(len(shapes) <= BROADCAST_MAX_SHAPES and sum(len(s.edges) for s in shapes) <= BROADCAST_MAX_EDGES
-               and len(rows) <= BROADCAST_MAX_WINDOWS),
-        envelope=_envelope(shapes), span=_reach(rows),
-        max_seconds=max([(r.span.hi - r.span.lo).total_seconds() for r in rows if r.span.lo and r.span.hi] or [0.0]),
-        open_ended=any((r.span.lo is None) != (r.span.hi is None) or r.span == ALL_TIME for r in rows),
+        small=_small(sum(s.most_cells for s in shapes), sum(len(s.edges) for s in shapes), sum(
+            (t.hi - t.lo).total_seconds() // _bucket_seconds(longest) + 2 if t.lo and t.hi else 1 for t in spans)),
+        envelope=_envelope(shapes), span=_reach(rows), max_seconds=longest,
+        open_ended=any(t.lo is None or t.hi is None for t in spans), untimed=all(t.lo is None and t.hi is None for t in spans),
+        has_polygons=any(s.edges for s in shapes),
         shapes=shapes, rows=rows,
     )
 
 
+def _bucket_seconds(longest: float) -> float:
+    return max(86400.0, longest / BUCKETS_PER_WINDOW)
+
+
+def _small(chips: float, edges: float, window_rows: float) -> bool:
+    return chips <= BROADCAST_MAX_CHIPS and edges <= BROADCAST_MAX_EDGES and window_rows <= BROADCAST_MAX_WINDOW_ROWS
+
+
 def _envelope(shapes: list[Shape]) -> Box | None:
     if not shapes:
         return None
@@ -153,27 +173,30 @@ def window_set_from_tables(geoms: DataFrame, windows: DataFrame) -> WindowSet:
     windows = windows.withColumn("closed", F.coalesce("closed", F.lit(False)))
     g = geoms.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.coalesce("edges", F.array().cast(geo.EDGE_TYPE)))), F.lit(0)).alias("edges"),
-        F.collect_set("level").alias("levels"), F.min("xmin").alias("a"), F.min("ymin").alias("b"),
+        F.collect_set("level").alias("levels"), F.count_if(F.col("edges").isNotNull()).alias("polygons"), F.sum(cells.n_box_cells(
+            F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("level"))).alias("chips"), F.min("xmin").alias("a"), F.min("ymin").alias("b"),
         F.max("xmax").alias("c"), F.max("ymax").alias("d")).first()
     seconds = cells.unix_seconds(F.col("hi")) - cells.unix_seconds(F.col("lo"))
     w = windows.agg(
         F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(seconds).alias("longest"),
-        F.count_if(F.col("lo").isNull()).alias("no_lo"), F.count_if(F.col("hi").isNull()).alias("no_hi")).first()
+        F.count_if(F.col("lo").isNull()).alias("no_lo"), F.count_if(F.col("hi").isNull()).alias("no_hi"),
+        F.count_if(F.coalesce("lo", "hi").isNull()).alias("no_end"), F.sum(seconds).alias("seconds")).first()
+    longest = float(w["longest"] or 0)
     return WindowSet(
         geoms=geoms.select(*[f.split()[0] for f in GEOM_SCHEMA.replace(geo.EDGE_TYPE, "x").split(", ")]),
         windows=windows.select("name", "geom_id", "lo", "hi", "closed"),
         levels=sorted(g["levels"]), n_windows=w["n"],
-        small=g["n"] <= BROADCAST_MAX_SHAPES and g["edges"] <= BROADCAST_MAX_EDGES and w["n"] <= BROADCAST_MAX_WINDOWS,
+        small=_small(g["chips"] or 0, g["edges"], float(w["seconds"] or 0) / _bucket_seconds(longest) + 2 * w["n"]),
         envelope=(g["a"], g["b"], g["c"], g["d"]) if g["n"] else None,
         span=TimeSpan(None if w["no_lo"] else w["lo"], None if w["no_hi"] else w["hi"], True),
-        max_seconds=float(w["longest"] or 0), open_ended=bool(w["no_lo"] or w["no_hi"]),
+        max_seconds=longest, open_ended=bool(w["no_lo"] or w["no_hi"]), untimed=w["no_end"] == w["n"], has_polygons=g["polygons"] > 0,
     )
 
 
 def shape_chips(geoms: DataFrame, level: Column | None = None, tag: Column | None = None) -> DataFrame:
     """One row per shape and grid cell: ``key`` and the edges that still matter in the cell.
 
-    ``near`` is null when no polygon test is needed (plain box or cell wholly inside).
+    ``near`` is null when no polygon test is needed (plain box or cell wholly inside); ``polygon`` tells the two apart.
     """
     level = F.col("level") if level is None else level
     tagged = geoms.withColumn("_level", level).withColumn("_tag", level if tag is None else tag)
@@ -197,7 +220,7 @@ def shape_chips(geoms: DataFrame, level: Column | None = None, tag: Column | Non
         .select(
             cells.cell_key(F.col("_tag") * 32 + F.col("_level"), F.col("_cell.cx"), F.col("_cell.cy")).alias("key"),
             "geom_id", "xmin", "ymin", "xmax", "ymax",
-            F.when(F.col("_boundary"), F.col("near")).alias("near"), "mx", "my", "metres")
+            F.when(F.col("_boundary"), F.col("near")).alias("near"), F.col("edges").isNotNull().alias("polygon"), "mx", "my", "metres")
     )
 
 
@@ -207,7 +230,12 @@ def _point_keys(lon: Column, lat: Column, levels: Sequence[int]) -> Column:
 
 
 def shape_test(shape: Shape, lon: Column, lat: Column, mode: str = "exact") -> Column:
-    """One shape as a filter: box comparisons first (they reach the scan), then the exact part."""
+    """One shape as a filter: box comparisons first (they reach the scan), then the exact part.
+
+    The loose cover of a polygon leaves out cells that it does not touch, so it needs the chips.
+    """
+    if mode == "loose" and shape.edges:
+        raise ValueError("a polygon has no loose test of its own")
     if mode == "loose":
         lv = shape.level
         lo = [F.lit(v) for v in shape.box]
@@ -225,7 +253,7 @@ def shape_test(shape: Shape, lon: Column, lat: Column, mode: str = "exact") -> C
 
 def _match_shapes(features: DataFrame, ws: WindowSet, lon: str, lat: str, mode: str, fid: str) -> DataFrame:
     x, y = F.col(lon), F.col(lat)
-    if len(ws.shapes) == 1 and mode != "flag":
+    if len(ws.shapes) == 1 and mode != "flag" and not (mode == "loose" and ws.has_polygons):
         return features.filter(shape_test(ws.shapes[0], x, y, mode)).withColumn("geom_id", F.lit(ws.shapes[0].geom_id))
     if mode == "exact" and ws.envelope:
         features = features.filter(geo.in_box(x, y, ws.envelope))
@@ -244,27 +272,25 @@ def _match_shapes(features: DataFrame, ws: WindowSet, lon: str, lat: str, mode:
         joined = joined.filter(exact)
     elif mode == "flag":
         joined = joined.withColumn("exact", exact)
-    return joined.drop("key", "near", "xmin", "ymin", "xmax", "ymax", "mx", "my", "metres")
+    return joined.drop("key", "near", "polygon", "xmin", "ymin", "xmax", "ymax", "mx", "my", "metres")
 
 
 OPEN_BUCKET = -(2**40)
 
 
 def match_times(matched: DataFrame, ws: WindowSet, time_col: str, fid: str = "fid") -> DataFrame:
-    """(feature, shape) rows to (feature, window) rows."""
+    """(feature, shape) rows to (feature, window) rows. A window without ends takes features without a time, too."""
     ts = F.col(time_col)
     if ws.rows and len(ws.rows) == 1:
-        kept = matched if ws.rows[0].span == ALL_TIME else matched.filter(in_span(ts, ws.rows[0].span))
+        kept = matched if ws.untimed else matched.filter(in_span(ts, ws.rows[0].span))
         return kept.withColumn("name", F.lit(ws.rows[0].name)).drop("geom_id")
-    untimed = ws.span.lo is None and ws.span.hi is None and ws.max_seconds == 0 and (
-        all(r.span == ALL_TIME for r in ws.rows) if ws.rows else False)
     windows = ws.windows
-    if untimed:
+    if ws.untimed:
         windows = windows.select("name", "geom_id")
         joined = matched.join(F.broadcast(windows), "geom_id") if ws.small else salted_join(
             matched, windows, ["geom_id"], [fid])
         return joined.drop("geom_id")
-    width = max(86400.0, ws.max_seconds / 32)
+    width = _bucket_seconds(ws.max_seconds)
     bucket = lambda c: F.floor(cells.unix_seconds(c) / F.lit(width)).cast("long")
     bounded = F.col("lo").isNotNull() & F.col("hi").isNotNull()
     windows = windows.withColumn("_bucket", F.explode(
@@ -373,20 +399,38 @@ def multi_level_chips(ws: WindowSet) -> DataFrame:
     return shape_chips(ws.geoms.withColumn("_grid", F.explode(coarser)), F.col("_grid"), F.col("level"))
 
 
+def _box_meets_shape(own: Sequence[Column], level: Column, cx: Column, cy: Column) -> Column:
+    """A box feature against the shape of a chip it shares a cell with."""
+    # within a boundary cell: an edge meets the box, or the part of the box in the cell lies inside
+    n = F.pow(F.lit(2.0), level)
+    x = F.greatest(own[0], cx / n * 360.0 - 180.0)
+    y = F.greatest(own[1], cy / n * 180.0 - 90.0)
+    crossed = F.exists("near", lambda e: geo.segment_meets_box((e["x1"], e["y1"], e["x2"], e["y2"]), own))
+    polygon = F.col("near").isNull() | crossed | geo.in_edges(x, y, F.col("near"))
+    circle = F.col("metres").isNull() | geo.box_within_metres(own, F.col("mx"), F.col("my"), F.col("metres"))
+    return F.when(F.col("polygon"), polygon).otherwise(circle)
+
+
 def extents_in_windows(extents: DataFrame, ws: WindowSet, time_col: str = "day", fid: str = "fid") -> DataFrame:
-    """``fid, name`` of box features (xmin, ymin, xmax, ymax) that meet box windows, edges included."""
+    """``fid, name`` of box features (xmin, ymin, xmax, ymax) that meet the windows' boxes, polygons or buffers, edges included."""
     box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
     ends = ws.span.lo is not None or ws.span.hi is not None
     if ends:
         extents = extents.filter(in_span(F.col(time_col), TimeSpan(ws.span.lo, ws.span.hi, True)))
+    if not ws.spatial:
+        return match_times(extents.select(fid, time_col, F.lit(EVERYWHERE).alias("geom_id")), ws, time_col, fid).select(fid, "name")
     keyed = with_grid_keys(extents.select(fid, time_col, *box), box, ws.levels).select(
         fid, time_col, *[c.alias(f"f_{n}") for c, n in zip(box, ("xmin", "ymin", "xmax", "ymax"))], "key")
     chips = multi_level_chips(ws)
     joined = keyed.join(F.broadcast(chips), "key") if ws.small else salted_join(keyed, chips, ["key"], [fid])
     own = [F.col(f"f_{n}") for n in ("xmin", "ymin", "xmax", "ymax")]
-    # a pair that shares several cells counts only in the cell of the lower left corner of the common part
+    # a box window that shares several cells counts only in the cell of the lower left corner of the common part
     tag = F.floor(F.col("key") / F.lit(2**48))
     level = (tag % 32).cast("int")
     corner = cells.cell_key(tag, cells.cell_x(F.greatest(own[0], box[0]), level), cells.cell_y(F.greatest(own[1], box[1]), level))
-    met = joined.filter(geo.boxes_meet(own, box) & (corner == F.col("key"))).select(fid, time_col, "geom_id")
+    cx, cy = F.floor(F.col("key") / F.lit(2**24)) % F.lit(2**24), F.col("key") % F.lit(2**24)
+    met = joined.filter(geo.boxes_meet(own, box) & (F.col("polygon") | (corner == F.col("key"))) & _box_meets_shape(own, level, cx, cy))
+    met = met.select(fid, time_col, "geom_id")
+    if ws.has_polygons:  # the cells of a polygon are tested one by one
+        met = met.distinct()
     return match_times(met, ws, time_col, fid).select(fid, "name")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import draws, geo
 from waymark.functions.times import during
-from waymark.operators.tracks import tracks_in_windows
+from waymark.operators.tracks import tracks_in_windows, tracks_meeting_shapes
 from waymark.operators.windows import (
     count_in_windows, count_matches, extents_in_windows, points_in_windows, selectivity, shape_test,
     window_set, window_set_from_tables,
@@ -49,6 +49,49 @@ def join_tracks_windows(spark, sf):
     return tracks_in_windows(track_segments(spark, sf), track_times(spark, sf), ws).select("track", "name")
 
 
+# box features against polygons: an edge meets the box, or the box begins inside
+_SHAPE_BOX = "f.xmin <= g.xmax AND f.xmax >= g.xmin AND f.ymin <= g.ymax AND f.ymax >= g.ymin"
+_CORNER_TURNS = ", ".join(f"((e.x2-e.x1)*({y}-e.y1)-(e.y2-e.y1)*({x}-e.x1))" for x in ("f.xmin", "f.xmax") for y in ("f.ymin", "f.ymax"))
+BOX_HITS_SQL = (
+    "corners AS (SELECT fid, xmin AS lon, ymin AS lat FROM geo_boxes), " + hits_cte("corners")
+    + f", box_hits AS (SELECT f.fid, g.geom_id FROM geo_boxes f JOIN shapes g ON {_SHAPE_BOX} JOIN edges e ON e.geom_id = g.geom_id WHERE "
+    "least(e.x1,e.x2) <= f.xmax AND greatest(e.x1,e.x2) >= f.xmin AND e.y1 <= f.ymax AND e.y2 >= f.ymin "
+    f"AND least({_CORNER_TURNS}) <= 0 AND greatest({_CORNER_TURNS}) >= 0 UNION SELECT fid, geom_id FROM hits)")
+_POLYGON_FEATURES = P.combine("BOXES", P.france_regions().items(), P.month_periods([1996, 1997]))
+
+
+@query("flt_intersects_polygon_features", with_ctes(
+    "geo_boxes", f"SELECT h.fid, w.name FROM box_hits h JOIN geo_boxes f ON f.fid = h.fid JOIN windows w ON w.geom_id = h.geom_id AND {span_test('f.day')}",
+    windows_cte(_POLYGON_FEATURES[1]), shapes_cte(_POLYGON_FEATURES[0]), BOX_HITS_SQL))
+def flt_intersects_polygon_features(spark, sf):
+    return extents_in_windows(geo_boxes(spark, sf), window_set(spark, *_POLYGON_FEATURES))
+
+
+_BUFFERS = P.combine("BUFFER", [b for s in R.SITES for b in P.city_buffers(s[1])], [("", P.ALL_TIME)])
+_CLOSE_X = f"greatest({mx_sql('f.xmin')}-g.mx, 0e0, g.mx-{mx_sql('f.xmax')})"
+_CLOSE_Y = f"greatest({my_sql('f.ymin')}-g.my, 0e0, g.my-{my_sql('f.ymax')})"
+
+
+@query("join_boxes_buffers", with_ctes(
+    "geo_boxes", f"SELECT f.fid, w.name FROM geo_boxes f JOIN shapes g ON {_SHAPE_BOX} AND pow({_CLOSE_X}, 2) + pow({_CLOSE_Y}, 2) <= g.metres * g.metres "
+    "JOIN windows w ON w.geom_id = g.geom_id", windows_cte(_BUFFERS[1]), shapes_cte(_BUFFERS[0])))
+def join_boxes_buffers(spark, sf):
+    return extents_in_windows(geo_boxes(spark, sf), window_set(spark, *_BUFFERS))
+
+
+_PROJECTED = (f"SELECT track, x1, y1, x2, y2, {mx_sql('x1')} AS ax, {my_sql('y1')} AS ay, {mx_sql('x2')} AS bx, {my_sql('y2')} AS by_ FROM segs")
+
+
+@query("join_tracks_buffers", with_ctes(
+    "segs", "SELECT DISTINCT track, geom_id FROM (SELECT *, ax + t * (bx - ax) - mx AS px, ay + t * (by_ - ay) - my AS py FROM ("
+    "SELECT p.*, g.geom_id, g.mx, g.my, g.metres, CASE WHEN ax = bx AND ay = by_ THEN 0e0 ELSE "
+    "greatest(0e0, least(1e0, ((mx - ax) * (bx - ax) + (my - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) END AS t "
+    f"FROM ({_PROJECTED}) p JOIN shapes g ON least(x1,x2) <= g.xmax AND greatest(x1,x2) >= g.xmin AND least(y1,y2) <= g.ymax AND greatest(y1,y2) >= g.ymin"
+    ")) WHERE px * px + py * py <= metres * metres", shapes_cte(_BUFFERS[0])))
+def join_tracks_buffers(spark, sf):
+    return tracks_meeting_shapes(track_segments(spark, sf), window_set(spark, *_BUFFERS))
+
+
 # buffers round a free point, with box features
 _FREE_POINT = (2.35, 48.86)
 _FREE_NAME = "TRANS-VIENNA-BUFFERS-(2.35,48.86)-"
