@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 EARTH_RADIUS = 6378137.0  # metres, sphere of Web Mercator
-MAX_MERCATOR_LAT = 85.0511  # latitude is clamped here before the projection
+MAX_MERCATOR_LAT = 89.9999  # the projection has no end at the poles; only they are moved
 EDGE_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 RING_TYPE = "array<struct<x:double,y:double>>"
 

@@ -64,7 +64,7 @@ def _chain(points: np.ndarray) -> np.ndarray:
 
 
 def _hull_frame(key: str, value, points: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({key: value, "x": points[:, 0], "y": points[:, 1]})
+    return pd.DataFrame({key: None if pd.isna(value) else value, "x": points[:, 0], "y": points[:, 1]})
 
 
 def convex_hulls(df: DataFrame, group: str, x: str = "lon", y: str = "lat", parts: int = 16) -> DataFrame:
@@ -75,11 +75,11 @@ def convex_hulls(df: DataFrame, group: str, x: str = "lon", y: str = "lat", part
     its points (on an n x n coordinate grid at most in the order of n^(2/3)).
     """
     kind = dict(df.dtypes)[group]
-    schema = f"`{group}` {kind}, x double, y double"
+    schema = f"`{group}` string, x double, y double"  # as text a null group stays null and a number exact
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for value, rows in batch.groupby(group, sort=False):
+            for value, rows in batch.groupby(group, sort=False, dropna=False):
                 yield _hull_frame(group, value, _chain(rows[["x", "y"]].to_numpy()))
 
     def per_part(rows: pd.DataFrame) -> pd.DataFrame:
@@ -90,10 +90,11 @@ def convex_hulls(df: DataFrame, group: str, x: str = "lon", y: str = "lat", part
         out.insert(1, "seq", np.arange(len(out)))
         return out
 
-    corners = df.select(group, F.col(x).alias("x"), F.col(y).alias("y")).mapInPandas(per_batch, schema)
+    corners = df.select(F.col(group).cast("string"), F.col(x).alias("x"), F.col(y).alias("y")).mapInPandas(per_batch, schema)
     part = F.pmod(F.xxhash64("x", "y"), F.lit(parts)).alias("_part")
     fewer = corners.groupBy(group, part).applyInPandas(per_part, schema)
-    return fewer.groupBy(group).applyInPandas(numbered, f"`{group}` {kind}, seq bigint, x double, y double")
+    return fewer.groupBy(group).applyInPandas(numbered, f"`{group}` string, seq bigint, x double, y double").withColumn(
+        group, F.col(group).cast(kind))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:

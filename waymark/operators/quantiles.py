@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from waymark.operators.skew import ROWS_PER_TASK, running_sum
+from waymark.operators.skew import ROWS_PER_TASK, attach, running_sum
 from waymark.session import cut_lineage
 
 CUTS = 64  # buckets of the ungrouped form
@@ -40,9 +40,9 @@ def exact_quantiles(
     Approximate cut points split every group in buckets; bucket counts tell which buckets hold the wanted
     ranks; only these are ordered, with equal values counted first and large buckets split further.
     """
-    by = list(by)
+    groups, by = list(by), ["_by"] if by else []  # one struct: null groups are groups like others
     v = F.col(col).cast("double")
-    rows = df.filter(F.col(col).isNotNull()).select(*by, v.alias("_v"))
+    rows = df.filter(F.col(col).isNotNull()).select(*[F.struct(*groups).alias("_by") for _ in by], v.alias("_v"))
     n_cuts = GROUP_CUTS if by else CUTS
     cut_probs = F.array(*[F.lit(i / n_cuts) for i in range(1, n_cuts)])
     sketch = cut_lineage(rows.groupBy(*by).agg(F.percentile_approx("_v", cut_probs, 10 * n_cuts).alias("_cuts"), F.count("*").alias("_total")))
@@ -79,13 +79,14 @@ def exact_quantiles(
         F.max("part").alias("part"))
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
     collected = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("_q"))
-    return collected.select(*by, F.transform("_q", lambda x: x["v"]).alias("q"))
+    return collected.select(*[F.col(f"_by.{g}") for g in groups], F.transform("_q", lambda x: x["v"]).alias("q"))
 
 
 def with_bins(df: DataFrame, col: str, n: int, by: Sequence[str] = (), out: str = "range_group", duplicates: str = "raise") -> DataFrame:
     """Number the quantile bin of ``col``: right-closed, the lowest value in bin 0, with the ``edges``.
 
-    Equal edges are an error, or with ``duplicates="drop"`` count once.
+    Equal edges are an error, or with ``duplicates="drop"`` count once. A null value is in no bin; null groups have
+    bins of their own.
     """
     by = list(by)
     edges = exact_quantiles(df, col, [i / n for i in range(n + 1)], by).withColumnRenamed("q", "edges")
@@ -95,9 +96,9 @@ def with_bins(df: DataFrame, col: str, n: int, by: Sequence[str] = (), out: str
     else:
         edges = edges.withColumn("edges", F.when(F.size(distinct) == F.size("edges"), F.col("edges")).otherwise(
             F.raise_error(F.lit(f"bin edges of {col} are not unique")).cast("array<double>")))
-    both = df.join(edges, by) if by else df.withColumn("edges", edges.scalar())
+    both = attach(df, cut_lineage(edges), by) if by else df.withColumn("edges", edges.scalar())
     inner = F.slice("edges", F.lit(2), F.size("edges") - 2)
-    return both.withColumn(out, F.size(F.filter(inner, lambda e: e < F.col(col))))
+    return both.withColumn(out, F.when(F.col(col).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(col)))))
 
 
 def scalar_array(quantiles: DataFrame) -> Column:

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.operators.quantiles import bounded_quantiles, scalar_array
-from waymark.operators.skew import join_measured, running_sum
+from waymark.operators.skew import attach, join_measured, running_sum
+from waymark.session import cut_lineage
 
 
 def without_outliers(runs: DataFrame, col: str = "duration") -> DataFrame:
@@ -155,10 +156,10 @@ def without_warmup(repeats: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def numbered_pairs(df: DataFrame, columns: Sequence[str], out: str = "group") -> DataFrame:
-    """Number the distinct label combinations from 0 in order and join the number back.
+    """Number the distinct label combinations from 0 in order, null last, and join the number back.
 
     The window runs over the distinct labels only, which the label lists bound.
     """
     labels = df.select(*columns).distinct()
-    numbered = labels.withColumn(out, F.dense_rank().over(Window.orderBy(*columns)) - 1)
-    return df.join(F.broadcast(numbered), list(columns))
+    order = Window.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+    return attach(df, cut_lineage(labels.withColumn(out, F.dense_rank().over(order) - 1)), columns, "inner")

@@ -16,6 +16,16 @@ from waymark.functions.cells import unix_millis
 from waymark.session import cut_lineage
 
 ROWS_PER_TASK = 2_000_000
+BROADCAST_ROWS = 200_000
+MAX_SLICES = 1000  # of one key
+
+
+def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join with a written table on keys that may be null; it is broadcast if its row count is within the limit."""
+    renamed = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    test = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    side = F.broadcast(renamed) if small.count() <= BROADCAST_ROWS else renamed
+    return big.join(side, test, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
@@ -32,7 +42,7 @@ def salted_join(
     big: DataFrame, other: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
     how: str = "inner", rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Equi-join that splits hot keys of ``big`` and repeats only the matching rows of ``other``.
+    """Equi-join that splits hot keys of ``big``, null among them, and repeats only the matching rows of ``other``.
 
     ``spread_by`` are columns of ``big`` that differ between its rows (a feature id); the split is a
     hash of them, so a task run again after a lost executor makes the same split.
@@ -40,12 +50,11 @@ def salted_join(
     found = None if big.isStreaming else hot_keys(big, keys, rows_per_task)
     if found is None:
         return big.join(other, list(keys), how)
-    hot = F.broadcast(found)
-    left = big.join(hot, list(keys), "left").withColumn(
+    left = attach(big, found, keys).withColumn(
         "_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int"))
     ).drop("_parts")
-    right = other.join(hot, list(keys), "left").withColumn(
+    right = attach(other, found, keys).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
     ).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
@@ -72,23 +81,20 @@ def _as_number(df: DataFrame, column: str) -> Column:
 def with_chunks(df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
     """Add ``_chunk``: 0 for ordinary keys, a slice number along ``order`` for hot keys, and ``_hot``.
 
-    None if no key is hot.
+    Slices end at approximate quantiles of the hot key's own rows, so that outliers and uneven times leave them even;
+    rows of one value stay in one slice. None if no key is hot.
     """
-    position = _as_number(df, order)
-    stats = cut_lineage(
-        df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-        .filter(F.col("_n") > rows_per_task)
-        .withColumn("_parts", F.ceil(F.col("_n") / rows_per_task))
-        .drop("_n")
-    )
-    if stats.isEmpty():
+    hot = hot_keys(df, keys, rows_per_task)
+    if hot is None:
         return None
-    slice_no = F.floor((position - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1) * F.col("_parts"))
+    position = _as_number(df, order)
+    slices = min(MAX_SLICES, hot.agg(F.max("_parts")).first()[0])
+    cuts = F.percentile_approx(position, F.array(*[F.lit(i / slices) for i in range(1, slices)]), max(10_000, 10 * slices))
+    found = cut_lineage(attach(df, hot.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts")))
+    slice_no = F.size(F.filter("_cuts", lambda c: c < position))
     return (
-        df.join(F.broadcast(stats), list(keys), "left")
-        .withColumn("_chunk", F.coalesce(slice_no, F.lit(0)).cast("long"))
-        .withColumn("_hot", F.col("_parts").isNotNull())
-        .drop("_lo", "_hi", "_parts")
+        attach(df, found, keys).withColumn("_hot", F.col("_cuts").isNotNull())
+        .withColumn("_chunk", F.when(F.col("_hot"), slice_no).otherwise(0).cast("long")).drop("_cuts")
     )
 
 
@@ -114,7 +120,7 @@ def lead_in_key(
         .drop("_head")
     )
     return (
-        led.join(F.broadcast(heads), [*keys, "_chunk"], "left")
+        attach(led, cut_lineage(heads), [*keys, "_chunk"])
         .withColumn(out, F.coalesce("_lead", "_next_head"))
         .drop("_chunk", "_hot", "_lead", "_next_head")
     )
@@ -136,8 +142,7 @@ def running_sum(
         .withColumn("_offset", F.sum("_sum").over(before)).drop("_sum")
     )
     return (
-        chunked.withColumn(out, F.sum(value).over(within))
-        .join(F.broadcast(offsets), [*keys, "_chunk"], "left")
+        attach(chunked.withColumn(out, F.sum(value).over(within)), cut_lineage(offsets), [*keys, "_chunk"])
         .withColumn(out, F.col(out) + F.coalesce("_offset", F.lit(0)))
         .drop("_chunk", "_hot", "_offset")
     )

@@ -146,7 +146,7 @@ def mx_sql(lon: str) -> str:
 
 
 def my_sql(lat: str) -> str:
-    return f"({_R}*ln(tan(pi()/4e0+radians(greatest(-85.0511e0,least(85.0511e0,{lat})))/2e0)))"
+    return f"({_R}*ln(tan(pi()/4e0+radians(greatest(-89.9999e0,least(89.9999e0,{lat})))/2e0)))"
 
 
 def pick_sql(values: list, index: str) -> str:

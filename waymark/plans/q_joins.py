@@ -262,7 +262,9 @@ def grid_param_space(spark, sf):
 
 # ---- planner study -------------------------------------------------------------------------------
 
-_PLAN = P.plan_cities(range(1995, 2002))
+# sixteen years around those of the orders
+_PLAN_YEARS = range(1987, 2003)
+_PLAN = P.plan_cities(_PLAN_YEARS)
 
 
 def _cells_sql(alias):
@@ -301,7 +303,7 @@ def plan_cities(spark, sf):
     return count_in_windows(geo_orders(spark, sf), window_set(spark, *_PLAN), "day")
 
 
-_PLAN_SA = P.plan_countries(range(1995, 2002))
+_PLAN_SA = P.plan_countries(_PLAN_YEARS)
 
 
 @query("plan_sa", count_windows_sql("geo_orders", *_PLAN_SA, time_col="day"))

@@ -55,9 +55,9 @@ def _iterated(name, preset, source="geo_orders", ts="day"):
 for _key, _area, _year, _month in [
     ("life_beijing", "BEIJING", None, None), ("life_center", "BEIJING-CENTER", None, None),
     ("life_2011", None, YEAR, None), ("life_aug2011", None, YEAR, 8),
-    # the given points with a time of day all lie in January 2024
-    ("life_beijing_aug", "BEIJING", 2024, 1), ("life_center_jan", "CENTER-BEIJING", 2024, 1),
-    ("life_center_bbox_feb", "CENTER-BEIJING-BBOX", 2024, 1),
+    ("life_beijing_aug", "BEIJING", YEAR, 8), ("life_center_jan", "CENTER-BEIJING", YEAR, 1), ("life_center_bbox_feb", "CENTER-BEIJING-BBOX", YEAR, 2),
+    # and with a time of day: those points all lie in January 2024
+    ("life_beijing_hours", "BEIJING", 2024, 1),
 ]:
     _source = ("geo_events", "ts") if _year == 2024 else ("geo_orders", "day")
     _counted(f"{_key}_count", P.life(_area, _year, _month), *_source)
@@ -83,7 +83,7 @@ for _context in (None, "check"):
         _counted(f"{_p}_regions_{_key}", P.france_by_region(_kind, YEAR, _context))
     for _key, _kind in [("14m", "FOURTEEN-MONTHS"), ("10m", "TEN-MONTHS"), ("6m", "six-MONTHS"), ("2m", "TWO-MONTHS"),
                         ("2w", "TWO-WEEKS"), ("6d", "SIX-DAYS")]:
-        _counted(f"{_p}_city_{_key}", P.city_windows(_kind, YEAR, ["Paris", "Tokyo"], context=_context))
+        _counted(f"{_p}_city_{_key}", P.city_windows(_kind, YEAR, [s[1] for s in R.SITES], context=_context))
     _counted(f"{_p}_sa_3w", P.south_america_3w(YEAR, _context))
 
 
