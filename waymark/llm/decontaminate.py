@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.scratch import Scratch, join_small
 from waymark.llm.words import ALNUM, hashed
-from waymark.session import scratch_dir
+from waymark.session import cut_lineage, scratch_dir
 
 SEGMENT_WORDS = 1 << 20
 BLOCK_WORDS = 1 << 21
@@ -43,8 +44,8 @@ def _segment(ids: list, lengths: list[np.ndarray], hashes: list[np.ndarray]) ->
     return pa.RecordBatch.from_pydict(row)
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the index below the shared checkpoint folder and return it."""
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """Write the index to ``path``, or below the shared checkpoint folder, and return it."""
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lengths, hashes, n = [], [], [], 0
         for batch in batches:
@@ -60,7 +61,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         if ids:
             yield _segment(ids, lengths, hashes)
 
-    path = scratch_dir(docs.sparkSession, "postings")
+    path = path or scratch_dir(docs.sparkSession, "postings")
     rows = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
     rows.mapInArrow(index, _INDEX).write.option("compression", "zstd").option("maxRecordsPerFile", 4).parquet(path)
     return docs.sparkSession.read.schema(_INDEX).parquet(path)
@@ -274,7 +275,8 @@ def without_hits(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: st
 
     A row is named by a hash of its id and text, so rows that share an id are judged one by one.
     """
-    key = F.xxhash64(F.col(doc_id), F.col(text))
-    index = build_index(docs.select(key.alias("row"), F.col(text).alias("body")), "row", "body")
-    bad = phrase_hits(index, items, window).filter("n_hit > 0").select(F.col("doc_id").alias("row")).distinct()
-    return docs.join(bad, key == bad["row"], "left_anti")
+    key, scratch = F.xxhash64(F.col(doc_id), F.col(text)), Scratch(docs.sparkSession)
+    index = build_index(docs.select(key.alias("row"), F.col(text).alias("body")), "row", "body", scratch.path())
+    bad = cut_lineage(phrase_hits(index, items, window).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct())
+    scratch.clear()
+    return join_small(docs, bad, key == bad["_bad"], "left_anti")

@@ -22,6 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.scratch import join_small
 from waymark.session import cut_lineage
 
 REACH = 200
@@ -110,17 +111,23 @@ def report(docs: DataFrame, reach: int = REACH, doc_id: str = "doc_id", text: st
 
 
 def redact(docs: DataFrame, marker: str = "[SECRET]", reach: int = REACH, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every found span replaced by ``marker`` (overlapping spans by one) and the length column renewed."""
-    scanned = scan(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text=text)
+    """``docs`` with every found span replaced by ``marker`` (overlapping spans by one) and the length column renewed.
+
+    Rows without a span stay as they are. Spans depend on the text alone, so they meet the documents by two 64-bit digests of it.
+    """
+    digests = [F.xxhash64(F.col(text)), F.xxhash64(F.lit(marker), F.col(text))]
     any_part = F.greatest(*[F.coalesce(F.size(p.weak), F.lit(0)) for p in PARTS]) > 0
-    touched, clean = scanned.filter(any_part), scanned.filter(~any_part)
+    scanned = scan(docs.select(F.col(text).alias("body")), *[d.alias(f"d{i}") for i, d in enumerate([F.xxhash64("body"), F.xxhash64(F.lit(marker), F.col("body"))])], text="body")
+    touched = scanned.filter(any_part)
     earlier = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     cuts = found_spans(touched, reach).withColumn("from", F.coalesce(F.max("end").over(earlier), F.lit(0)))
     cuts = cuts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "from", "end"))).alias("cuts"), F.max("end").alias("rest"))
+    cuts = cut_lineage(touched.select("row", "d0", "d1").join(cuts, "row").drop("row").dropDuplicates(["d0", "d1"]))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[d.alias(f"e{i}") for i, d in enumerate(digests)])
+    both = join_small(packed, cuts, (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1")), "left")
     body = F.col(f"doc.`{text}`")
     piece = lambda c: F.when(c["start"] >= c["from"], F.concat(body.substr(c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), F.lit(marker))).otherwise("")
     fresh = F.concat(F.array_join(F.transform("cuts", piece), ""), body.substr(F.col("rest").cast("int") + 1, F.length(body)))
-    both = touched.join(cuts, "row", "left").withColumn("fresh", F.when(F.col("cuts").isNull(), body).otherwise(fresh)).select("doc", "fresh")
-    out = both.unionByName(clean.select("doc", body.alias("fresh")))
+    out = both.withColumn("fresh", F.when(F.col("cuts").isNotNull(), fresh))
     renewed = {text: F.col("fresh"), length: F.length("fresh").cast(dict(docs.dtypes).get(length, "bigint"))}
-    return out.select(*[(F.when(F.col("fresh").isNull(), F.col(f"doc.`{c}`")).otherwise(renewed[c]) if c in renewed else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(F.when(F.col("fresh").isNotNull(), renewed[c]).otherwise(F.col(f"doc.`{c}`")) if c in renewed else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

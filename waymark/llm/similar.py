@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.scratch import Scratch, join_small
 from waymark.llm.words import ALNUM, hashed, mixed
 from waymark.operators.clusters import components
 from waymark.session import cut_lineage
@@ -82,7 +83,7 @@ def row_key(doc_id: str, text: str) -> Column:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with its set's name and min-hashes, written once."""
+    """One row per document with its set's name and min-hashes."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes, tokens = [], [], []
@@ -98,7 +99,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                  pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int32))), low], [f.split()[0] for f in _SKETCHES.split(", ")])
 
     rows = docs.select(row_key(doc_id, text).alias("row_key"), F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
-    return cut_lineage(rows.mapInArrow(sketch, _SKETCHES))
+    return rows.mapInArrow(sketch, _SKETCHES)
 
 
 def _sampled(node: Column, tokens: Column) -> Column:
@@ -116,15 +117,15 @@ def runs_for(recall: float, similarity: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(missed))) if 0 < missed < 1 else 1
 
 
-def path_leaves(classes: DataFrame, runs: int) -> DataFrame:
+def path_leaves(classes: DataFrame, runs: int, scratch: Scratch) -> DataFrame:
     """``leaf, n, set_key``: the leaves in which classes meet."""
     roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)]))
     rows = classes.select("set_key", "tokens", roots.alias("parent")).withColumn("parent_n", F.lit(2 ** 62))
     leaves = []
     for depth in range(1, _DEPTH + 1):
-        members = cut_lineage(rows.select("set_key", "parent_n", _sampled(F.col("parent"), F.col("tokens")).alias("node")).distinct())
+        members = scratch.cut(rows.select("set_key", "parent_n", _sampled(F.col("parent"), F.col("tokens")).alias("node")).distinct())
         counts = members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        met = cut_lineage(members.join(counts, "node"))
+        met = scratch.cut(members.join(counts, "node"))
         done = (F.col("n") <= LEAF) | (F.col("n") >= _DENSE * F.col("parent_n")) | F.lit(depth == _DEPTH)
         leaves.append(met.filter(done).select(F.col("node").alias("leaf"), "n", "set_key"))
         rows = met.filter(~done).select("set_key", F.col("node").alias("parent"), F.col("n").alias("parent_n"))
@@ -283,38 +284,42 @@ def _linked(sets: list[np.ndarray], side: np.ndarray, masks: np.ndarray, copies:
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``row_key, doc_id, set_key, n_shingles, class_id, n_links`` of every document; its copies count as links."""
-    sketched = sketches(docs, doc_id, text)
+    scratch = Scratch(docs.sparkSession)
+    sketched = scratch.cut(sketches(docs, doc_id, text))
     classes = sketched.filter("set_key is not null").groupBy("set_key").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"),
         F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))  # one set has one sketch
-    classes = cut_lineage(classes)
-    leaves = cut_lineage(path_leaves(classes, runs_for(recall, similarity)))
-    members = cut_lineage(plausible_members(classes, leaves, similarity))
-    wanted = members.select("set_key").distinct().join(classes.select("set_key", "copies", "row_key"), "set_key")
+    classes = scratch.cut(classes)
+    leaves = scratch.cut(path_leaves(classes, runs_for(recall, similarity), scratch))
+    members = scratch.cut(plausible_members(classes, leaves, similarity))
+    wanted = members.select("set_key").distinct().join(classes.select("set_key", "copies", F.col("row_key").alias("wanted")), "set_key")
     bodies = docs.select(row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text"))
-    linked = cut_lineage(exact_links(members, bodies.join(wanted, "row_key").select("set_key", "copies", "text"), similarity))
+    bodies = join_small(bodies, scratch.cut(wanted), F.col("row_key") == F.col("wanted"), "inner").select("set_key", "copies", "text")
+    linked = scratch.cut(exact_links(members, bodies, similarity))
     links = linked.groupBy("set_key").agg(F.sum("links").alias("links"))
     edges = linked.filter("set_key <> root").select(F.col("set_key").alias("a"), F.col("root").alias("b"))
     labels = components(linked.select(F.col("set_key").alias("node")).distinct(), edges).withColumnRenamed("node", "set_key")
     grouped = classes.select("set_key", "copies", "first_id").join(links, "set_key", "left").join(labels, "set_key", "left")
-    grouped = cut_lineage(grouped.withColumn("label", F.coalesce("label", "set_key")))
+    grouped = scratch.cut(grouped.withColumn("label", F.coalesce("label", "set_key")))
     first = grouped.groupBy("label").agg(F.min("first_id").alias("class_id"))
     named = grouped.join(first, "label").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "label")
     rows = sketched.select("row_key", "doc_id", "set_key", "n_shingles").join(named, "set_key", "left")
     alone = F.col("set_key").isNull()
-    return rows.select("row_key", "doc_id", "set_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                       F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "label")
+    out = cut_lineage(rows.select("row_key", "doc_id", "set_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+                                  F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "label"))
+    scratch.clear()
+    return out
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each connected class: that of the smallest id. Wordless documents all stay."""
-    found = cut_lineage(similar_documents(docs, similarity, recall, doc_id, text))
+    found = similar_documents(docs, similarity, recall, doc_id, text)
     rows = found.filter("label is not null").groupBy("label", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("same"))
-    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"), F.col("same"))).alias("best")
-    kept = rows.groupBy("label").agg(best).select(F.col("best.row_key").alias("kept"), (F.col("best.same") > 1).alias("repeated"))
-    alone = found.filter("label is null").select(F.col("row_key").alias("kept"), F.lit(False).alias("repeated")).distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("best")
+    # Few rows go: they, and the kept ones that stand there more than once, are marked in a table of short rows.
+    marks = rows.join(rows.groupBy("label").agg(best), "label").withColumn("goes", F.col("row_key") != F.col("best.row_key"))
+    marks = cut_lineage(marks.filter("goes or same > 1").select(F.col("row_key").alias("marked"), "goes"))
     packed = docs.select(row_key(doc_id, text).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    both = packed.join(cut_lineage(kept.unionByName(alone)), F.col("row_key") == F.col("kept"))
-    # Only rows that stand there more than once are dealt by key again, and one of each is kept.
-    once = both.filter("repeated").dropDuplicates(["kept"])
-    return both.filter("not repeated").unionByName(once).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    both = join_small(packed, marks, F.col("row_key") == F.col("marked"), "left")
+    repeated = both.filter("not goes").dropDuplicates(["row_key"])
+    return both.filter("marked is null").unionByName(repeated).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
