@@ -135,10 +135,10 @@ def test_density_clusters(cloud, eps, least):
             assert names.setdefault(group[i], rows[i].cluster) == rows[i].cluster
         else:
             reached = {group[j] for j in near[i] if core[j]}
-            assert (rows[i].cluster == "-1") == (not reached)
+            assert (rows[i].cluster is None) == (not reached)
     assert len(set(names.values())) == len(names)
     for i in range(n):
-        if not core[i] and rows[i].cluster != "-1":
+        if not core[i] and rows[i].cluster is not None:
             assert rows[i].cluster in {names[group[j]] for j in near[i] if core[j]}
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from waymark.operators.skew import join_measured, salted_join
+from waymark.operators.skew import attach, join_measured, salted_join
 from waymark.session import cut_lineage
 
 
@@ -25,20 +26,49 @@ def fit_kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 1, rounds:
     return model.transform(vectors).drop("features"), model
 
 
-def jump_method(df: DataFrame, columns: list[str], k_max: int, seed: int = 1) -> tuple[int, list[tuple[int, float, float]]]:
+def _nearest(columns: Sequence[str]) -> Column:
+    """(squared distance, number) of the nearest of an array of centres; ties to the smaller number."""
+    gap = lambda c, x: F.col(x) - c[x]
+    return F.array_min(F.transform("_centres", lambda c: F.struct(
+        reduce(lambda a, b: a + b, [gap(c, x) * gap(c, x) for x in columns]).alias("d"), c["cluster"].alias("cluster"))))
+
+
+def group_kmeans(
+    df: DataFrame, columns: Sequence[str], k: int, by: Sequence[str] = (), rounds: int = 10, fid: str = "fid", seed: str = "kmeans",
+) -> tuple[DataFrame, DataFrame]:
+    """k-means of every group by itself: rows with ``cluster`` and squared ``distance``, and the centres.
+
+    Each group starts from its k rows of the smallest hash. A round assigns every row to its group's nearest centre and
+    moves the centres to the means; a centre without rows stays. Rows are never gathered by group: the small table of
+    centres comes to them. Groups of fewer than k rows have fewer clusters; null groups are groups.
+    """
+    by = list(by)
+    draw = F.md5(F.concat(F.lit(seed + "|"), F.col(fid).cast("string")))
+    order = Window.partitionBy(*by).orderBy(draw, fid) if by else None
+    if by:
+        first = df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).withColumn("cluster", F.col("_r") - 1)
+    else:
+        first = df.orderBy(draw, fid).limit(k).withColumn("cluster", F.row_number().over(Window.orderBy(draw, fid)) - 1)  # k rows
+    centres = cut_lineage(first.select(*by, "cluster", *[F.col(c).cast("double") for c in columns]))
+    for done in range(rounds + 1):
+        lists = cut_lineage(centres.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster", *columns))).alias("_centres")))  # k per group
+        best = attach(df, lists, by) if by else df.crossJoin(F.broadcast(lists))  # the latter is one row
+        best = best.withColumn("_best", _nearest(columns)).withColumn("cluster", F.col("_best.cluster")).withColumn("distance", F.col("_best.d")).drop("_best", "_centres")
+        if done == rounds:
+            return best, centres
+        means = cut_lineage(best.groupBy(*by, "cluster").agg(*[F.avg(c).alias(f"_{c}") for c in columns]))
+        centres = cut_lineage(attach(centres, means, [*by, "cluster"]).select(*by, "cluster", *[F.coalesce(f"_{c}", c).alias(c) for c in columns]))
+
+
+def jump_method(df: DataFrame, columns: list[str], k_max: int, rounds: int = 10, fid: str = "fid", seed: str = "kmeans") -> tuple[int, list[tuple[int, float, float]]]:
     """Number of clusters with the largest jump of the transformed distortion d_k^(-p/2).
 
     The distortion is the mean squared distance to the own centre per dimension (identity covariance).
     """
-    n, p = df.count(), len(columns)
-    vectors = _vectors(df, columns).select("features")
+    p = len(columns)
     rows, before = [], 0.0
-    spread = df.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
     for k in range(1, k_max + 1):
-        if k == 1:  # the only centre is the mean
-            distortion = sum(spread[c] for c in columns) / p
-        else:
-            distortion = KMeans(k=k, seed=seed, maxIter=20).fit(vectors).summary.trainingCost / n / p
+        distortion = (group_kmeans(df, columns, k, (), rounds, fid, seed)[0].agg(F.avg("distance")).first()[0] or 0.0) / p
         transformed = distortion ** (-p / 2) if distortion > 0 else float("inf")
         rows.append((k, distortion, transformed - before))
         before = transformed
@@ -124,7 +154,7 @@ _SUB = 8  # finer cells per side, for two crowded neighbours
 
 
 def density_clusters(df: DataFrame, eps: float, min_points: int, fid: str = "fid", x: str = "lon", y: str = "lat") -> DataFrame:
-    """``fid, cluster, core``: DBSCAN in planar units; cluster -1 is noise, otherwise a cell of the cluster.
+    """``fid, cluster, core``: DBSCAN in planar units; a cluster is named by the smallest id of its core points, noise is null.
 
     The cell side is eps / sqrt 2, so points of one cell are neighbours without any comparison: a cell with
     ``min_points`` is all core. Comparisons are left for points of thin cells (each holds fewer than
@@ -134,7 +164,7 @@ def density_clusters(df: DataFrame, eps: float, min_points: int, fid: str = "fid
     side = eps / 2**0.5
     cell = lambda v, s: F.floor(F.col(v) / F.lit(s))
     points = df.select(F.col(fid).alias("fid"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    places = points.groupBy("x", "y").agg(F.count("*").alias("w")).withColumn("cx", cell("x", side)).withColumn("cy", cell("y", side))
+    places = points.groupBy("x", "y").agg(F.count("*").alias("w"), F.min("fid").alias("low")).withColumn("cx", cell("x", side)).withColumn("cy", cell("y", side))
     places = places.join(places.groupBy("cx", "cy").agg((F.sum("w") >= min_points).alias("crowded")), ["cx", "cy"])
     places = cut_lineage(places)
     near_cells = [(i, j) for i in range(-2, 3) for j in range(-2, 3)
@@ -149,7 +179,7 @@ def density_clusters(df: DataFrame, eps: float, min_points: int, fid: str = "fid
         dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
         return salted_join(other, probe, ["kx", "ky"], ["ox", "oy"]).filter(dx * dx + dy * dy <= F.lit(eps * eps))
 
-    thin = places.filter(~F.col("crowded")).drop("w")
+    thin = places.filter(~F.col("crowded")).drop("w", "low")
     thin_core = pairs(thin, places).groupBy("x", "y", "cx", "cy").agg(F.sum("ow").alias("n")).filter(F.col("n") >= min_points)
     core = cut_lineage(places.filter("crowded").select("x", "y", "w", "cx", "cy", "crowded").unionByName(
         thin_core.join(places.select("x", "y", "w"), ["x", "y"]).select("x", "y", "w", "cx", "cy", F.lit(False).alias("crowded"))))
@@ -184,9 +214,13 @@ def density_clusters(df: DataFrame, eps: float, min_points: int, fid: str = "fid
     dense_links = sure.unionByName(tested).select(node("cx", "cy").alias("a"), node("kx", "ky").alias("b"))
 
     labels = components(core_cells.select(node("cx", "cy").alias("node")), thin_links.unionByName(dense_links).filter(F.col("a") != F.col("b")))
-    core_labelled = core.withColumn("node", node("cx", "cy")).join(labels, "node").select("x", "y", F.col("label").alias("cluster"), F.lit(True).alias("core"))
+    # a cluster is named by the smallest id among its core points
+    labelled = cut_lineage(core.withColumn("node", node("cx", "cy")).join(labels, "node").join(places.select("x", "y", "low"), ["x", "y"]))
+    names = labelled.groupBy("label").agg(F.min("low").alias("cluster"))
+    core_named = labelled.join(names, "label").select("x", "y", "cluster", F.lit(True).alias("core"))
+    cell_names = cut_lineage(labelled.select("node", "label").distinct().join(names, "label").select("node", "cluster"))
     edge = thin.join(core.select("x", "y"), ["x", "y"], "left_anti")
-    border = pairs(edge, core).select("x", "y", node("kx", "ky").alias("node")).distinct().join(labels, "node").groupBy("x", "y").agg(
-        F.min("label").alias("cluster"), F.lit(False).alias("core"))
-    marked = core_labelled.unionByName(border)
-    return join_measured(points, marked, ["x", "y"], ["fid"], "left").select("fid", F.coalesce("cluster", F.lit("-1")).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+    border = pairs(edge, core).select("x", "y", node("kx", "ky").alias("node")).distinct().join(cell_names, "node").groupBy("x", "y").agg(
+        F.min("cluster").alias("cluster"), F.lit(False).alias("core"))
+    marked = core_named.unionByName(border)
+    return join_measured(points, marked, ["x", "y"], ["fid"], "left").select("fid", "cluster", F.coalesce("core", F.lit(False)).alias("core"))

@@ -57,6 +57,24 @@ def frequency_sketch(df: DataFrame, attribute: str, eps: float = 0.001, confiden
     return df.agg(F.count_min_sketch(attribute, F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
 
 
+def _sketch_buckets(attribute: str, depth: int, width: int) -> Column:
+    """One struct (line, bucket) per line of a count-min table, from the leading digits of a digest."""
+    digit = lambda i: F.conv(F.substring(F.md5(F.concat(F.lit(f"{i}|"), F.col(attribute).cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return F.inline(F.array(*[F.struct(F.lit(i).alias("line"), (digit(i) % width).alias("bucket")) for i in range(depth)]))
+
+
+def frequency_table(df: DataFrame, attribute: str, depth: int = 4, width: int = 1024) -> DataFrame:
+    """Count-min counts ``line, bucket, n``: ``depth * width`` rows at most, however many values there are."""
+    return df.filter(F.col(attribute).isNotNull()).select(_sketch_buckets(attribute, depth, width)).groupBy("line", "bucket").agg(F.count("*").alias("n"))
+
+
+def frequency_estimates(values: DataFrame, counts: DataFrame, attribute: str, depth: int = 4, width: int = 1024) -> DataFrame:
+    """The estimated count of each given value: never below the true one."""
+    asked = values.select(attribute, _sketch_buckets(attribute, depth, width))
+    met = asked.join(F.broadcast(counts), ["line", "bucket"], "left")  # at most depth * width rows
+    return met.groupBy(attribute).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+
+
 # ---- nearness ------------------------------------------------------------------------------------
 
 def nearest_to_point(df: DataFrame, lon: float, lat: float, k: int, fid: str = "fid") -> DataFrame:

@@ -51,9 +51,14 @@ def b_stats_topk(spark, sf):
     return process.top_k(_boxed(spark, sf), "user_id", 10)
 
 
-@query("b_stats_frequency")
+@query("b_stats_frequency", with_ctes(
+    "geo_events", "SELECT user_id, min(coalesce(n, 0)) AS estimate FROM asked LEFT JOIN counts USING (line, bucket) GROUP BY user_id HAVING min(coalesce(n, 0)) > 0",
+    "asked AS (SELECT DISTINCT user_id, line, CAST('0x' || substr(md5(line || '|' || user_id), 1, 8) AS BIGINT) % 64 AS bucket FROM geo_events, range(4) l(line))",
+    f"counts AS (SELECT line, bucket, count(*) AS n FROM geo_events JOIN asked USING (user_id) WHERE {_IN_BOX_SQL} GROUP BY ALL)"))
 def b_stats_frequency(spark, sf):
-    return process.frequency_sketch(_boxed(spark, sf), "user_id").select(F.length("sketch").alias("bytes"))
+    """Count-min estimates for all users; few buckets, so that they collide."""
+    users = geo_events(spark, sf).select("user_id").distinct()
+    return process.frequency_estimates(users, process.frequency_table(_boxed(spark, sf), "user_id", 4, 64), "user_id", 4, 64).filter("estimate > 0")
 
 
 @query("b_tube", with_ctes(
@@ -105,24 +110,57 @@ def b_points_to_lines(spark, sf):
                       F.col("nxt.lon").alias("x2"), F.col("nxt.lat").alias("y2"), (F.to_date("ts") == F.to_date("nxt.ts")).alias("same_day"))
 
 
-@query("b_kmeans")
+def _kmeans_sql(prefix: str, source: str, k: int, rounds: int) -> list[str]:
+    """The rounds written out, over rows ``g, fid, lon, lat`` of ``source``; the last table is ``{prefix}{rounds}``."""
+    steps = [f"{prefix}c0 AS (SELECT g, r - 1 AS c, lon, lat FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5('kmeans|' || fid), fid) AS r FROM {source}) WHERE r <= {k})"]
+    for i in range(rounds + 1):
+        gap = "(p.lon - c.lon) * (p.lon - c.lon) + (p.lat - c.lat) * (p.lat - c.lat)"
+        steps.append(f"{prefix}{i} AS (SELECT p.g, p.fid, any_value(p.lon) AS lon, any_value(p.lat) AS lat, arg_min(c.c, ({gap}, c.c)) AS c, min({gap}) AS d "
+                     f"FROM {source} p JOIN {prefix}c{i} c ON c.g = p.g GROUP BY p.g, p.fid)")
+        if i < rounds:
+            steps.append(f"{prefix}c{i + 1} AS (SELECT o.g, o.c, coalesce(avg(p.lon), any_value(o.lon)) AS lon, coalesce(avg(p.lat), any_value(o.lat)) AS lat "
+                         f"FROM {prefix}c{i} o LEFT JOIN {prefix}{i} p ON p.g = o.g AND p.c = o.c GROUP BY o.g, o.c)")
+    return steps
+
+
+_ALL_POINTS = "points AS (SELECT 0 AS g, fid, lon, lat FROM geo_events)"
+
+
+@query("b_kmeans", with_ctes(
+    "geo_events", "SELECT CAST(c AS INTEGER) AS cluster, count(*) AS n, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM k4 GROUP BY c", _ALL_POINTS, *_kmeans_sql("k", "points", 8, 4)))
 def b_kmeans(spark, sf):
-    clustered, _ = clusters.fit_kmeans(geo_events(spark, sf).select("fid", "lon", "lat"), ["lon", "lat"], 12)
-    return clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    clustered, _ = clusters.group_kmeans(geo_events(spark, sf).select("fid", "lon", "lat"), ["lon", "lat"], 8, rounds=4)
+    return clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
 
 
-@query("b_kmeans_groups")
+@query("b_kmeans_groups", with_ctes(
+    "geo_events", "SELECT g AS city, CAST(c AS INTEGER) AS cluster, count(*) AS n, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM k4 GROUP BY g, c",
+    "points AS (SELECT city AS g, fid, lon, lat FROM geo_events)", *_kmeans_sql("k", "points", 3, 4)))
 def b_kmeans_groups(spark, sf):
-    """k-means of vectors of the embedding table, size and mean label per cluster."""
+    """Three clusters in every city."""
+    clustered, _ = clusters.group_kmeans(geo_events(spark, sf).select("city", "fid", "lon", "lat"), ["lon", "lat"], 3, ["city"], rounds=4)
+    return clustered.groupBy("city", "cluster").agg(F.count("*").alias("n"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
+
+
+@query("b_kmeans_vectors")
+def b_kmeans_vectors(spark, sf):
+    """Spark ML's k-means of the embedding table, size and mean label per cluster."""
     vectors = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(64)])
     clustered, _ = clusters.fit_kmeans(vectors, [f"v{i}" for i in range(64)], 8)
     return clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("label").alias("label"))
 
 
-@query("b_jump")
+_JUMPS = " UNION ALL ".join(f"SELECT {k} AS k, avg(d) / 2 AS distortion FROM j{k}_2" for k in range(1, 5))
+
+
+@query("b_jump", with_ctes(
+    "geo_events", "SELECT CAST(k AS INTEGER) AS k, round(distortion, 6) AS distortion, round(jump, 9) AS jump, jump = max(jump) OVER () AS chosen FROM "
+    "(SELECT k, distortion, 1 / distortion - coalesce(lag(1 / distortion) OVER (ORDER BY k), 0) AS jump FROM distortions)",
+    _ALL_POINTS, *[step for k in range(1, 5) for step in _kmeans_sql(f"j{k}_", "points", k, 2)], f"distortions AS ({_JUMPS})"))
 def b_jump(spark, sf):
-    best, rows = clusters.jump_method(geo_events(spark, sf).select("lon", "lat"), ["lon", "lat"], 6)
-    return spark.createDataFrame([(k, d, j, k == best) for k, d, j in rows], "k int, distortion double, jump double, chosen boolean")
+    best, rows = clusters.jump_method(geo_events(spark, sf).select("fid", "lon", "lat"), ["lon", "lat"], 4, rounds=2)
+    found = spark.createDataFrame([(k, d, j, k == best) for k, d, j in rows], "k int, distortion double, jump double, chosen boolean")
+    return found.withColumn("distortion", F.round("distortion", 6)).withColumn("jump", F.round("jump", 9))
 
 
 @query("b_sample", with_ctes("geo_events", "SELECT fid, lon, lat FROM geo_events ORDER BY md5('4|sample|' || fid), fid LIMIT 100"))
@@ -150,14 +188,34 @@ def b_assign(spark, sf):
     return process.nearest_centre(geo_orders(spark, sf), [(s[1], s[2], s[3]) for s in R.SITES]).select("fid", "centre")
 
 
-@query("b_hull")
+# gift wrapping: from the lowest corner always the point that has no other to its right, the farthest of a line
+_CROSS = "(p.x - h.x) * (q.y - h.y) - (p.y - h.y) * (q.x - h.x)"
+_FAR = "(q.x - h.x) * (q.x - h.x) + (q.y - h.y) * (q.y - h.y) > (p.x - h.x) * (p.x - h.x) + (p.y - h.y) * (p.y - h.y)"
+_HULL_SQL = (
+    "hull(city, seq, x, y) AS (SELECT city, 0, min(x), arg_min(y, (x, y)) FROM places GROUP BY city UNION ALL "
+    "SELECT h.city, h.seq + 1, p.x, p.y FROM hull h JOIN places p ON p.city = h.city AND (p.x <> h.x OR p.y <> h.y) "
+    "JOIN (SELECT city, min(x) AS x0, arg_min(y, (x, y)) AS y0 FROM places GROUP BY city) s ON s.city = h.city "
+    "WHERE h.seq < 1000 AND (p.x <> s.x0 OR p.y <> s.y0) AND NOT EXISTS (SELECT 1 FROM places q WHERE q.city = h.city AND (q.x <> h.x OR q.y <> h.y) "
+    f"AND ({_CROSS} < 0 OR ({_CROSS} = 0 AND {_FAR}))))")
+
+
+@query("b_hull", with_ctes(
+    "geo_orders", "SELECT city, CAST(seq AS BIGINT) AS seq, x, y FROM hull", "places AS (SELECT DISTINCT city, lon AS x, lat AS y FROM geo_orders)", _HULL_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
 def b_hull(spark, sf):
     return clusters.convex_hulls(geo_orders(spark, sf), "city")
 
 
-@query("b_dbscan")
+@query("b_dbscan", with_ctes(
+    "geo_events", "SELECT e.fid, CAST(coalesce(c.cluster, -1) AS BIGINT) AS cluster, e.fid IN (SELECT fid FROM core) AS core FROM geo_events e LEFT JOIN "
+    "(SELECT fid, min(label) AS cluster FROM (SELECT fid, label FROM named UNION ALL SELECT n.b, label FROM near n JOIN named m ON m.fid = n.a) GROUP BY fid) c ON c.fid = e.fid",
+    "near AS (SELECT a.fid AS a, b.fid AS b FROM geo_events a JOIN geo_events b ON b.lon BETWEEN a.lon - 0.081e0 AND a.lon + 0.081e0 AND b.lat BETWEEN a.lat - 0.081e0 AND a.lat + 0.081e0 "
+    "WHERE (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat) <= 0.08e0 * 0.08e0)",
+    "core AS (SELECT a AS fid FROM near GROUP BY a HAVING count(*) >= 4)",
+    "links AS (SELECT a, b FROM near WHERE a <> b AND a IN (SELECT fid FROM core) AND b IN (SELECT fid FROM core))",
+    "reach(fid, label) AS (SELECT fid, fid FROM core UNION SELECT l.b, r.label FROM reach r JOIN links l ON l.a = r.fid WHERE r.label < l.b)",
+    "named AS (SELECT fid, min(label) AS label FROM reach GROUP BY fid)").replace("WITH ", "WITH RECURSIVE ", 1))
 def b_dbscan(spark, sf):
-    return clusters.density_clusters(geo_events(spark, sf), 0.08, 4)
+    return clusters.density_clusters(geo_events(spark, sf), 0.08, 4).withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
 @query("b_time_interval", with_ctes(

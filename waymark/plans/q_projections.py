@@ -290,12 +290,16 @@ def lay_period(spark, sf):
         cells.period_number(day, p).alias(p[0]) for p in ("day", "week", "month", "year")])
 
 
-@query("lay_shard")
+@query("lay_shard", with_ctes(
+    "geo_events", "SELECT CAST(CAST('0x' || substr(md5(CAST(fid AS VARCHAR)), 1, 13) AS BIGINT) % 8 AS INTEGER) AS shard, count(*) AS n, CAST(sum(fid) AS BIGINT) AS fids FROM geo_events GROUP BY 1"))
 def lay_shard(spark, sf):
-    sharded = geo_events(spark, sf).select(shard(F.col("fid"), 8).alias("hash"), round_robin_shard(8).alias("robin"))
-    both = sharded.select(F.inline(F.array(
-        F.struct(F.lit("hash").alias("kind"), F.col("hash").alias("shard")), F.struct(F.lit("robin").alias("kind"), F.col("robin").alias("shard")))))
-    return both.groupBy("kind", "shard").agg(F.count("*").alias("n"))
+    return geo_events(spark, sf).groupBy(shard(F.col("fid"), 8).alias("shard")).agg(F.count("*").alias("n"), F.sum("fid").alias("fids"))
+
+
+@query("lay_shard_robin")
+def lay_shard_robin(spark, sf):
+    """Shards by position in a task's input, which SQL does not know."""
+    return geo_events(spark, sf).groupBy(round_robin_shard(8).alias("shard")).agg(F.count("*").alias("n"))
 
 
 # ---- labels --------------------------------------------------------------------------------------
