@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from calendar import month_abbr
 from collections.abc import Iterable
+from itertools import pairwise
 
 from waymark.functions.times import ALL_TIME, TimeSpan, during
 from waymark.operators.windows import Shape, WindowRow, box_shape, buffer_shape, envelope_shape, polygon_shape
@@ -41,12 +42,12 @@ def month_periods(years: Iterable[int], last_day: int | None = None) -> list[Per
     return out
 
 
+# The words of the half years, with first and last day and years later.
+HALF_PERIODS = [("firsthalf", "01-01", "06-01", 0), ("lasthalf", "06-01", "01-01", 1)]
+
+
 def half_periods(years: Iterable[int]) -> list[Period]:
-    out = []
-    for y in years:
-        out.append((f"{y}-firsthalf", during(f"{y}-01-01", f"{y}-06-01")))
-        out.append((f"{y}-lasthalf", during(f"{y}-06-01", f"{y + 1}-01-01")))
-    return out
+    return [(f"{y}-{word}", during(f"{y}-{a}", f"{y + later}-{b}")) for y in years for word, a, b, later in HALF_PERIODS]
 
 
 # First and last day of the regional periods, as (label suffix, start, end, years later).
@@ -124,13 +125,13 @@ def paris_buffers() -> list[tuple[str, Shape]]:
 
 
 def grid(box, cols: int, rows: int) -> list[tuple[int, int, tuple[float, float, float, float]]]:
-    """Cells of a box, row 0 at the top."""
-    xmin, ymin, xmax, ymax = box
-    cw, ch = (xmax - xmin) / cols, (ymax - ymin) / rows
-    return [
-        (c, r, (xmin + c * cw, ymax - (r + 1) * ch, xmin + (c + 1) * cw, ymax - r * ch))
-        for c in range(cols) for r in range(rows)
-    ]
+    """Cells between evenly spaced edges, as column, row from the top, and box; neighbours share their edge exactly."""
+    west, south, east, north = box
+    meridians = [west + (east - west) * i / cols for i in range(cols + 1)]
+    parallels = [north - (north - south) * j / rows for j in range(rows + 1)]
+    bands = [(j, low, high) for j, (high, low) in enumerate(pairwise(parallels))]
+    strips = [(i, left, right) for i, (left, right) in enumerate(pairwise(meridians))]
+    return [(i, j, (left, low, right, high)) for j, low, high in bands for i, left, right in strips]
 
 
 # ---- trajectory queries ------------------------------------------------------------------------

@@ -14,7 +14,6 @@ SITES = [
 ]
 
 BEIJING_BOX = (115.4172, 39.4425, 117.5071, 41.0586)
-TRACKS_BOX = (-153.11044311523438, -8.030740737915039, 10.138124465942383, 65.8145980834961)
 
 BEIJING = [
     [(115.42, 39.62), (115.75, 39.51), (116.23, 39.45), (116.62, 39.6), (116.82, 39.53), (116.94, 39.78),

@@ -91,28 +91,69 @@ def _point(x: int, y: int):
     return lambda f: to_point(f[x], f[y], "sentinel")
 
 
+# The columns of the public event table in the order of the file, with their kind and field number
+# (longitude and latitude for points).
+EVENT_COLUMNS = [
+    ("event_id", "int", 1),
+    ("day", "day", 2),
+    ("month_year", "int", 3),
+    ("year", "int", 4),
+    ("fraction_date", "double", 5),
+    ("actor1_code", "text", 6),
+    ("actor1_name", "text", 7),
+    ("actor1_country_code", "text", 8),
+    ("actor1_known_group_code", "text", 9),
+    ("actor1_ethnic_code", "text", 10),
+    ("actor1_religion1_code", "text", 11),
+    ("actor1_religion2_code", "text", 12),
+    ("actor1_type1_code", "text", 13),
+    ("actor1_type2_code", "text", 14),
+    ("actor1_type3_code", "text", 15),
+    ("actor2_code", "text", 16),
+    ("actor2_name", "text", 17),
+    ("actor2_country_code", "text", 18),
+    ("actor2_known_group_code", "text", 19),
+    ("actor2_ethnic_code", "text", 20),
+    ("actor2_religion1_code", "text", 21),
+    ("actor2_religion2_code", "text", 22),
+    ("actor2_type1_code", "text", 23),
+    ("actor2_type2_code", "text", 24),
+    ("actor2_type3_code", "text", 25),
+    ("is_root_event", "text", 26),
+    ("event_code", "text", 27),
+    ("event_base_code", "text", 28),
+    ("event_root_code", "text", 29),
+    ("quad_class", "text", 30),
+    ("goldstein_scale", "double", 31),
+    ("num_mentions", "int", 32),
+    ("num_sources", "int", 33),
+    ("num_articles", "int", 34),
+    ("avg_tone", "double", 35),
+    ("actor1_geo_type", "int", 36),
+    ("actor1_geo_fullname", "text", 37),
+    ("actor1_geo_countrycode", "text", 38),
+    ("actor1_adm1code", "text", 39),
+    ("actor1_geom", "point", (41, 40)),
+    ("actor1_geo_featureid", "text", 42),
+    ("actor2_geo_type", "int", 43),
+    ("actor2_geo_fullname", "text", 44),
+    ("actor2_geo_countrycode", "text", 45),
+    ("actor2_adm1code", "text", 46),
+    ("actor2_geom", "point", (48, 47)),
+    ("actor2_geo_featureid", "text", 49),
+    ("action_geo_type", "int", 50),
+    ("action_geo_fullname", "text", 51),
+    ("action_geo_countrycode", "text", 52),
+    ("action_adm1code", "text", 53),
+    ("the_geom", "point", (55, 54)),
+    ("action_geo_featureid", "text", 56),
+]
+_KINDS = {"text": _text, "int": _int, "double": _double, "point": lambda xy: _point(*xy), "day": lambda n: lambda f: to_date(f[n], "yyyyMMdd", "sentinel")}
+
+
 def event_columns() -> dict[str, Callable[[Fields], Column]]:
     """The public event table: tab separated, 57 fields and more."""
-    columns: dict[str, Callable[[Fields], Column]] = {
-        "the_geom": _point(55, 54), "event_id": _int(1), "day": lambda f: to_date(f[2], "yyyyMMdd", "sentinel"),
-        "month_year": _int(3), "year": _int(4), "fraction_date": _double(5),
-    }
-    actor = ["code", "name", "country_code", "known_group_code", "ethnic_code", "religion1_code", "religion2_code",
-             "type1_code", "type2_code", "type3_code"]
-    for first, who in ((6, "actor1"), (16, "actor2")):
-        columns.update({f"{who}_{name}": _text(first + i) for i, name in enumerate(actor)})
-    root = ["is_root_event", "event_code", "event_base_code", "event_root_code", "quad_class"]
-    columns.update({name: _text(26 + i) for i, name in enumerate(root)})
-    columns.update({"goldstein_scale": _double(31), "num_mentions": _int(32), "num_sources": _int(33),
-                    "num_articles": _int(34), "avg_tone": _double(35)})
-    for first, who in ((36, "actor1"), (43, "actor2"), (50, "action")):
-        columns[f"{who}_geo_type"] = _int(first)
-        columns[f"{who}_geo_fullname"] = _text(first + 1)
-        columns[f"{who}_geo_countrycode"] = _text(first + 2)
-        columns[f"{who}_adm1code"] = _text(first + 3)
-        columns[f"{who}_geo_featureid"] = _text(first + 6)
-    columns.update({"actor1_geom": _point(41, 40), "actor2_geom": _point(48, 47)})
-    return columns
+    return {name: _KINDS[kind](place) for name, kind, place in EVENT_COLUMNS}
 
 
 def trajectory_columns() -> dict[str, Callable[[Fields], Column]]:
