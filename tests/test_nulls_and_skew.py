@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators.clusters import convex_hulls
-from waymark.operators.quantiles import exact_quantiles, with_bins
+from waymark.operators.quantiles import bounded_quantiles, exact_quantiles, with_bins
 from waymark.operators.results import numbered_pairs
 from waymark.operators.skew import lead_in_key, running_sum, salted_join, with_chunks
+from waymark.sources.layout import joined_ranges
 
 
 def test_bins_of_null_values_and_groups(spark):
@@ -74,3 +75,16 @@ def test_salted_join_spreads_null_keys(spark, hot):
 def test_points_near_the_pole_stay_apart(spark):
     row = spark.range(1).select(geo.within_metres(F.lit(10.0), F.lit(89.0), *[F.lit(v) for v in (*geo.merc_xy(10.0, 86.0), 1.0)]).alias("near")).first()
     assert not row.near
+
+
+def test_bounded_and_distributed_quantiles_agree(spark):
+    df = spark.createDataFrame([(g, float((i * 37) % 101)) for g in ("a", "b", None) for i in range(150)], "g string, v double")
+    one, other = ({r.g: r.q for r in bounded_quantiles(df, "v", [0.0, 0.25, 0.5, 0.99], ["g"], most).collect()} for most in (1000, 10))
+    assert one.keys() == other.keys() == {"a", "b", None}
+    assert all(one[g] == pytest.approx(other[g]) for g in one)
+
+
+def test_curve_ranges_are_joined_at_the_smallest_gaps():
+    ranges = [(0, 1), (3, 4), (10, 11), (12, 13), (40, 50)]
+    assert joined_ranges(ranges, 3) == [(0, 4), (10, 13), (40, 50)]
+    assert joined_ranges(ranges, 5) == ranges and joined_ranges(ranges, 1) == [(0, 50)]

@@ -268,7 +268,7 @@ def lookup_full(spark: SparkSession, path: str, attribute: str, value) -> DataFr
 
 def lookup_join(spark: SparkSession, path: str, records: DataFrame, attribute: str, value, fid: str = "fid") -> DataFrame:
     ids = lookup_full(spark, path, attribute, value).select(fid)
-    return records.join(ids, fid, "left_semi")
+    return join_measured(records, ids.distinct(), [fid], [fid], "left_semi")
 
 
 def ngrams(text: Column, n: int = 3) -> Column:
@@ -293,4 +293,4 @@ def ngram_search(df: DataFrame, index: DataFrame, text: str, pattern: str, fid:
     if not grams:
         return df.filter(hit)
     ids = index.filter(F.col("gram").isin(grams)).groupBy(fid).agg(F.count("*").alias("_g")).filter(F.col("_g") == len(grams))
-    return df.join(ids.select(fid), fid, "left_semi").filter(hit)
+    return join_measured(df, ids.select(fid), [fid], [fid], "left_semi").filter(hit)

@@ -11,6 +11,7 @@ from waymark.session import cut_lineage
 
 CUTS = 64  # buckets of the ungrouped form
 GROUP_CUTS = 16  # and per group
+DISTINCT_IN_TASK = 1_000_000
 
 
 def _bucket(cuts: Sequence[float], first: int = 0) -> str:
@@ -22,13 +23,16 @@ def _bucket(cuts: Sequence[float], first: int = 0) -> str:
     return f"CASE WHEN _v > {cuts[middle]!r}D THEN {above} ELSE {below} END"
 
 
-def bounded_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """``by.., q``: quantile array of a column with few distinct values per group.
+def bounded_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), most: int = DISTINCT_IN_TASK) -> DataFrame:
+    """``by.., q``: quantile array of a column that usually has few distinct values per group, as run durations have.
 
-    For run durations in whole milliseconds: the aggregation holds one entry per distinct value, which
-    the request timeout bounds, however many runs there are. Equal values are counted first.
+    Equal values are counted first. The aggregation holds one entry per distinct value of a group in one task; groups
+    with more than ``most`` of them take the distributed selection, which gives the same numbers.
     """
-    counted = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_f"))
+    counted = cut_lineage(df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_f")))
+    largest = counted.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        return exact_quantiles(df, col, probs, by)
     return counted.groupBy(*by).agg(F.percentile(col, F.array(*[F.lit(float(p)) for p in probs]), F.col("_f")).alias("q"))
 
 

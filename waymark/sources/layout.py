@@ -26,13 +26,13 @@ def with_layout(df: DataFrame, time_col: str | None = "ts", period: str = "month
 
 def write_features(
     df: DataFrame, path: str, time_col: str | None = "ts", period: str = "month", mode: str = "append",
-    shards: int | None = None, shard_kind: str = "hash", fid: str = "fid", cluster: bool = False,
+    shards: int | None = None, shard_kind: str = "hash", fid: str = "fid", cluster: bool = True,
 ) -> None:
     """Write a feature table.
 
-    Map-only by default: each task sorts its rows by period and curve key and writes them. ``cluster``
-    range-partitions by (period, curve key) first, which costs one shuffle and makes row-group
-    statistics selective; a period with many rows is split over many tasks there.
+    Rows are range-partitioned by (period, curve key): one shuffle, after which a task holds few periods and row-group
+    statistics are selective; a period with many rows is split over many tasks. Without ``cluster`` each task writes
+    its own rows, which is map-only but makes a file for every task and period.
     """
     out = with_layout(df, time_col, period)
     keys = (["period"] if time_col else []) + ["z2"]
@@ -64,17 +64,23 @@ def read_window(
         if span.hi is not None:
             df = df.filter(F.col("period") <= _period_of(span.hi, period))
     if box is not None:
-        ranges = cells.cover(box, bits)
+        ranges = joined_ranges(cells.cover(box, bits))
         df = df.filter(F.col("z2").between(ranges[0][0], ranges[-1][1]))
-        if len(ranges) <= 32:
-            any_range = F.lit(False)
-            for low, high in ranges:
-                any_range = any_range | F.col("z2").between(low, high)
-            df = df.filter(any_range)
+        any_range = F.lit(False)
+        for low, high in ranges:
+            any_range = any_range | F.col("z2").between(low, high)
+        df = df.filter(any_range)
         df = df.filter(geo.in_box(F.col("lon"), F.col("lat"), box))
     return df
 
 
+def joined_ranges(ranges: list[tuple[int, int]], most: int = 32) -> list[tuple[int, int]]:
+    """At most ``most`` ascending ranges: those with the smallest gaps between them become one."""
+    gaps = sorted(range(1, len(ranges)), key=lambda i: ranges[i][0] - ranges[i - 1][1], reverse=True)
+    starts = [0, *sorted(gaps[:most - 1])]
+    return [(ranges[a][0], ranges[b - 1][1]) for a, b in zip(starts, [*starts[1:], len(ranges)])]
+
+
 def _period_of(instant, period: str) -> int:
     """Period number of one instant; must agree with :func:`cells.period_number`."""
     months = (instant.year - 1970) * 12 + instant.month - 1
