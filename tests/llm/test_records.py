@@ -170,6 +170,18 @@ def test_main_text(spark, container):
     assert all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_deep_and_irregular_pages_take_linear_time():
+    import json
+    import time
+    deep = "<article>" + "<div>" * 20_000 + "core" + "</div>" * 20_000 + "<p>end</p></article>"
+    mixed = "<article>" + "".join(f"<{random.choice(['p', 'h2', 'li', 'dd'])} class=c{'abcdefghij'[i % 10] * (i % 97)}>t{i}" for i in range(20_000)) + "</article>"
+    start = time.time()
+    wrapper = json.dumps(wrappers._dump(wrappers.infer([deep, mixed, mixed[::-1], deep])))
+    assert wrappers.main_text(deep, wrapper) == "core\nend"
+    assert wrappers.main_text(mixed, wrapper) == "\n".join(f"t{i}" for i in range(20_000))
+    assert time.time() - start < 20
+
+
 def test_odd_pages(spark):
     odd = [(1, None, None), (2, "http://a.org", ""), (3, "http://a.org", "just text"), (4, "http://b.org", "<article><p>open <b>tags<p>two<script>var a='</p>';</script>"),
            (5, "http://c.org", "<div><p>only page " + "x" * 200_000 + "</p></div>"), (6, "http://d.org", "<nav>menu</nav><!-- <article>no</article> -->"),
