@@ -118,12 +118,12 @@ def runs_for(recall: float, similarity: float) -> int:
 
 
 def path_leaves(classes: DataFrame, runs: int, scratch: Scratch) -> DataFrame:
-    """``leaf, n, set_key``: the leaves in which classes meet."""
+    """``leaf, n, set_key``: the leaves in which classes meet; a class comes to a node from one parent only."""
     roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)]))
     rows = classes.select("set_key", "tokens", roots.alias("parent")).withColumn("parent_n", F.lit(2 ** 62))
     leaves = []
     for depth in range(1, _DEPTH + 1):
-        members = scratch.cut(rows.select("set_key", "parent_n", _sampled(F.col("parent"), F.col("tokens")).alias("node")).distinct())
+        members = scratch.cut(rows.select("set_key", "parent_n", _sampled(F.col("parent"), F.col("tokens")).alias("node")))
         counts = members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         met = scratch.cut(members.join(counts, "node"))
         done = (F.col("n") <= LEAF) | (F.col("n") >= _DENSE * F.col("parent_n")) | F.lit(depth == _DEPTH)
@@ -135,7 +135,7 @@ def path_leaves(classes: DataFrame, runs: int, scratch: Scratch) -> DataFrame:
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out
 
 
 def _tasks(leaves: DataFrame) -> DataFrame:
