@@ -35,4 +35,4 @@ def test_one_window_is_a_filter(spark, sf):
 
 def test_time_reach_of_a_window_set_reaches_the_scan(spark, sf):
     plan = plan_of(QUERIES["plan_cities"](spark, sf))
-    assert "GreaterThanOrEqual(o_orderdate,1995-01-01T00:00)" in plan
+    assert "GreaterThanOrEqual(o_orderdate,1987-01-01T00:00)" in plan
