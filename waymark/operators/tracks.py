@@ -59,11 +59,12 @@ def tracks_in_windows(
 ) -> DataFrame:
     """Rows of ``tracks`` (one per track, with its time) with the ``name`` of each window they meet.
 
-    Tracks outside of the windows' reach in time go first, and their segments with them. The join back on the track
+    Tracks outside of the windows' reach in time go first, and segments (with a begin ``t1``) before it. The join back on the track
     id comes after the distinct, so a long track is one row per shape there.
     """
     if ws.span.lo is not None or ws.span.hi is not None:
         tracks = tracks.filter(in_span(F.col(time_col), TimeSpan(ws.span.lo, ws.span.hi, True)))
-        segments = segments.join(tracks.select(track).distinct(), track, "left_semi")
+        if ws.span.lo is not None and "t1" in segments.columns:  # no segment begins before its track
+            segments = segments.filter(F.col("t1").isNull() | in_span(F.col("t1"), TimeSpan(ws.span.lo, None, True)))
     matched = tracks_meeting_shapes(segments, ws, track).join(tracks, track)
     return match_times(matched, ws, time_col, track)
