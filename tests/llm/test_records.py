@@ -190,3 +190,20 @@ def test_odd_pages(spark):
     got = Counter((r.page_id, r.text if len(r.text) < 100 else len(r.text)) for r in rows)
     assert got == Counter([(1, ""), (2, ""), (3, "just text"), (4, "open tags\ntwo"), (4, "open tags\ntwo"), (5, 200_010), (6, ""), (None, "a b c")])
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_every_page_of_a_host_counts(spark):
+    """One host: articles of ever new classes, pages without one, and one page of its own kind."""
+    rows, want = [], {}
+    for i in range(40):
+        word = "".join(chr(97 + int(d)) for d in str(i))
+        story = f"Story {i} goes on. " * 5
+        if i == 17:
+            html, want[i] = f"<body class='front'><header>Site</header><section id=x><h2>Only here</h2><p>{story}</p></section></body>", f"Only here\n{story.strip()}"
+        elif i % 4 == 1:
+            html, want[i] = f"<body class='p-{word}'><nav>menu</nav><div class='story tag-{word}'><h1>Head {word}</h1><p>{story}<p>Next {i}</div><footer>us</footer></body>", f"Head {word}\n{story.strip()}\nNext {i}"
+        else:
+            html, want[i] = f"<body class='b-{word}'><nav>menu</nav><article class='post tag-{word}'><h1>Head {word}</h1><p>{story}</article></body>", f"Head {word}\n{story.strip()}"
+        rows.append((i, "http://one.org/", html))
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert {r.page_id: r.text for r in got} == want
