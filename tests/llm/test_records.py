@@ -192,6 +192,12 @@ def test_odd_pages(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def text_by_host_form(pages):
+    import json
+    form = json.dumps(wrappers._dump(wrappers.infer(pages)))
+    return [wrappers.main_text(p, form) for p in pages]
+
+
 def test_every_page_of_a_host_counts(spark):
     """One host: articles of ever new classes, pages without one, and one page of its own kind."""
     rows, want = [], {}
@@ -207,3 +213,17 @@ def test_every_page_of_a_host_counts(spark):
         rows.append((i, "http://one.org/", html))
     got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
     assert {r.page_id: r.text for r in got} == want
+
+
+def test_fixed_text_repeats_over_different_pages():
+    def story(i, extra=""):
+        return f"<body><div class=story><div class=note>All rights kept</div><p>Story {i} goes on and on</p>{extra}</div></body>"
+
+    pages = [story(i) for i in range(6)] + [story(6, "<blockquote>Said once</blockquote>"), story(7, "<div class=note>Another note</div>")]
+    want = [f"Story {i} goes on and on" for i in range(6)] + ["Story 6 goes on and on\nSaid once", "Story 7 goes on and on\nAnother note"]
+    assert text_by_host_form(pages) == want
+    # copies of one page are one page, however many
+    copies = [story("copied")] * 50 + [story("other")]
+    assert text_by_host_form(copies) == [f"All rights kept\nStory {'other' if p is copies[-1] else 'copied'} goes on and on" for p in copies]
+    # pages that differ in their furniture only keep their text
+    assert text_by_host_form([f"<nav>{i}</nav><p>same story</p>" for i in range(9)]) == ["same story"] * 9
