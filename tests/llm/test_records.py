@@ -227,3 +227,29 @@ def test_fixed_text_repeats_over_different_pages():
     assert text_by_host_form(copies) == [f"All rights kept\nStory {'other' if p is copies[-1] else 'copied'} goes on and on" for p in copies]
     # pages that differ in their furniture only keep their text
     assert text_by_host_form([f"<nav>{i}</nav><p>same story</p>" for i in range(9)]) == ["same story"] * 9
+
+
+def test_streams_align_in_order():
+    def brute(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    draw = random.Random(2)
+    for _ in range(500):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randint(0, 12))] for _ in range(2))
+        for bits in (1 << 28, 20, 1):
+            met = wrappers.common(a, b, bits)
+            assert len(met) == brute(a, b) and all(a[i] == b[j] for i, j in met)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(met, met[1:]))
+    a, b = ([draw.choice("abcd") for _ in range(20_000)] for _ in range(2))
+    assert len(wrappers.common(a, b)) == len(wrappers.common(a, b, 1 << 24)) > 10_000
+    # a plain div of teasers before a plain div of the story, and one of links after it
+    pages = ["<body><div>" + "".join(f"<p>Teaser {i}.{k}</p>" for k in range(1 + i % 3)) + "</div><div>" + "".join(f"<p>Story {i}.{k} {'goes on ' * 20}</p>" for k in range(1 + i % 4))
+             + f"</div><div><p>Link {i}</p></div></body>" for i in range(12)]
+    assert text_by_host_form(pages) == ["\n".join(f"Story {i}.{k} {'goes on ' * 20}".strip() for k in range(1 + i % 4)) for i in range(12)]
+    # parts of varying number stay together
+    parts = ["<body>" + "".join(f"<div><h2>Part {i}.{k}</h2><p>{'words ' * 9}{i}.{k}</p></div>" for k in range(1 + i % 3)) + "</body>" for i in range(9)]
+    assert text_by_host_form(parts) == ["\n".join(f"Part {i}.{k}\n{'words ' * 9}{i}.{k}" for k in range(1 + i % 3)) for i in range(9)]
