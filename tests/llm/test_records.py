@@ -253,3 +253,14 @@ def test_streams_align_in_order():
     # parts of varying number stay together
     parts = ["<body>" + "".join(f"<div><h2>Part {i}.{k}</h2><p>{'words ' * 9}{i}.{k}</p></div>" for k in range(1 + i % 3)) + "</body>" for i in range(9)]
     assert text_by_host_form(parts) == ["\n".join(f"Part {i}.{k}\n{'words ' * 9}{i}.{k}" for k in range(1 + i % 3)) for i in range(9)]
+
+
+def test_nesting_has_no_cap():
+    import time
+    start = time.time()
+    for n in (200, 20_000):
+        named = "<div id=page><article>" + "<div>" * n + "core" + "</div>" * n + "<p>rest</p></article><div>outside</div></div><footer>us</footer>"
+        furniture = "<div id=page><article>" + "<div>" * n + "core<nav><div>menu</div></nav>" + "</div>" * n + "<p>rest</p></article></div>"
+        plain = "<div id=page>" + "<section>" * n + "<ul><li>core<li>more</ul>" + "</section>" * n + "<p>rest</p></div>"
+        assert text_by_host_form([named, furniture, plain]) == ["core\nrest", "core\nrest", "core\nmore\nrest"]
+    assert time.time() - start < 20
