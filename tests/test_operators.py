@@ -1,5 +1,6 @@
 """Joins that split hot keys, quantiles, nearness, clusters and streams against plain Python."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -191,3 +192,32 @@ def test_latest_over_batches(spark, tmp_path):
     stream = jobs.read_stream(spark, f"{source}/*", df.schema, files_per_batch=1)
     got = sorted((r.k, r.t, r.v) for r in jobs.latest(stream, "k", "t", ["t", "v"]).collect())
     assert got == [("a", 3, 3.0), ("b", 5, 2.0)]
+
+
+def settled_brute(points, k):
+    """Lloyd's rounds until no point changes its cluster."""
+    order = sorted(points, key=lambda r: (hashlib.md5(f"kmeans|{r[0]}".encode()).hexdigest(), r[0]))
+    centres, before = [r[1:] for r in order[:k]], None
+    while True:
+        own = [min(((x - c[0]) ** 2 + (y - c[1]) ** 2, n) for n, c in enumerate(centres)) for _, x, y in points]
+        if (now := [n for _, n in own]) == before:
+            return centres, sum(d for d, _ in own) / len(own) / 2
+        before = now
+        for n in range(k):
+            if mine := [p for p, m in zip(points, now, strict=True) if m == n]:
+                centres[n] = (sum(p[1] for p in mine) / len(mine), sum(p[2] for p in mine) / len(mine))
+
+
+def test_clusters_settle(spark):
+    draw = random.Random(3)
+    points = [(i, draw.gauss(10 * (i % 3), 1.5), draw.gauss(8 * (i % 2), 1.5)) for i in range(300)]
+    df = spark.createDataFrame(points, "fid long, lon double, lat double").cache()
+    best, rows = clusters.jump_method(df, ["lon", "lat"], 6, rounds=None)
+    want = [settled_brute(points, k)[1] for k in range(1, 7)]
+    assert [d for _, d, _ in rows] == pytest.approx(want, rel=1e-9)
+    assert best == max(range(6), key=lambda n: 1 / want[n] - (1 / want[n - 1] if n else 0)) + 1
+    clustered, centres = clusters.settled_kmeans(df, ["lon", "lat"], 12)
+    assert [v for c in centres for v in c] == pytest.approx([v for c in settled_brute(points, 12)[0] for v in c], rel=1e-9)
+    assert clustered.count() == 300 and clusters.settled_kmeans(df.limit(0), ["lon", "lat"], 12)[1] == []
+    # two rounds, as the query with SQL has, are not settled clusters
+    assert clusters.jump_method(df, ["lon", "lat"], 6, rounds=2)[1][5][1] != pytest.approx(want[5], rel=1e-6)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from waymark.operators.skew import attach, join_measured, salted_join
 from waymark.session import cut_lineage
 
+ROUNDS = 10_000  # far more than k-means needs to settle
+
 
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
@@ -60,15 +62,42 @@ def group_kmeans(
         centres = cut_lineage(attach(centres, means, [*by, "cluster"]).select(*by, "cluster", *[F.coalesce(f"_{c}", c).alias(c) for c in columns]))
 
 
-def jump_method(df: DataFrame, columns: list[str], k_max: int, rounds: int = 10, fid: str = "fid", seed: str = "kmeans") -> tuple[int, list[tuple[int, float, float]]]:
+def settled_kmeans(df: DataFrame, columns: list[str], k: int, fid: str = "fid", seed: str = "kmeans") -> tuple[DataFrame, list[tuple[float, ...]]]:
+    """k-means of all rows, started as in ``group_kmeans``, in rounds until the centres stay: rows with ``cluster`` and
+    squared ``distance``, and the centres.
+
+    A centre stays if it moves by less than 1e-12 of the largest coordinate, which is the noise of adding rows in another
+    order. Only the k centres come to the driver. Rounds that do not settle within ``ROUNDS`` raise.
+    """
+    first = df.orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col(fid).cast("string"))), fid).limit(k)
+    centres = [tuple(float(v) for v in r) for r in first.select(*columns).collect()]  # k rows
+    if not centres:
+        return df.withColumn("cluster", F.lit(None).cast("int")).withColumn("distance", F.lit(None).cast("double")), []
+    kind = "array<struct<cluster:int," + ",".join(f"`{c}`:double" for c in columns) + ">>"
+    for _ in range(ROUNDS):
+        row = df.sparkSession.createDataFrame([([(n, *c) for n, c in enumerate(centres)],)], f"_centres {kind}")  # one row
+        best = df.crossJoin(F.broadcast(row)).withColumn("_best", _nearest(columns)).withColumn("cluster", F.col("_best.cluster")).withColumn("distance", F.col("_best.d")).drop("_best", "_centres")
+        means = {r[0]: tuple(r[1:]) for r in best.groupBy("cluster").agg(*[F.avg(c) for c in columns]).collect()}  # at most k rows
+        after = [tuple(m if m is not None else o for m, o in zip(means.get(n, c), c, strict=True)) for n, c in enumerate(centres)]
+        if all(abs(x - y) <= 1e-12 * max(abs(v) for o in centres for v in o) for o, m in zip(centres, after, strict=True) for x, y in zip(o, m, strict=True)):
+            return best, centres
+        centres = after
+    raise RuntimeError(f"{k} centres still move after {ROUNDS} rounds")
+
+
+def jump_method(
+    df: DataFrame, columns: list[str], k_max: int, rounds: int | None = 10, fid: str = "fid", seed: str = "kmeans",
+) -> tuple[int, list[tuple[int, float, float]]]:
     """Number of clusters with the largest jump of the transformed distortion d_k^(-p/2).
 
-    The distortion is the mean squared distance to the own centre per dimension (identity covariance).
+    The distortion is the mean squared distance to the own centre per dimension (identity covariance), after so many
+    rounds, or if None after the centres have settled.
     """
     p = len(columns)
     rows, before = [], 0.0
     for k in range(1, k_max + 1):
-        distortion = (group_kmeans(df, columns, k, (), rounds, fid, seed)[0].agg(F.avg("distance")).first()[0] or 0.0) / p
+        best = settled_kmeans(df, columns, k, fid, seed)[0] if rounds is None else group_kmeans(df, columns, k, (), rounds, fid, seed)[0]
+        distortion = (best.agg(F.avg("distance")).first()[0] or 0.0) / p
         transformed = distortion ** (-p / 2) if distortion > 0 else float("inf")
         rows.append((k, distortion, transformed - before))
         before = transformed

@@ -12,7 +12,7 @@ from waymark.plans import regions as R
 from waymark.plans.fixtures import geo_events, geo_orders, mx_sql, my_sql, table, track_segments, with_ctes
 from waymark.plans.registry import query
 from waymark.plans.sqltext import num
-from waymark.session import scratch_dir
+from waymark.session import cut_lineage, scratch_dir
 
 _BOX = (-10.0, 40.0, 60.0, 65.0)
 _IN_BOX_SQL = f"lon BETWEEN {num(_BOX[0])} AND {num(_BOX[2])} AND lat BETWEEN {num(_BOX[1])} AND {num(_BOX[3])}"
@@ -163,6 +163,21 @@ def b_jump(spark, sf):
     return found.withColumn("distortion", F.round("distortion", 6)).withColumn("jump", F.round("jump", 9))
 
 
+@query("b_kmeans_settled")
+def b_kmeans_settled(spark, sf):
+    """Twelve clusters, in rounds until the centres stay; no SQL, which would have to write out every round."""
+    clustered, _ = clusters.settled_kmeans(cut_lineage(geo_events(spark, sf).select("fid", "lon", "lat")), ["lon", "lat"], 12)
+    return clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
+
+
+@query("b_jump_settled")
+def b_jump_settled(spark, sf):
+    """The jump among up to six clusters that have settled; no SQL, as for ``b_kmeans_settled``."""
+    best, rows = clusters.jump_method(cut_lineage(geo_events(spark, sf).select("fid", "lon", "lat")), ["lon", "lat"], 6, rounds=None)
+    found = spark.createDataFrame([(k, d, j, k == best) for k, d, j in rows], "k int, distortion double, jump double, chosen boolean")
+    return found.withColumn("distortion", F.round("distortion", 6)).withColumn("jump", F.round("jump", 9))
+
+
 @query("b_sample", with_ctes("geo_events", "SELECT fid, lon, lat FROM geo_events ORDER BY md5('4|sample|' || fid), fid LIMIT 100"))
 def b_sample(spark, sf):
     return process.sample_overall(geo_events(spark, sf), 100, 4).select("fid", "lon", "lat")
