@@ -107,6 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUENC
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (length * group_sequences)))
     dealt = pieces.withColumn("pack_group", F.pmod("draw", F.lit(groups)))
+    tasks = max(groups // 8, min(groups, docs.sparkSession.sparkContext.defaultParallelism))  # some eight groups a task
 
     def first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, tree = None, FirstFit()
@@ -123,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUENC
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
                                              ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
 
-    in_order = dealt.repartition("pack_group").sortWithinPartitions("pack_group", F.col("length").desc(), "draw")
+    in_order = dealt.repartition(tasks, "pack_group").sortWithinPartitions("pack_group", F.col("length").desc(), "draw")
     return in_order.select("pack_group", "doc_id", "start", "length", "doc_tokens", "ids").mapInArrow(first_fit, _PACKED)
 
 

@@ -17,9 +17,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from waymark.llm.words import LOWER, SPACED, STRETCH, flat
+from waymark.llm.words import LOWER, SPACED, flat
 
-STORE_WORDS = 1 << 19  # pieces kept by a worker; the store starts anew beyond that
+STORE_WORDS = 1 << 20  # pieces kept by a worker; the store starts anew beyond that
+STRETCH = 1 << 22  # bytes looked at together
+_TOGETHER = 1000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _CLOSING = np.zeros(256, bool)
@@ -67,11 +69,14 @@ class TokenStore:
             self.clear()
         new = [v for v in values if v not in self.place]
         if new:
-            encoded = self.tokenizer.encode_batch_fast([v.decode("utf-8", "replace") for v in new], add_special_tokens=False)
-            lists = [e.ids for e in encoded]
-            bounds = np.cumsum([0, *map(len, lists)]) + self.bounds[-1]
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in lists for i in ids), np.int32, bounds[-1] - bounds[0])])
-            self.bounds = np.concatenate([self.bounds, bounds[1:]])
+            ids, counts = [self.ids], []
+            for i in range(0, len(new), _TOGETHER):
+                some = [v.decode("utf-8", "replace") for v in new[i:i + _TOGETHER]]
+                encoded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(encoded.ids, np.int32))
+                counts.append(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(some)))
+            self.ids = np.concatenate(ids)
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(counts))])
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         at = np.fromiter((self.place[v] for v in values), np.int64, len(values))[coded.indices.to_numpy()]
         first, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
