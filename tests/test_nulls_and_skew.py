@@ -88,3 +88,26 @@ def test_curve_ranges_are_joined_at_the_smallest_gaps():
     ranges = [(0, 1), (3, 4), (10, 11), (12, 13), (40, 50)]
     assert joined_ranges(ranges, 3) == [(0, 4), (10, 13), (40, 50)]
     assert joined_ranges(ranges, 5) == ranges and joined_ranges(ranges, 1) == [(0, 50)]
+
+
+def test_merges_keep_null_keys(spark):
+    from waymark.operators import results
+    rows = [(f"u{i}", ("A", "B", None)[i % 3], None if i % 4 == 0 else "q", i * 10, i * 10 + 25, i, i * 10 + 5, i) for i in range(30)]
+    runs = spark.createDataFrame(rows, "uuid string, system string, queryName string, startTime long, endTime long, duration long, timeAtFirstResult long, result long")
+    flying = {r.uuid: r.in_flight for r in results.concurrency(runs).collect()}
+    assert flying == {u: sum(s == t and a <= c < b for _, t, _, a, b, *_ in rows) for u, s, _, c, *_ in rows}
+    no_start = results.concurrency(runs.withColumn("startTime", F.when(F.col("uuid") != "u3", F.col("startTime")))).collect()
+    assert len(no_start) == 30 and [r.uuid for r in no_start if r.in_flight is None] == ["u3"]
+    assert results.group_values(runs).count() == 30
+    assert {r.system for r in results.boxplot(runs, ["system"]).collect()} == {"A", "B", None} == {r.system for r in results.latency_summary(runs, ["system"]).collect()}
+    assert results.predict(runs, results.regression(runs, ["system"]), ["system"]).filter("predicted is not null").count() == 30
+    assert results.without_warmup(runs, "system", "startTime").count() == 27
+    assert {r.queryName for r in results.matched_results(runs).collect()} == {"q", None}
+
+
+@pytest.mark.parametrize("rows_per_task", [5, 10 ** 6])
+def test_salted_join_of_null_keys(spark, rows_per_task):
+    big = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(40)], "id int, k string")
+    small = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
+    assert salted_join(big, small, ["k"], ["id"], rows_per_task=rows_per_task, null_safe=True).groupBy("v").count().orderBy("v").collect() == [(1, 20), (2, 20)]
+    assert salted_join(big, small, ["k"], ["id"], rows_per_task=rows_per_task).count() == 20

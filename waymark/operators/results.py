@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.operators.quantiles import bounded_quantiles, scalar_array
-from waymark.operators.skew import attach, join_measured, running_sum
+from waymark.operators.skew import attach, join_measured, null_safe_join, running_sum
 from waymark.session import cut_lineage
 
 
@@ -31,9 +31,11 @@ def result_range(runs: DataFrame) -> DataFrame:
 
 def matched_results(runs: DataFrame, systems: Sequence[str] = ("A", "B"), name: str = "queryName") -> DataFrame:
     """Smallest result per name of two systems, inner-merged on the name (one row per name on each side)."""
-    a, b = (
-        runs.filter(F.col("system") == s).groupBy(name).agg(F.min("result").alias(f"{s.lower()}_result")) for s in systems)
-    return a.join(b, name)
+    own = {s: F.col("system") == s for s in systems}
+    per_name = runs.filter(F.col("system").isin(list(systems))).groupBy(name).agg(
+        *[F.min(F.when(test, F.col("result"))).alias(f"{s.lower()}_result") for s, test in own.items()],
+        *[F.count_if(test).alias(f"_n{i}") for i, test in enumerate(own.values())])
+    return per_name.filter((F.col("_n0") > 0) & (F.col("_n1") > 0)).drop("_n0", "_n1")
 
 
 def mismatches(matched: DataFrame, a: str = "a_result", b: str = "b_result", differ: bool = True) -> DataFrame:
@@ -42,22 +44,26 @@ def mismatches(matched: DataFrame, a: str = "a_result", b: str = "b_result", dif
 
 
 def chain(runs: DataFrame, slices: Mapping[str, Column], values: Mapping[str, Column]) -> DataFrame:
-    """Inner merges of the per-name means of several slices; columns are ``<slice>_<value>``."""
-    parts = [
-        runs.filter(test).groupBy("queryName").agg(*[F.avg(v).alias(f"{label}_{out}") for out, v in values.items()])
-        for label, test in slices.items()
-    ]
-    return reduce(lambda x, y: x.join(y, "queryName"), parts)
+    """Per name that has rows in every slice the means of each slice, in one pass; columns are ``<slice>_<value>``."""
+    tests = list(slices.values())
+    means = [F.avg(F.when(test, v)).alias(f"{label}_{out}") for label, test in slices.items() for out, v in values.items()]
+    found = runs.groupBy("queryName").agg(*means, *[F.count_if(test).alias(f"_n{i}") for i, test in enumerate(tests)])
+    in_all = reduce(Column.__and__, [F.col(f"_n{i}") > 0 for i in range(len(tests))])
+    return found.filter(in_all).drop(*[f"_n{i}" for i in range(len(tests))])
 
 
 def concurrency(runs: DataFrame, by: str = "system") -> DataFrame:
-    """``in_flight`` for every run: runs of the same system with ``start <= its start < end``."""
-    deltas = runs.select(by, F.inline(F.array(
+    """``in_flight`` for every run: runs of the same system with ``start <= its start < end``.
+
+    A run without an end goes on; one without a start is in flight nowhere and has null.
+    """
+    started = runs.filter(F.col("startTime").isNotNull())
+    deltas = started.select(by, F.inline(F.array(
         F.struct(F.col("startTime").alias("t"), F.lit(1).alias("d")),
-        F.struct(F.col("endTime").alias("t"), F.lit(-1).alias("d")))))
+        F.struct(F.col("endTime").alias("t"), F.lit(-1).alias("d"))))).filter(F.col("t").isNotNull())
     net = deltas.groupBy(by, "t").agg(F.sum("d").alias("d"))
     level = running_sum(net, [by], ["t"], "d", "in_flight").select(by, F.col("t").alias("startTime"), "in_flight")
-    return runs.join(level, [by, "startTime"])
+    return null_safe_join(runs, level, [by, "startTime"], "left")
 
 
 def describe(df: DataFrame, col: str, quantiles: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def boxplot(df: DataFrame, by: Sequence[str], col: str = "duration") -> DataFram
         *by, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     # whisker ends from the distinct values: one row per group and value, not per run
-    values = df.select(*by, col).distinct().join(q, list(by))
+    values = null_safe_join(df.select(*by, col).distinct(), q, by)
     inside = values.filter(F.col(col).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr))
     return inside.groupBy(*by, "q1", "median", "q3").agg(F.min(col).alias("low"), F.max(col).alias("high"))
 
@@ -126,11 +132,11 @@ def group_values(runs: DataFrame) -> DataFrame:
 def latency_summary(runs: DataFrame, by: Sequence[str]) -> DataFrame:
     """n, min, max, mean, std, p50, p75, p95, p99 and requests per second."""
     q = bounded_quantiles(runs, "duration", [0.5, 0.75, 0.95, 0.99], by)
-    seconds = (F.max("endTime") - F.min("startTime")) / 1000.0
+    seconds = F.nullif((F.max("endTime") - F.min("startTime")) / 1000.0, F.lit(0.0))  # a group of one instant has no rate
     base = runs.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("duration").alias("min"), F.max("duration").alias("max"), F.avg("duration").alias("mean"),
         F.stddev_pop("duration").alias("std"), (F.count("*") / seconds).alias("per_second"))
-    return base.join(q, list(by)).select(
+    return null_safe_join(base, q, by, "left").select(
         *by, "n", "min", "max", "mean", "std", *[F.get("q", F.lit(i)).alias(p) for i, p in enumerate(("p50", "p75", "p95", "p99"))],
         "per_second")
 

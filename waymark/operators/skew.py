@@ -22,10 +22,14 @@ MAX_SLICES = 1000  # of one key
 
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join with a written table on keys that may be null; it is broadcast if its row count is within the limit."""
-    renamed = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    return null_safe_join(big, F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys, how)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet null keys; the key columns are those of ``left``."""
+    renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     test = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    side = F.broadcast(renamed) if small.count() <= BROADCAST_ROWS else renamed
-    return big.join(side, test, how).drop(*[f"_k{i}" for i in range(len(keys))])
+    return left.join(renamed, test, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
@@ -40,16 +44,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_T
 
 def salted_join(
     big: DataFrame, other: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
-    how: str = "inner", rows_per_task: int = ROWS_PER_TASK,
+    how: str = "inner", rows_per_task: int = ROWS_PER_TASK, null_safe: bool = False,
 ) -> DataFrame:
     """Equi-join that splits hot keys of ``big``, null among them, and repeats only the matching rows of ``other``.
 
-    ``spread_by`` are columns of ``big`` that differ between its rows (a feature id); the split is a
+    With ``null_safe`` null keys meet null keys, else nothing. ``spread_by`` are columns of ``big`` that differ between its rows (a feature id); the split is a
     hash of them, so a task run again after a lost executor makes the same split.
     """
     found = None if big.isStreaming else hot_keys(big, keys, rows_per_task)
+    join = null_safe_join if null_safe else lambda left, right, on, how: left.join(right, list(on), how)
     if found is None:
-        return big.join(other, list(keys), how)
+        return join(big, other, keys, how)
     left = attach(big, found, keys).withColumn(
         "_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int"))
@@ -57,7 +62,7 @@ def salted_join(
     right = attach(other, found, keys).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
     ).drop("_parts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return join(left, right, [*keys, "_salt"], how).drop("_salt")
 
 
 def join_measured(
@@ -65,11 +70,11 @@ def join_measured(
     max_rows: int = 200_000,
 ) -> DataFrame:
     """Join with a side that is usually small: it is worked out first, broadcast if its row count is within
-    the limit, and otherwise joined with hot keys split."""
+    the limit, and otherwise joined with hot keys split. Null keys meet null keys."""
     other = cut_lineage(other)
     if other.count() <= max_rows:
-        return big.join(F.broadcast(other), list(keys), how)
-    return salted_join(big, other, keys, spread_by, how)
+        return null_safe_join(big, F.broadcast(other), keys, how)
+    return salted_join(big, other, keys, spread_by, how, null_safe=True)
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
