@@ -71,6 +71,24 @@ def geo_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.col("lat") + width, F.lit(90.0)).alias("ymax"))
 
 
+# Corners of the outlines of polygon features, in widths from their lower left corner. An arrow head, a hole
+# in its shaft and a second part beside it.
+RING_SHAPES = {
+    "outer": [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.5, 0.25), (0.0, 1.0), (0.0, 0.0)],
+    "hole": [(0.25, 0.0625), (0.5, 0.125), (0.75, 0.0625), (0.25, 0.0625)],
+    "part": [(1.5, 0.5), (2.0, 0.5), (1.75, 1.0), (1.5, 0.5)],
+}
+
+
+def geo_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygon features at each order's point: fid, day, city, rings. Every third has a hole, every fifth a second part."""
+    width = (F.col("fid") % 17 + 1).cast("double") / F.lit(4.0)
+    ring = lambda name: F.array(*[F.struct((F.col("lon") + width * F.lit(x)).alias("x"), (F.col("lat") + width * F.lit(y)).alias("y")) for x, y in RING_SHAPES[name]])
+    none = F.array().cast(f"array<{geo.RING_TYPE}>")
+    rings = F.concat(F.array(ring("outer")), F.when(F.col("fid") % 3 == 0, F.array(ring("hole"))).otherwise(none), F.when(F.col("fid") % 5 == 0, F.array(ring("part"))).otherwise(none))
+    return geo_orders(spark, sf_dir).select("fid", "day", "city", rings.alias("rings"))
+
+
 def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of the day tracks of each user: track, t1, t2, fid1, x1, y1, x2, y2."""
     points = geo_events(spark, sf_dir).select("fid", "ts", "user_id", "lon", "lat").withColumn(
@@ -164,6 +182,13 @@ CTES: dict[str, tuple[list[str], str]] = {
     "geo_boxes": (["geo_orders"], "geo_boxes AS (SELECT fid, day, city, lon AS xmin, lat AS ymin, "
                   "least(lon + ((fid % 17) + 1)/4e0, 180e0) AS xmax, least(lat + ((fid % 17) + 1)/4e0, 90e0) AS ymax "
                   "FROM geo_orders)"),
+    "ring_edges": (["geo_orders"], "ring_steps(number, every, x1, y1, x2, y2) AS (VALUES " + ", ".join(
+        f"({n}, {every}, {a[0]!r}e0, {a[1]!r}e0, {b[0]!r}e0, {b[1]!r}e0)" for n, (ring, every) in enumerate(zip(RING_SHAPES.values(), (1, 3, 5)))
+        for a, b in zip(ring, ring[1:])) + "), "
+        "ring_sides AS (SELECT fid, day, lon + ((fid % 17) + 1)/4e0*r.x1 AS ax, lat + ((fid % 17) + 1)/4e0*r.y1 AS ay, lon + ((fid % 17) + 1)/4e0*r.x2 AS bx, "
+        "lat + ((fid % 17) + 1)/4e0*r.y2 AS b_y FROM geo_orders JOIN ring_steps r ON fid % every = 0), "
+        "ring_edges AS (SELECT fid, day, CASE WHEN ay <= b_y THEN ax ELSE bx END AS x1, least(ay, b_y) AS y1, CASE WHEN ay <= b_y THEN bx ELSE ax END AS x2, "
+        "greatest(ay, b_y) AS y2 FROM ring_sides)"),
     "segs": (["geo_events"], "led AS (SELECT fid, ts, user_id, lon, lat, CAST(ts AS DATE) AS day, "
              "lead(fid) OVER w AS fid2, lead(ts) OVER w AS t2, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 "
              "FROM geo_events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, fid)), "
