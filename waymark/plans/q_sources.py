@@ -13,7 +13,7 @@ from waymark.plans.fixtures import geo_boxes, geo_events, geo_orders, run_result
 from waymark.plans.registry import query
 from waymark.plans.sqltext import num, span_literal
 from waymark.session import scratch_dir
-from waymark.sources import converters, delimited, geojson, layout, nested_binary, synthetic, tables
+from waymark.sources import avro, converters, delimited, geojson, layout, nested_binary, synthetic, tables
 
 
 @query("src_list_files")
@@ -76,20 +76,29 @@ def _box_tracks(spark, sf):
         F.col("city").alias("key"), (2 * (F.col("xmax") - F.col("xmin") + F.col("ymax") - F.col("ymin"))).alias("total_distance"))
 
 
-def _decoded(spark, sf):
-    path = scratch_dir(spark, "tracks")
-    nested_binary.encode_tracks(_box_tracks(spark, sf)).write.parquet(path)
+def _decoded(spark, sf, form=""):
+    path = scratch_dir(spark, "tracks") + form
+    nested_binary.write_collections(nested_binary.encode_tracks(_box_tracks(spark, sf)), path)
     return nested_binary.decode_tracks(nested_binary.read_collections(spark, path))
 
 
-@query("src_nested_binary", with_ctes(
+_NESTED_SQL = with_ctes(
     "geo_boxes", "SELECT CAST(fid AS VARCHAR) AS fid, xmin, ymin, xmax, ymax, 5 + CAST(fid % 50 = 0 AS INTEGER) AS num_track_points, "
-    "day AS time_stamp, city AS key, 2*(xmax-xmin+ymax-ymin) AS total_distance FROM geo_boxes"))
-def src_nested_binary(spark, sf):
-    return _decoded(spark, sf).withColumn("box", geo.envelope(F.col("points"))).select(
+    "day AS time_stamp, city AS key, 2*(xmax-xmin+ymax-ymin) AS total_distance FROM geo_boxes")
+
+
+@query("src_nested_binary", _NESTED_SQL)
+def src_nested_binary(spark, sf, form=""):
+    return _decoded(spark, sf, form).withColumn("box", geo.envelope(F.col("points"))).select(
         "fid", "box.*", "num_track_points", "time_stamp", "key", "total_distance")
 
 
+@query("src_nested_avro", _NESTED_SQL)
+def src_nested_avro(spark, sf):
+    """The same from Avro container files."""
+    return src_nested_binary(spark, sf, ".avro")
+
+
 @query("src_track_validation", with_ctes(
     "geo_orders", "SELECT CAST(fid AS VARCHAR) AS fid, 5 AS decoded, 6 AS stored FROM geo_orders WHERE fid % 50 = 0"))
 def src_track_validation(spark, sf):
@@ -272,6 +281,31 @@ def b_export(spark, sf):
         F.col("name").cast("bigint").alias("fid"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+_EXPORT_SQL = with_ctes("geo_orders", "SELECT fid, day, city, lon, lat FROM geo_orders WHERE city = 'Paris' OR fid % 10 = 0")
+
+
+def _exported(spark, sf):
+    return geo_orders(spark, sf).filter((F.col("city") == "Paris") | (F.col("fid") % 10 == 0)).select("fid", "day", "city", "lon", "lat")
+
+
+@query("b_export_csv", _EXPORT_SQL)
+def b_export_csv(spark, sf):
+    """A filter exported as CSV and read back."""
+    path = scratch_dir(spark, "export")
+    _exported(spark, sf).write.option("header", True).csv(path)
+    return spark.read.option("header", True).schema("fid bigint, day timestamp_ntz, city string, lon double, lat double").csv(path)
+
+
+@query("b_export_avro", _EXPORT_SQL)
+def b_export_avro(spark, sf):
+    """A filter exported as Avro and read back with the schema of the files."""
+    path = scratch_dir(spark, "export") + ".avro"
+    rows = _exported(spark, sf).withColumn("day", F.unix_millis(F.col("day").cast("timestamp")))
+    avro.register(spark)
+    rows.write.format("avro_files").mode("append").save(path)
+    return spark.read.format("avro_files").load(path).withColumn("day", F.timestamp_millis("day").cast("timestamp_ntz"))
+
+
 # ---- generated features --------------------------------------------------------------------------
 
 def _tasks(spark, sf):

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from waymark.sources import avro
+
 RECORD_SCHEMA = (
     "featureType struct<name: string, attributes: array<string>, types: array<string>, roles: array<string>>, "
     "simpleFeatureCollection array<struct<fid: string, values: array<binary>, classifications: string>>"
@@ -25,22 +27,41 @@ TRACK_SCHEMA = (
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    """Avro files where the Avro source is on the class path, else Parquet of the same nesting."""
-    if path.endswith(".avro"):
-        return spark.read.format("avro").schema(RECORD_SCHEMA).load(path)
+    """Avro files or folders whose name ends in ``.avro``, else Parquet of the same nesting."""
+    if path.rstrip("/").endswith(".avro"):
+        return avro.register(spark).read.format("avro_files").schema(RECORD_SCHEMA).load(path)
     return spark.read.schema(RECORD_SCHEMA).parquet(path)
 
 
-def _numbers(column: pa.Array, kind: str) -> np.ndarray:
-    """One big-endian number per value; the values follow each other in memory."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(kind[1:])
+def write_collections(records: DataFrame, path: str, **options: str) -> None:
+    """The inverse: Avro if the name ends in ``.avro``, else Parquet."""
+    if path.rstrip("/").endswith(".avro"):
+        avro.register(records.sparkSession)
+        records.write.format("avro_files").options(**options).mode("append").save(path)
+    else:
+        records.write.parquet(path)
+
 
+def _numbers(column: pa.Array, kind: str) -> pa.Array:
+    """One big-endian number per value, null for null; a value of another length fails the job."""
+    size = np.dtype(kind).itemsize
+    values = column.to_pylist()
+    wrong = next((v for v in values if v is not None and len(v) != size), None)
+    if wrong is not None:
+        raise ValueError(f"expected {size} bytes, found {len(wrong)}")
+    numbers = np.frombuffer(b"".join(bytes(size) if v is None else v for v in values), kind).astype(kind[1:])
+    return pa.array(numbers, mask=np.array([v is None for v in values], bool))
 
-def _lines_of_wkb(column: list[bytes]) -> pa.Array:
-    """WKB line strings to lists of points; lines of one byte order are decoded together."""
-    counts = np.empty(len(column), dtype=np.int64)
+
+def _lines_of_wkb(column: list[bytes | None]) -> pa.Array:
+    """WKB line strings to lists of points, null for null; lines of one byte order are decoded together."""
+    counts = np.zeros(len(column), dtype=np.int64)
     bodies = []
     for i, wkb in enumerate(column):
+        if wkb is None:
+            continue
+        if len(wkb) < 9 or len(wkb) < 9 + 16 * struct.unpack_from(">I" if wkb[0] == 0 else "<I", wkb, 5)[0]:
+            raise ValueError(f"a WKB line string of {len(wkb)} bytes ends early")
         order = ">" if wkb[0] == 0 else "<"
         kind, counts[i] = struct.unpack_from(order + "II", wkb, 1)
         if kind != 2:
@@ -50,16 +71,15 @@ def _lines_of_wkb(column: list[bytes]) -> pa.Array:
     xy = np.frombuffer(b"".join(bodies), ">f8").astype("f8").reshape(-1, 2)
     points = pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], names=["x", "y"])
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), points)
+    return pa.ListArray.from_arrays(pa.array(offsets), points, mask=pa.array([w is None for w in column], pa.bool_()))
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = {n: batch.column(n) for n in batch.schema.names}
         yield pa.RecordBatch.from_arrays([
-            col["fid"], _lines_of_wkb(col["geometry"].to_pylist()), pa.array(_numbers(col["points"], ">i4")),
-            pa.array(_numbers(col["time"], ">i8")), pa.array([k.decode("ascii") for k in col["key"].to_pylist()], pa.string()),
-            pa.array(_numbers(col["distance"], ">f8")),
+            col["fid"], _lines_of_wkb(col["geometry"].to_pylist()), _numbers(col["points"], ">i4"), _numbers(col["time"], ">i8"),
+            pa.array([None if k is None else k.decode("ascii") for k in col["key"].to_pylist()], pa.string()), _numbers(col["distance"], ">f8"),
         ], names=["fid", "points", "num_track_points", "time_millis", "key", "total_distance"])
 
 
@@ -86,27 +106,23 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = batch.column("points")
         offsets = points.offsets.to_numpy()
         flat = points.values
+        lines = [struct.pack(">BII", 0, 2, e - s) for s, e in zip(offsets, offsets[1:])]
         xy = np.column_stack([flat.field("x").to_numpy(), flat.field("y").to_numpy()]).astype(">f8")
-        yield pa.RecordBatch.from_arrays([
-            batch.column("fid"),
-            pa.array([struct.pack(">BII", 0, 2, e - s) + xy[s:e].tobytes() for s, e in zip(offsets, offsets[1:])], pa.binary()),
-            *[pa.array([struct.pack(f, v) for v in batch.column(n).to_pylist()], pa.binary())
-              for n, f in (("time_millis", ">q"), ("total_distance", ">d"), ("num_track_points", ">i"))],
-        ], names=["fid", "geometry", "time", "distance", "points"])
+        geometry = [None if none else head + xy[s:e].tobytes() for none, head, s, e in zip(points.is_null().to_pylist(), lines, offsets, offsets[1:])]
+        numbers = [pa.array([None if v is None else struct.pack(f, v) for v in batch.column(n).to_pylist()], pa.binary())
+                   for n, f in (("time_millis", ">q"), ("total_distance", ">d"), ("num_track_points", ">i"))]
+        yield pa.RecordBatch.from_arrays([batch.column("fid"), batch.column("key"), pa.array(geometry, pa.binary()), *numbers],
+                                         names=["fid", "key", "geometry", "time", "distance", "points"])
 
 
 def encode_tracks(tracks: DataFrame) -> DataFrame:
     """The inverse of :func:`decode_tracks`, for exports in this form."""
     millis = F.unix_millis(F.col("time_stamp").cast("timestamp")).alias("time_millis")
-    packed = tracks.select("fid", "points", "num_track_points", millis, "key", "total_distance")
-    bytes_schema = "fid string, geometry binary, time binary, distance binary, points binary"
-    keyed = packed.select(F.struct(F.col("fid"), F.col("key")).alias("id"), "*").select(
-        F.to_json("id").alias("fid"), "points", "num_track_points", "time_millis", "total_distance")
-    coded = keyed.mapInArrow(_encode, bytes_schema).withColumn("id", F.from_json("fid", "fid string, key string"))
+    packed = tracks.select("fid", "key", "points", "num_track_points", millis, "total_distance")
+    coded = packed.mapInArrow(_encode, "fid string, key string, geometry binary, time binary, distance binary, points binary")
     empty = F.array().cast("array<string>")
     return coded.select(
         F.struct(F.lit("generated-tracks").alias("name"), empty.alias("attributes"), empty.alias("types"), empty.alias("roles")).alias("featureType"),
         F.array(F.struct(
-            F.col("id.fid").alias("fid"),
-            F.array("geometry", "time", F.col("id.key").cast("binary"), "distance", "points").alias("values"),
+            "fid", F.array("geometry", "time", F.col("key").cast("binary"), "distance", "points").alias("values"),
             F.lit(None).cast("string").alias("classifications"))).alias("simpleFeatureCollection"))
