@@ -264,3 +264,86 @@ def test_nesting_has_no_cap():
         plain = "<div id=page>" + "<section>" * n + "<ul><li>core<li>more</ul>" + "</section>" * n + "<p>rest</p></div>"
         assert text_by_host_form([named, furniture, plain]) == ["core\nrest", "core\nrest", "core\nmore\nrest"]
     assert time.time() - start < 20
+
+
+def story_of(i):
+    return f"Story {i} begins here. " + f"It goes on about {i} for long. " * 12
+
+
+def same_host(body, n=6):
+    return text_by_host_form([f"<html><head><title>t{i}</title></head><body>{body(i, story_of(i))}</body></html>" for i in range(n)])
+
+
+def test_the_wrapper_decides_past_named_parts():
+    told = [story_of(i).strip() for i in range(6)]
+    cards = lambda i: "".join(f"<article><h3>Teaser {i}.{k}</h3><p>Read this {i}{k}</p></article>" for k in range(1 + i % 3))
+    # a story in a div next to teasers that are articles
+    assert same_host(lambda i, s: f"<div class=story><p>{s}</p></div><div class=cards>{cards(i)}</div>") == told
+    # main, then more articles and comments that are articles, of any class
+    assert same_host(lambda i, s: f"<main><p>{s}</p></main><div class=more>{cards(i)}</div><section class=discussion>"
+                     + "".join(f"<article><p>I, reader {i}{k}, say so. {'So it is. ' * 9}</p></article>" for k in range(i)) + "</section>") == told
+    # comments within the article itself
+    assert same_host(lambda i, s: f"<article><h1>Head {i}</h1><p>{s}</p><section class=talk>" + "".join(f"<article>Reader {i}{k}</article>" for k in range(i)) + "</section></article>") == [
+        f"Head {i}\n{t}" for i, t in enumerate(told)]
+    # a page that lists its articles keeps them
+    assert same_host(lambda i, s: f"<main><h1>All of {i}</h1><article><p>{s}</p></article><article><p>second {s}</p></article></main>") == [
+        f"All of {i}\n{t}\nsecond {t}" for i, t in enumerate(told)]
+
+
+def test_words_of_classes_empty_no_page():
+    told = [story_of(i).strip() for i in range(6)]
+    assert same_host(lambda i, s: f"<div class='content has-sidebar'><article><p>{s}</p></article></div>") == told
+    assert same_host(lambda i, s: f"<div class='page with-sidebar no-header'><p>{s}</p></div>") == told
+    assert same_host(lambda i, s: f"<div class='sidebar wrap'><div class=text><p>{s}</p></div><div class=widget><p>w {i}</p></div></div>") == told
+    assert same_host(lambda i, s: f"<article><div class='entry-header'><h1>Head {i}</h1></div><p>{s}</p></article>") == [f"Head {i}\n{t}" for i, t in enumerate(told)]
+    assert same_host(lambda i, s: f"<article><header><h1>Head {i}</h1></header><p>{s}</p><div class='share social'>Share {i}</div></article>") == [f"Head {i}\n{t}" for i, t in enumerate(told)]
+    comments = lambda i: "".join(f"<p>{i}{k} is what I think. {'Truly. ' * 40}</p>" for k in range(5))
+    assert same_host(lambda i, s: f"<div class=post><p>{s}</p></div><div id=comments>{comments(i)}</div>") == told
+
+
+def test_a_host_of_mixed_layouts():
+    def body(i, s):
+        if i % 3 == 0:
+            return f"<div class=wrap><article><p>{s}</p></article></div><div class=cards><p>see {i}</p></div>"
+        if i % 3 == 1:
+            return f"<main><section><p>{s}</p></section></main><div class=more><article>teaser {i}</article></div>"
+        return f"<div class=plain><div><p>{s}</p></div></div>"
+
+    assert same_host(body, 12) == [story_of(i).strip() for i in range(12)]
+
+
+def test_slots_of_flow_bound_the_wrapper():
+    """Headings and paragraphs in any order are one slot, so a host's wrapper does not grow with its pages."""
+    draw = random.Random(9)
+    pages = ["<article>" + "".join(f"<{draw.choice(['h2', 'p', 'ul', 'blockquote'])}>{i} {k}" for k in range(draw.randint(1, 40))) + "</article>" for i in range(60)]
+    flats = [wrappers.skeleton(wrappers.parse(p))[1] for p in pages]
+    merged = wrappers.wrapper_of(flats[0], frozenset(), frozenset())
+    for flat in flats[1:]:
+        merged = wrappers.merge(merged, wrappers.wrapper_of(flat, frozenset(), frozenset()))
+    assert len(wrappers._flat(merged)) < 10
+
+
+def test_wrapper_of_tiny_streams_by_brute_force():
+    """The groups of a merged level are a shortest list that holds both levels in order."""
+    def shortest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if not i or not j:
+                    best[i][j] = i + j
+                else:
+                    best[i][j] = best[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else 1 + min(best[i - 1][j], best[i][j - 1])
+        return best[-1][-1]
+
+    def holds(long, short):
+        it = iter(long)
+        return all(x in it for x in short)
+
+    draw = random.Random(3)
+    for _ in range(200):
+        levels = [[draw.choice(["div", "section", "table"]) for _ in range(draw.randint(0, 5))] for _ in range(2)]
+        pages = ["".join(f"<{n}><form></form></{n}>" for n in level) for level in levels]
+        a, b = ([name for name, _ in wrappers.level_of(wrappers.parse(p).kids, str)] for p in pages)
+        x, y = (wrappers.wrapper_of(wrappers.skeleton(wrappers.parse(p))[1], frozenset(), frozenset()) for p in pages)
+        merged = [g.name for g in wrappers.merge(x, y).groups]
+        assert holds(merged, a) and holds(merged, b) and len(merged) == shortest(a, b)

@@ -1,17 +1,22 @@
 """Main text of web pages by union-free wrappers.
 
 Tags are first balanced (implied end tags are put in, inline markup is dropped), so that the token stream of a page is a
-nested list. A page with a filled ``article`` or ``main`` outside of furniture has its main text there. For the others a
-wrapper is inferred from all different pages of the host that lack one: their streams are aligned in order, level by
+nested list. A wrapper is inferred from all different pages of a host: their streams are aligned in order, level by
 level, by longest common subsequences. Neighbours of one name fold into a repeated group, unless all pages have equally
-many of them that hold more than text: those are places of a layout and stay apart. What only some streams have becomes
-an optional group. The main part is then the smallest part that holds most of the text that is not fixed; menus, adverts
-and other named furniture never are.
+many of them that hold more than text: those are places of a layout and stay apart. Paragraphs, headings, lists and bare
+text follow each other in any order and number; a stretch of them is a repeated group of optional members and one text
+slot. What only some streams have becomes an optional group. The main part is then the smallest part that holds most of
+the text that is not fixed; ``article``, ``main`` and ``role=main`` count ``NAMED`` times there, if they do not repeat. Tags
+of menus, asides and the like never are part of it.
+
+A class, id or role is furniture if a whole word of it says so, but only while the element holds at most half of the page's
+text; comments always are. ``article`` elements within the main part are comments or teasers and go, unless they hold most of
+its text (three quarters), as on a page that lists articles.
 
 A text is fixed where the same text stands at the same path of tags in at least ``FIXED`` different pages and in more
 than half of the different pages of a host. Pages with the same texts are copies and count once. A page leaves out
 fixed text only where its own text equals it. A page is aligned along its host's wrapper; if it lacks the way to the main
-part, or nothing is left of it, it falls to its own largest part.
+part, or nothing is left of it, it falls to its own main part, found in the same way from the page alone.
 
 Texts are counted by a plain aggregation, skeletons of pages (names and sizes) are merged per task, then per host and
 salt, then per host, so the pages of a host need not be gathered. A name with a class, id or role that stands in fewer
@@ -43,6 +48,7 @@ from waymark.session import cut_lineage
 
 FIXED = 3  # different pages at least, in which a fixed text stands
 RARE = 20
+NAMED = 4  # times the size of a named part
 _SALTS = 8
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -58,10 +64,12 @@ _FURNITURE_WORDS = set(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal "
     "nav navbar navigation newsletter notice pagination pager popup promo promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe "
     "toolbar widget".split())
+_COMMENTS = {"comment", "comments", "disqus", "respond"}
 _FURNITURE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form".split())
 _MAIN = {"article", "main"}
 #: These are never taken for the main part of a page: they are parts of a flow of text.
 _FLOW = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr blockquote figure figcaption".split())
+SLOT = "~"  # the name of a stretch of flow
 #: Bits of alignment rows held at a time; longer lists are halved first.
 _ROW_BITS = 1 << 28
 
@@ -69,26 +77,28 @@ _ROW_BITS = 1 << 28
 class Node:
     """An element, or a text if ``name`` is "#"."""
 
-    __slots__ = ("name", "tag", "text", "kids", "furniture", "mained")
+    __slots__ = ("name", "tag", "text", "kids", "furniture", "doubtful")
 
-    def __init__(self, name: str, tag: str, text: str | None = None, furniture: bool = False, mained: bool = False):
+    def __init__(self, name: str, tag: str, text: str | None = None, furniture: bool = False, doubtful: bool = False):
         self.name, self.tag, self.text, self.kids = name, tag, text, []
-        self.furniture, self.mained = furniture, mained
+        self.furniture, self.doubtful = furniture, doubtful
 
 
 def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The name under which an element is aligned, whether it is furniture, and whether it is the main part."""
-    furniture, mained, name = tag in _FURNITURE_TAGS, tag in _MAIN, tag
+    """The name under which an element is aligned, whether it is furniture, and whether only a word says so."""
+    furniture, doubtful, name = tag in _FURNITURE_TAGS, False, tag
     if "=" in attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "").lower()
             if tag not in ("html", "body") and tag not in _MAIN:
                 name += f" {key.lower()}={re.sub(r'[0-9]+', '', value)}"
             if key.lower() == "role":
-                furniture, mained = furniture or value in _FURNITURE_ROLES, mained or value == "main"
+                furniture = furniture or value in _FURNITURE_ROLES
             elif tag not in ("html", "body") and tag not in _MAIN:
-                furniture = furniture or any(w in _FURNITURE_WORDS for w in re.split(r"[^a-z]+", value))
-    return name, furniture, mained
+                words = set(value.split())
+                furniture = furniture or bool(words & _COMMENTS)
+                doubtful = doubtful or bool(words & _FURNITURE_WORDS)
+    return name, furniture or doubtful, doubtful and not furniture
 
 
 def parse(page: str) -> Node:
@@ -122,7 +132,7 @@ def parse(page: str) -> Node:
             if places[tag]:
                 close(places[tag][-1])
             continue
-        name, furniture, mained = _named(tag, token[3])
+        name, furniture, doubtful = _named(tag, token[3])
         if tag in _INLINE and not furniture:
             if tag == "br":
                 text(" ")
@@ -134,7 +144,7 @@ def parse(page: str) -> Node:
                 last, within = (max((places[t][-1] for t in tags if places[t]), default=0) for tags in _CLOSES[tag])
                 if last > within:
                     close(last)
-        node = Node(name, tag, None, furniture, mained)
+        node = Node(name, tag, None, furniture, doubtful)
         stack[-1].kids.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
@@ -142,9 +152,27 @@ def parse(page: str) -> Node:
         elif tag not in _VOID and not token[3].endswith("/"):
             places[tag].append(len(stack))
             stack.append(node)
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Elements that only a word calls furniture are not if they hold more than half of the page's text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        if node.doubtful or not node.furniture:
+            todo.extend(node.kids)
+    if not any(n.doubtful for n in order):
+        return
+    size: dict[int, int] = {}
+    for node in reversed(order):
+        size[id(node)] = len(node.text.strip()) if node.name == "#" else sum(size.get(id(k), 0) for k in node.kids)
+    for node in order:
+        if node.doubtful and 2 * size[id(node)] > size[id(root)]:
+            node.furniture = False
+
 
 def _hash(value: str) -> int:
     return int.from_bytes(blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
@@ -158,61 +186,74 @@ def _path(path: int, tag: str) -> int:
     return zlib.crc32(tag.encode("utf-8", "surrogatepass"), path)
 
 
-def _blocks(part: Node, named: bool, path: int = 0, fixed: frozenset[int] = frozenset()) -> list[str]:
-    """The text below a part by blocks, without furniture and fixed texts. A head of a named part is not furniture."""
-    blocks, parts, todo = [], [], [(part, path)]
+def _blocks(part: Node, path: int = 0, fixed: frozenset[int] = frozenset()) -> list[str]:
+    """The text of a main part by blocks, without furniture, fixed texts and articles within. Its own header is no furniture."""
+    blocks, within, parts, todo = [], [], [], [(part, path, False)]
+    headed = part.tag not in ("", "html", "body")
 
-    def flush() -> None:
+    def flush(inner: bool) -> None:
         if block := _clean(parts):
             blocks.append(block)
+            within.append(inner)
         parts.clear()
 
     while todo:
-        node, path = todo.pop()
+        node, path, inner = todo.pop()
         if node is None:
-            flush()
+            flush(inner)
         elif node.name == "#":
             if not fixed or _hash(f"{path} {_clean([node.text])}") not in fixed:
                 parts.append(node.text)
         else:
-            flush()
-            if not node.furniture or (named and node.tag == "header"):
-                todo.append((None, 0))
-                todo.extend((k, _path(path, k.tag)) for k in reversed(node.kids))
-    flush()
+            flush(inner)
+            if not node.furniture or (headed and node.tag == "header"):
+                now = inner or (node.tag == "article" and node is not part)
+                todo.append((None, 0, now))
+                todo.extend((k, _path(path, k.tag), now) for k in reversed(node.kids))
+    flush(False)
+    inner = sum(len(b) for b, i in zip(blocks, within, strict=True) if i)
+    if inner and inner < 0.75 * sum(map(len, blocks)):
+        return [b for b, i in zip(blocks, within, strict=True) if not i]
     return blocks
 
 
-def _named_blocks(tree: Node) -> list[str]:
-    """The text of the outermost ``article`` and ``main`` parts that are not in furniture."""
-    blocks, todo = [], [tree]
-    while todo:
-        node = todo.pop()
-        if node.mained:
-            blocks += _blocks(node, True)
-        elif not node.furniture:
-            todo.extend(reversed(node.kids))
-    return blocks
+def level_of(kids: list, name_of: Callable[[str], str]) -> list[tuple[str, list]]:
+    """A level by groups: a stretch of flow is a text slot, other neighbours of one name stand together."""
+    groups = [(name, list(same)) for name, same in groupby(kids, lambda k: SLOT if k.tag in _FLOW or k.name == "#" else name_of(k.name))]
+    return [("#" if name == SLOT and all(k.name == "#" for k in same) else name, same) for name, same in groups]
 
 
-def skeleton(page: str) -> tuple[int, list | None, list[int], list[str]]:
-    """Of a page: a hash of its texts; name, number of kids, size and text hash of its nodes in order, or None if it has a
-    named main part; the hashes of its texts by path; its long names. Furniture and named parts are leaves."""
-    tree = parse(page)
-    blocks = _named_blocks(tree)
-    flat, keys, todo = [], set(), [(tree, 0)]
+def skeleton(tree: Node) -> tuple[int, list, list[int], list[str]]:
+    """Of a page: a hash of its texts; its parts in order; the hashes of its texts by path; its long names.
+
+    A part is its name and the number of parts below; a text slot is its name and the sizes and hashes of its texts.
+    Furniture is a leaf.
+    """
+    flat, keys, names, todo = [], set(), set(), [("", [(tree, 0)])]
     while todo:
-        node, path = todo.pop()
-        leaf = node.furniture or node.mained
-        size = key = 0
-        if node.name == "#" and (text := _clean([node.text])):
-            size, key = len(text), _hash(f"{path} {text}")
-            keys.add(key)
-        flat.append((node.name, 0 if leaf else len(node.kids), size, key))
-        if not leaf:
-            todo.extend((k, _path(path, k.tag)) for k in reversed(node.kids))
-    content = _hash("\n".join([*map(str, sorted(keys)), *blocks]))
-    return content, None if blocks else flat, sorted(keys), [] if blocks else sorted({n for n, *_ in flat if " " in n})
+        slot, members = todo.pop()
+        if slot:
+            sizes, hashes, inner = [], [], members[::-1]
+            while inner:
+                node, path = inner.pop()
+                if node.name != "#":
+                    inner.extend(() if node.furniture else [(k, _path(path, k.tag)) for k in reversed(node.kids)])
+                elif text := _clean([node.text]):
+                    sizes.append(len(text))
+                    hashes.append(_hash(f"{path} {text}"))
+            keys.update(hashes)
+            flat.append([slot, sizes, hashes])
+            continue
+        (node, path), = members
+        if " " in node.name:
+            names.add(node.name)
+        below = []
+        for name, same in level_of([] if node.furniture else node.kids, str):
+            placed = [(k, _path(path, k.tag)) for k in same]
+            below += [(name, placed)] if name in (SLOT, "#") else [("", [m]) for m in placed]
+        flat.append([node.name, len(below)])
+        todo.extend(reversed(below))
+    return _hash(" ".join(map(str, sorted(keys)))), flat, sorted(keys), sorted(names)
 
 
 class Part:
@@ -244,10 +285,13 @@ def short(names: frozenset[str]) -> Callable[[str], str]:
 def wrapper_of(flat: list, fixed: frozenset[int], names: frozenset[str]) -> Part:
     """The wrapper of one page."""
     name_of, below = short(names), []
-    for name, n_kids, size, key in reversed(flat):
-        part = Part(name_of(name), 0 if key in fixed else size)
-        kids = [below.pop() for _ in range(n_kids)]
-        part.size += sum(k.size for k in kids)
+    for name, *of in reversed(flat):
+        if len(of) == 2:
+            below.append(Part(name, sum(size for size, key in zip(*of, strict=True) if key not in fixed)))
+            continue
+        part = Part(name_of(name))
+        kids = [below.pop() for _ in range(of[0])]
+        part.size = sum(k.size for k in kids)
         for _, same in groupby(kids, lambda k: k.name):
             group = Group(list(same))
             if len(group.parts) > 1:
@@ -357,10 +401,11 @@ def way(wrapper: Part) -> list[list]:
     """The steps from the root to the main part: the names of a level, the place of the group, its parts, and the part's place."""
     steps = []
     while True:
+        weighed = sum(_weight(g, p) for g in wrapper.groups for p in g.parts)
         for at, group in enumerate(wrapper.groups):
             # One of several places of a layout must hold most of their text on nearly all pages, else they are parts of a whole.
-            found = next((n for n, p in enumerate(group.parts) if p.size > 0.7 * wrapper.size and (len(group.parts) == 1 or (group.pages >= FIXED and p.led > 0.9 * group.pages))), None)
-            if found is not None and not group.many and group.name != "#" and group.name.split(" ", 1)[0] not in _FLOW:
+            found = next((n for n, p in enumerate(group.parts) if _weight(group, p) > 0.7 * weighed and (len(group.parts) == 1 or (group.pages >= FIXED and p.led > 0.9 * group.pages))), None)
+            if found is not None and not group.many and group.name not in (SLOT, "#"):
                 break
         else:
             return steps
@@ -368,6 +413,14 @@ def way(wrapper: Part) -> list[list]:
         wrapper = group.parts[found]
 
 
+def _weight(group: Group, part: Part) -> int:
+    return part.size * (NAMED if is_named(part.name) and len(group.parts) == 1 and not group.many else 1)
+
+
+def is_named(name: str) -> bool:
+    return name.split(" ", 1)[0] in _MAIN or " role=main" in name
+
+
 def fixed_text(n: int, pages: int) -> bool:
     return n >= FIXED and 2 * n > pages
 
@@ -412,11 +465,10 @@ class Form(NamedTuple):
 
 def infer(pages: list[str]) -> Form:
     """The form of some pages, all of one host, as ``host_wrappers`` finds it from tables."""
-    different = sorted({content: rest for content, *rest in map(skeleton, pages)}.items())
-    open_ = [(flat, names) for _, (flat, _, names) in different if flat is not None]
+    different = sorted({content: rest for content, *rest in map(skeleton, map(parse, pages))}.items())
     fixed = frozenset(k for k, n in Counter(k for _, (_, keys, _) in different for k in keys).items() if fixed_text(n, len(different)))
-    names = frozenset(k for k, n in Counter(k for _, own in open_ for k in own).items() if kept_name(n, len(open_)))
-    wrappers = [wrapper_of(flat, fixed, names) for flat, _ in open_]
+    names = frozenset(k for k, n in Counter(k for _, (*_, own) in different for k in own).items() if kept_name(n, len(different)))
+    wrappers = [wrapper_of(flat, fixed, names) for _, (flat, *_) in different]
     return Form(way(reduce(merge, wrappers)) if wrappers else [], fixed, names)
 
 
@@ -430,33 +482,39 @@ def _load(wrapper: str) -> Form:
     return Form(steps, frozenset(fixed), frozenset(names))
 
 
-def _along(tree: Node, form: Form) -> tuple[Node, int, bool]:
-    """The part of a page to which the steps lead, its path, and whether the page has all of them."""
-    node, path, name_of = tree, 0, short(form.names)
+def _along(tree: Node, path: int, form: Form) -> list[tuple[Node, int]]:
+    """The parts of a page on the way of the steps, each with its path, as far as the page has them."""
+    name_of, out = short(form.names), [(tree, path)]
     for level, at, n, place in form.steps:
-        groups = [list(g) for _, g in groupby(node.kids, lambda k: name_of(k.name))]
-        met = next((j for i, j in common(level, [name_of(g[0].name) for g in groups]) if i == at), None)
-        if met is None or len(groups[met]) != n:
-            return node, path, False
-        node = groups[met][place]
-        path = _path(path, node.tag)
-    return node, path, True
+        groups = level_of(tree.kids, name_of)
+        met = next((j for i, j in common(level, [name for name, _ in groups]) if i == at), None)
+        if met is None or len(groups[met][1]) != n:
+            break
+        tree = groups[met][1][place]
+        path = _path(path, tree.tag)
+        out.append((tree, path))
+    return out
+
+
+def _own_way(part: Node, path: int, form: Form) -> list[tuple[Node, int]]:
+    """The same along the way that the part alone has."""
+    return _along(part, path, form._replace(steps=way(wrapper_of(skeleton(part)[1], form.fixed, form.names))))
 
 
 def main_text(page: str, wrapper: str | None = None) -> str:
     """The main text of a page along a wrapper."""
-    tree = parse(page)
-    blocks = _named_blocks(tree)
-    if not blocks:
-        form = _load(wrapper) if wrapper else Form([])
-        part, path, met = _along(tree, form)
-        blocks = _blocks(part, False, path, form.fixed) if met else []
-        flat = None if blocks else skeleton(page)[1]
-        for fixed in (form.fixed, frozenset()):
-            if not blocks and flat:
-                own = Form(way(wrapper_of(flat, fixed, form.names)), fixed, form.names)
-                part, path, _ = _along(tree, own)
-                blocks = _blocks(part, False, path, fixed)
+    tree, form, blocks = parse(page), _load(wrapper) if wrapper else Form([]), []
+    met = _along(tree, 0, form)
+    if len(met) > len(form.steps):
+        part, path = met[-1]
+        # a host of several layouts may stop above a part that this page names its main one
+        if not any(is_named(n.name) for n, _ in met):
+            part, path = next((m for m in reversed(_own_way(part, path, form)) if is_named(m[0].name)), (part, path))
+        blocks = _blocks(part, path, form.fixed)
+    for fixed in (form.fixed, frozenset()):
+        if not blocks:
+            own = form._replace(fixed=fixed)
+            blocks = _blocks(*_own_way(tree, 0, own)[-1], fixed)
     return "\n".join(blocks)
 
 
@@ -474,9 +532,9 @@ def _skeletons(pages: DataFrame) -> DataFrame:
 
     def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [skeleton(page) for page in batch.column(1).to_pylist()]
+            found = [skeleton(parse(page)) for page in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([c for c, *_ in found], pa.int64()), pa.array([None if f is None else json.dumps(f) for _, f, *_ in found], pa.string()),
+                [batch.column(0), pa.array([c for c, *_ in found], pa.int64()), pa.array([json.dumps(f) for _, f, *_ in found], pa.string()),
                  pa.array([k for *_, k, _ in found], pa.list_(pa.int64())), pa.array([n for *_, n in found], pa.list_(pa.string()))], ["host", "content", "tree", "keys", "names"])
 
     read = rows.mapInArrow(read_all, "host string, content bigint, tree string, keys array<bigint>, names array<string>")
@@ -491,14 +549,13 @@ def _often(rows: DataFrame, column: str, n: str, kept: Callable) -> DataFrame:
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper``: one inferred wrapper per host with a page that has no named main part, written once."""
+    """``host, wrapper``: one inferred wrapper per host, written once."""
     different = _skeletons(pages)
-    open_ = different.filter("tree is not null")
-    hosts = open_.select("host").distinct()
-    fixed = _often(different.join(hosts, "host", "left_semi"), "keys", "fixed", lambda n, of: (n >= FIXED) & (2 * n > of))
-    names = _often(open_, "names", "kept", lambda n, of: n * RARE >= of)
+    hosts = different.select("host").distinct()
+    fixed = _often(different, "keys", "fixed", lambda n, of: (n >= FIXED) & (2 * n > of))
+    names = _often(different, "names", "kept", lambda n, of: n * RARE >= of)
     known = cut_lineage(hosts.join(fixed, "host", "left").join(names, "host", "left"))
-    met = open_.select("host", "content", "tree", F.pmod("content", F.lit(_SALTS)).cast("int").alias("salt")).join(_salted(known), ["host", "salt"])
+    met = different.select("host", "content", "tree", F.pmod("content", F.lit(_SALTS)).cast("int").alias("salt")).join(_salted(known), ["host", "salt"])
     sorted_ = met.select("host", "salt", "content", "tree", "fixed", "kept").sortWithinPartitions("host", "salt", "content")
 
     def merge_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
