@@ -99,3 +99,36 @@ def test_tracks(spark):
     times = ends.select("track").distinct().withColumn("t_start", F.lit("2024-01-03").cast("timestamp_ntz"))
     found = all_ways(spark, lambda ws: {(r.track, r.name) for r in tracks_in_windows(ends, times, ws).select("track", "name").collect()})
     assert ("still", "ring/at") in found and ("still", "circle/all") not in found  # in the corner of the circle's box
+
+
+def test_stored_extents_are_read_once(spark, tmp_path):
+    """Every extent that meets the asked box and time comes once, whatever cells it lies in; the scan prunes folders."""
+    import random
+    from waymark.functions.times import TimeSpan
+    from waymark.sources.extents import read_extents, write_extents
+    draw = random.Random(6)
+    rows = []
+    for i in range(300):
+        x, y = draw.uniform(-180, 170), draw.uniform(-90, 85)
+        rows.append((i, datetime(2024, 1 + i % 12, 1 + i % 28), x, y, min(180.0, x + draw.choice([0, 1, 60, 300])), min(90.0, y + draw.choice([0, 2, 50]))))
+    rows += [(900, datetime(2024, 1, 5), None, None, None, None), (901, None, 0.0, 0.0, 1.0, 1.0), (902, datetime(2024, 1, 5), -45.0, -22.5, 45.0, 22.5)]
+    df = spark.createDataFrame(rows, "fid long, t_start timestamp_ntz, xmin double, ymin double, xmax double, ymax double")
+    box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    write_extents(df, str(tmp_path / "x"), box, "t_start")
+    whole = read_extents(spark, str(tmp_path / "x"), df.schema, box)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, df.collect()))
+    for asked in [(-10.0, -10.0, 50.0, 30.0), (-180.0, -90.0, 180.0, 90.0), (100.0, 50.0, 100.0, 50.0), (-45.0, -22.5, 45.0, 22.5)]:
+        span = TimeSpan(datetime(2024, 2, 10), datetime(2024, 5, 3), True)
+        part = read_extents(spark, str(tmp_path / "x"), df.schema, box, asked, span)
+        meets = geo.boxes_meet(box, [F.lit(v) for v in asked])
+        got = sorted(r.fid for r in part.filter(meets).collect())
+        assert got == sorted(r[0] for r in rows if r[1] and r[2] is not None and span.lo <= r[1] <= span.hi and r[2] <= asked[2] and r[4] >= asked[0] and r[3] <= asked[3] and r[5] >= asked[1])
+        assert len({r.fid for r in part.collect()}) == part.count()
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(zx" in plan and "period" in plan.split("PartitionFilters")[1][:400] and "Exchange" not in plan
+
+
+def test_track_queries_read_the_store(spark, sf):
+    from waymark.plans.catalog import QUERIES
+    plan = QUERIES["tracks_ca_7d"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "track-store" in plan and "Window" not in plan and "events.parquet" not in plan and "PartitionFilters: [isnotnull(zx" in plan

@@ -68,3 +68,12 @@ def tracks_in_windows(
             segments = segments.filter(F.col("t1").isNull() | in_span(F.col("t1"), TimeSpan(ws.span.lo, None, True)))
     matched = tracks_meeting_shapes(segments, ws, track).join(tracks, track)
     return match_times(matched, ws, time_col, track)
+
+
+def timed_segments_in_windows(segments: DataFrame, ws: WindowSet, time_col: str = "t_start", track: str = "track") -> DataFrame:
+    """``track, t_start, name`` of tracks whose segments carry the track's time, as stored segments do: no table of tracks is joined."""
+    if ws.span.lo is not None or ws.span.hi is not None:
+        segments = segments.filter(in_span(F.col(time_col), TimeSpan(ws.span.lo, ws.span.hi, True)))
+    named = segments.select(F.struct(F.col(track).alias("track"), F.col(time_col).alias("at")).alias("_t"), "x1", "y1", "x2", "y2")
+    met = tracks_meeting_shapes(named, ws, "_t").select(F.col("_t.track").alias(track), F.col("_t.at").alias(time_col), "geom_id")
+    return match_times(met, ws, time_col, track)

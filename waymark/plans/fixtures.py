@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from waymark.functions import geo
 from waymark.functions.cells import unix_millis
+from waymark.functions.times import TimeSpan
 from waymark.operators.skew import lead_in_key
+from waymark.operators.windows import WindowSet
 from waymark.plans.regions import CITY_BUFFER_KM, SITES
+from waymark.session import scratch_dir
+from waymark.sources.extents import read_extents, write_extents
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -109,11 +116,40 @@ def track_times(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_n") >= 2).drop("_n")
 
 
+_stored: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def segment_box() -> list[Column]:
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    return [F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2)]
+
+
+def store_tracks(spark: SparkSession, sf_dir: str) -> tuple[str, StructType]:
+    """Segments with their track's begin and their length, written by cell and week once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        step = F.hypot(geo.merc_x(F.col("x2")) - geo.merc_x(F.col("x1")), geo.merc_y(F.col("y2")) - geo.merc_y(F.col("y1")))
+        segments = track_segments(spark, sf_dir).join(track_times(spark, sf_dir), "track").withColumn("metres", step)
+        path = scratch_dir(spark, "track-store")
+        write_extents(segments, path, segment_box(), "t_start")
+        _stored[key] = path, segments.schema
+    return _stored[key]
+
+
+def stored_segments(spark: SparkSession, sf_dir: str, asked: Sequence[float] | None = None, span: TimeSpan | None = None) -> DataFrame:
+    """Stored segments that may meet a box in a span of track begins: track, fid1, fid2, t1, t2, x1, y1, x2, y2, t_start, metres."""
+    path, schema = store_tracks(spark, sf_dir)
+    return read_extents(spark, path, schema, segment_box(), asked, span)
+
+
+def segments_for(spark: SparkSession, sf_dir: str, ws: WindowSet) -> DataFrame:
+    return stored_segments(spark, sf_dir, ws.envelope, ws.span)
+
+
 def track_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per track from its segments: track, t_start, n_points, metres."""
-    step = F.hypot(geo.merc_x(F.col("x2")) - geo.merc_x(F.col("x1")), geo.merc_y(F.col("y2")) - geo.merc_y(F.col("y1")))
-    return track_segments(spark, sf_dir).groupBy("track").agg(
-        F.min("t1").alias("t_start"), (F.count("*") + 1).alias("n_points"), F.sum(step).alias("metres"))
+    """One row per track from its stored segments: track, t_start, n_points, metres."""
+    return stored_segments(spark, sf_dir).groupBy("track").agg(
+        F.min("t1").alias("t_start"), (F.count("*") + 1).alias("n_points"), F.sum("metres").alias("metres"))
 
 
 # The period words of the buffer queries.

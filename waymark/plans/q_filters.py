@@ -11,7 +11,7 @@ from waymark.operators.windows import (
     WindowRow, count_in_windows, envelope_shape, polygon_shape, shape_test, window_set,
 )
 from waymark.plans import presets as P, regions as R
-from waymark.plans.fixtures import geo_boxes, geo_events, geo_orders, track_segments, with_ctes
+from waymark.plans.fixtures import geo_boxes, geo_events, geo_orders, segments_for, with_ctes
 from waymark.plans.registry import query
 from waymark.plans.sqltext import count_windows_sql, hits_cte, num, shapes_cte, span_literal
 
@@ -73,7 +73,7 @@ SEGMENT_HITS_SQL = (
 @query("flt_intersects_line", with_ctes("segs", "SELECT track FROM track_hits", shapes_cte([_CA]), SEGMENT_HITS_SQL))
 def flt_intersects_line(spark, sf):
     ws = window_set(spark, [_CA], [WindowRow("in-california", _CA.geom_id)])
-    return tracks_meeting_shapes(track_segments(spark, sf), ws).select("track")
+    return tracks_meeting_shapes(segments_for(spark, sf, ws), ws).select("track")
 
 
 @query("flt_stab_point", with_ctes(

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from waymark.functions import draws, geo
 from waymark.functions.times import during
-from waymark.operators.tracks import tracks_in_windows, tracks_meeting_shapes
+from waymark.operators.tracks import timed_segments_in_windows, tracks_meeting_shapes
 from waymark.operators.windows import (
     count_in_windows, count_matches, extents_in_windows, points_in_windows, selectivity, shape_test,
     window_set, window_set_from_tables,
 )
 from waymark.plans import presets as P, regions as R
 from waymark.plans.fixtures import (
-    geo_boxes, geo_events, geo_orders, mx_sql, my_sql, table, track_segments, track_times, with_ctes,
+    geo_boxes, geo_events, geo_orders, mx_sql, my_sql, segments_for, table, with_ctes,
 )
 from waymark.plans.q_presets import SEGMENT_BOX_HITS_SQL
 from waymark.plans.q_projections import _RANDOM_BOX_SQL, random_boxes
@@ -46,7 +46,7 @@ _TRACK_JOIN = P.tracks_grid("JOIN", "1WEEK", [3], range(4), 2024)
     windows_cte(_TRACK_JOIN[1]), shapes_cte(_TRACK_JOIN[0]), SEGMENT_BOX_HITS_SQL))
 def join_tracks_windows(spark, sf):
     ws = window_set(spark, *_TRACK_JOIN)
-    return tracks_in_windows(track_segments(spark, sf), track_times(spark, sf), ws).select("track", "name")
+    return timed_segments_in_windows(segments_for(spark, sf, ws), ws).select("track", "name")
 
 
 # box features against polygons: an edge meets the box, or the box begins inside
@@ -89,7 +89,8 @@ _PROJECTED = (f"SELECT track, x1, y1, x2, y2, {mx_sql('x1')} AS ax, {my_sql('y1'
     f"FROM ({_PROJECTED}) p JOIN shapes g ON least(x1,x2) <= g.xmax AND greatest(x1,x2) >= g.xmin AND least(y1,y2) <= g.ymax AND greatest(y1,y2) >= g.ymin"
     ")) WHERE px * px + py * py <= metres * metres", shapes_cte(_BUFFERS[0])))
 def join_tracks_buffers(spark, sf):
-    return tracks_meeting_shapes(track_segments(spark, sf), window_set(spark, *_BUFFERS))
+    ws = window_set(spark, *_BUFFERS)
+    return tracks_meeting_shapes(segments_for(spark, sf, ws), ws)
 
 
 # buffers round a free point, with box features

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.operators.tracks import tracks_in_windows
+from waymark.operators.tracks import timed_segments_in_windows
 from waymark.operators.windows import (
     count_in_windows, count_matches, points_in_windows, window_set,
 )
 from waymark.plans import presets as P, regions as R
-from waymark.plans.fixtures import geo_boxes, geo_events, geo_orders, table, track_segments, track_times, with_ctes
+from waymark.plans.fixtures import geo_boxes, geo_events, geo_orders, segments_for, table, with_ctes
 from waymark.plans.q_filters import SEGMENT_HITS_SQL
 from waymark.plans.registry import query
 from waymark.plans.sqltext import count_windows_sql, hits_cte, shapes_cte, span_test, windows_cte
@@ -106,7 +106,7 @@ def _tracked(name, preset):
     @query(name, sql)
     def run(spark, sf):
         ws = window_set(spark, *preset)
-        return count_matches(tracks_in_windows(track_segments(spark, sf), track_times(spark, sf), ws), ws)
+        return count_matches(timed_segments_in_windows(segments_for(spark, sf, ws), ws), ws)
     return run
 
 

@@ -9,7 +9,7 @@ from waymark.functions.times import ntz
 from waymark.operators import clusters, process
 from waymark.operators.skew import lead_in_key
 from waymark.plans import regions as R
-from waymark.plans.fixtures import geo_events, geo_orders, mx_sql, my_sql, table, track_segments, with_ctes
+from waymark.plans.fixtures import geo_events, geo_orders, mx_sql, my_sql, stored_segments, table, with_ctes
 from waymark.plans.registry import query
 from waymark.plans.sqltext import num
 from waymark.session import cut_lineage, scratch_dir
@@ -68,7 +68,7 @@ def b_stats_frequency(spark, sf):
     "m AS (SELECT * FROM m0 WHERE s2 > s1 AND sqrt(pow(ox-ax,2)+pow(oy-ay,2)) <= 50e0*(s2-s1))"))
 def b_tube(spark, sf):
     """Events within 30 km of where any day track is at their time, for tracks of up to 50 m/s."""
-    return process.tube_select(geo_events(spark, sf), track_segments(spark, sf), 30_000.0, 50.0)
+    return process.tube_select(geo_events(spark, sf), stored_segments(spark, sf), 30_000.0, 50.0)
 
 
 @query("b_proximity", with_ctes(
@@ -238,7 +238,7 @@ def b_dbscan(spark, sf):
 def b_time_interval(spark, sf):
     from datetime import datetime
     lo, hi = ntz(datetime(2024, 1, 10, 12)), ntz(datetime(2024, 1, 10, 13))
-    return process.meeting_interval(track_segments(spark, sf), "t1", "t2", lo, hi).select("track", "fid1")
+    return process.meeting_interval(stored_segments(spark, sf), "t1", "t2", lo, hi).select("track", "fid1")
 
 
 @query("b_pixel_thin", with_ctes(

@@ -324,16 +324,21 @@ _WEIGHTS = [2**(2 * z - 1) for z in _LEVELS]
 _CUMULATED = [sum(_WEIGHTS[:i + 1]) for i in range(len(_WEIGHTS))]
 
 
+# How often the windows of a month, 27, 18 and 9 days, a week and 5 days follow each other in the year.
+_WINDOW_STEPS = [12, 13, 20, 40, 52, 73]
+
+
 def _draw_cell_sql():
     u = lambda s: draws.unit_sql(11, s, "o_orderkey")
     level = "CASE " + " ".join(f"WHEN {u('level')}*{float(_CUMULATED[-1])!r}e0 < {float(c)!r}e0 THEN {z}" for z, c in zip(_LEVELS, _CUMULATED)) + " END"
     return (f"SELECT o_orderkey, level, CAST(floor({u('col')}*pow(2e0, level)) AS BIGINT) AS col, CAST(floor({u('row')}*pow(2e0, level-1)) AS BIGINT) AS row, "
-            f"CAST(floor({u('window')}*6e0) AS BIGINT) AS \"window\" FROM (SELECT o_orderkey, {level} AS level FROM orders)")
+            f"CAST(floor({u('window')}*6e0) AS BIGINT) AS \"window\", CAST(floor({u('index')}*[{', '.join(f'{n}e0' for n in _WINDOW_STEPS)}][CAST(floor({u('window')}*6e0) AS INTEGER) + 1]) AS BIGINT) AS index "
+            f"FROM (SELECT o_orderkey, {level} AS level FROM orders)")
 
 
 @query("smp_weighted", _draw_cell_sql())
 def smp_weighted(spark, sf):
-    """A request per row: level by its number of cells, then cell and window."""
+    """A request per row: level by its number of cells, then cell, window and the window's index in the year."""
     k = F.col("o_orderkey")
     u = lambda s: draws.unit(11, s, k)
     at, level = u("level") * float(_CUMULATED[-1]), None
@@ -341,7 +346,8 @@ def smp_weighted(spark, sf):
         level = F.when(at < float(c), z) if level is None else level.when(at < float(c), z)
     drawn = table(spark, sf, "orders").select(k, level.alias("level"))
     return drawn.select(k, "level", F.floor(u("col") * F.pow(F.lit(2.0), F.col("level"))).alias("col"),
-                        F.floor(u("row") * F.pow(F.lit(2.0), F.col("level") - 1)).alias("row"), F.floor(u("window") * 6.0).alias("window"))
+                        F.floor(u("row") * F.pow(F.lit(2.0), F.col("level") - 1)).alias("row"), F.floor(u("window") * 6.0).alias("window"),
+                        F.floor(u("index") * F.get(F.array(*[F.lit(float(n)) for n in _WINDOW_STEPS]), F.floor(u("window") * 6.0).cast("int"))).alias("index"))
 
 
 _KINDS = ["six-MONTHS", "TWO-MONTHS", "TWO-WEEKS", "SIX-DAYS"]
