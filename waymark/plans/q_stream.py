@@ -45,6 +45,14 @@ def str_cell_counts(spark, sf):
     return jobs.drain(jobs.cell_counts(point_stream(spark, sf), 5, "1 hour", "10 minutes"), "cells")
 
 
+@query("str_cell_counts_drained", with_ctes(
+    "geo_events", "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", CAST(floor((lon+180e0)/360e0*32e0) AS BIGINT) AS cx, "
+    "CAST(floor((lat+90e0)/180e0*32e0) AS BIGINT) AS cy, count(*) AS n FROM geo_events GROUP BY ALL"))
+def str_cell_counts_drained(spark, sf):
+    """All hours, those that are open when the source ends among them."""
+    return jobs.all_cell_counts(point_stream(spark, sf), 5, "1 hour", "10 minutes")
+
+
 @query("str_ingest", with_ctes("geo_events", "SELECT CAST(floor(epoch(ts)/86400) AS BIGINT) AS period, count(*) AS n, CAST(sum(fid) AS BIGINT) AS fids FROM geo_events GROUP BY 1"))
 def str_ingest(spark, sf):
     base = scratch_dir(spark, "ingest")

@@ -13,6 +13,7 @@ from waymark.functions import cells
 from waymark.operators.windows import WindowSet, points_in_windows
 from waymark.session import scratch_dir
 from waymark.sources.layout import with_layout
+from waymark.streaming.keyed import KeyedTable
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -38,28 +39,27 @@ def drain(stream: DataFrame, purpose: str, partition_by: list[str] | None = None
     return spark.read.schema(stream.schema).parquet(base + "/out")
 
 
+def drain_updates(stream: DataFrame, keys: list[str], purpose: str, every: int = 16) -> DataFrame:
+    """Run a stream of changed rows to its end; the last row of every key, one each."""
+    spark = stream.sparkSession
+    base = scratch_dir(spark, purpose)
+    table = KeyedTable(spark, base + "/table", keys, stream.schema, every)
+    stream.writeStream.outputMode("update").foreachBatch(table.save).option("checkpointLocation", base + "/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    table.compact()
+    return table.read()
+
+
 def geofence(points: DataFrame, windows: WindowSet, time_col: str = "ts") -> DataFrame:
     """Stream of points with the windows each falls in; the window tables are static."""
     return points_in_windows(points, windows, time_col)
 
 
-def latest(points: DataFrame, key: str, time_col: str, columns: list[str], purpose: str = "latest") -> DataFrame:
-    """Latest row by key. Each batch appends the keys it changed; the newest entry of a key counts.
-
-    The state holds one row per key. A batch run again overwrites its own folder.
-    """
-    spark = points.sparkSession
-    base = scratch_dir(spark, purpose)
+def latest(points: DataFrame, key: str, time_col: str, columns: list[str], purpose: str = "latest", every: int = 16) -> DataFrame:
+    """Latest row by key. The state holds one row per key, the sink takes the keys that a batch changed and is compacted."""
     order = [time_col, *[c for c in columns if c != time_col]]
-    newest = points.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("v"))
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.select(key, "v.*").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-
-    newest.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", base + "/checkpoint").trigger(
-        availableNow=True).start().awaitTermination()
-    changes = spark.read.parquet(base + "/out")
-    return changes.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("v")).select(key, "v.*")
+    newest = points.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("v")).select(key, "v.*")
+    return drain_updates(newest, [key], purpose, every)
 
 
 def cell_counts(points: DataFrame, level: int, window: str, lateness: str, time_col: str = "ts") -> DataFrame:
@@ -73,6 +73,14 @@ def cell_counts(points: DataFrame, level: int, window: str, lateness: str, time_
     )
 
 
+def all_cell_counts(points: DataFrame, level: int, window: str, lateness: str, time_col: str = "ts", every: int = 16) -> DataFrame:
+    """The same of a source that ends: the windows that are still open at its end come out, too, each window and cell once.
+
+    Counts go to the sink as they change, so none waits for a watermark; rows behind the watermark are dropped as before.
+    """
+    return drain_updates(cell_counts(points, level, window, lateness, time_col), ["start", "end", "cx", "cy"], "all-cells", every)
+
+
 def ingest(points: DataFrame, path: str, checkpoint: str, time_col: str = "ts", period: str = "day") -> StreamingQuery:
     """Append a stream to the feature layout in period folders."""
     return append_to(with_layout(points, time_col, period), path, checkpoint, ["period"])
