@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions.times import ntz
-from waymark.operators import clusters, process
+from waymark.operators import clusters, nearest, process
 from waymark.operators.skew import lead_in_key
 from waymark.plans import regions as R
 from waymark.plans.fixtures import geo_events, geo_orders, mx_sql, my_sql, stored_segments, table, with_ctes
@@ -94,6 +94,15 @@ def b_nn_join(spark, sf):
     return process.nearest_neighbours(geo_events(spark, sf)).select("fid", "nn", F.round("d2", 12).alias("d2"))
 
 
+@query("b_knn_set", with_ctes(
+    "geo_events", "SELECT fid, CAST(r AS INTEGER) AS rank, nn, round(d2, 12) AS d2 FROM (SELECT a.fid, b.fid AS nn, pow(a.lon-b.lon,2)+pow(a.lat-b.lat,2) AS d2, "
+    "row_number() OVER (PARTITION BY a.fid ORDER BY (a.lon-b.lon)*(a.lon-b.lon)+(a.lat-b.lat)*(a.lat-b.lat), b.fid) AS r "
+    "FROM geo_events a JOIN geo_events b ON a.fid <> b.fid AND b.lon BETWEEN a.lon - 4 AND a.lon + 4 AND b.lat BETWEEN a.lat - 4 AND a.lat + 4) WHERE r <= 5"))
+def b_knn_set(spark, sf):
+    """The five nearest other events of every event. The SQL looks within 4 degrees, where all have them."""
+    return nearest.k_nearest(geo_events(spark, sf), 5).select("fid", "rank", "nn", F.round("d2", 12).alias("d2"))
+
+
 @query("b_unique", with_ctes("geo_events", f"SELECT user_id, count(*) AS n FROM geo_events WHERE {_IN_BOX_SQL} GROUP BY 1"))
 def b_unique(spark, sf):
     return process.enumeration(_boxed(spark, sf), "user_id")
