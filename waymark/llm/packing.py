@@ -107,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUENC
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (length * group_sequences)))
     dealt = pieces.withColumn("pack_group", F.pmod("draw", F.lit(groups)))
-    tasks = max(groups // 8, min(groups, docs.sparkSession.sparkContext.defaultParallelism))  # some eight groups a task
+    tasks = -(-groups // 2)  # the number of groups follows the data, so a task stays at some two groups
 
     def first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, tree = None, FirstFit()
