@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from waymark.operators.tracks import timed_segments_in_windows
@@ -72,19 +74,26 @@ _iterated("life_bbox_iterate", P.life("BEIJING-BBOX", how="ITERATE"))
 for _n in (2, 4, 8, 16, 32):
     _counted(f"life_tiles_{_n}", P.life_tiles(_n), "geo_events", "ts")
 
+def _exact_and_loose(name, preset):
+    """A query set and its loose form, which answers from the cells of each window's cover."""
+    shapes, rows = preset
+    _counted(name, preset)
+    _counted(f"{name}_loose", (shapes, [replace(r, name=P.loose_name(r.name, True)) for r in rows]), mode="loose")
+
+
 for _context in (None, "check"):
     _p = "cities" if _context else "gdelt"
-    _counted(f"{_p}_france_region_bbox_7d", P.france_region_bbox_7d(_context, 2001))
-    _counted(f"{_p}_france_bbox_6m", P.france_halves(True, context=_context))
-    _counted(f"{_p}_france_6m", P.france_halves(False, context=_context))
-    _counted(f"{_p}_france_bbox_1m", P.france_months(True, context=_context))
-    _counted(f"{_p}_france_1m", P.france_months(False, context=_context))
+    _exact_and_loose(f"{_p}_france_region_bbox_7d", P.france_region_bbox_7d(_context, 2001))
+    _exact_and_loose(f"{_p}_france_bbox_6m", P.france_halves(True, context=_context))
+    _exact_and_loose(f"{_p}_france_6m", P.france_halves(False, context=_context))
+    _exact_and_loose(f"{_p}_france_bbox_1m", P.france_months(True, context=_context))
+    _exact_and_loose(f"{_p}_france_1m", P.france_months(False, context=_context))
     for _key, _kind in [("2y", "TWO-YEARS"), ("1y", "ONE-YEAR"), ("10m", "TEN-MONTHS"), ("6m", "SIX-MONTHS"), ("3m", "THREE-MONTHS")]:
-        _counted(f"{_p}_regions_{_key}", P.france_by_region(_kind, YEAR, _context))
+        _exact_and_loose(f"{_p}_regions_{_key}", P.france_by_region(_kind, YEAR, _context))
     for _key, _kind in [("14m", "FOURTEEN-MONTHS"), ("10m", "TEN-MONTHS"), ("6m", "six-MONTHS"), ("2m", "TWO-MONTHS"),
                         ("2w", "TWO-WEEKS"), ("6d", "SIX-DAYS")]:
-        _counted(f"{_p}_city_{_key}", P.city_windows(_kind, YEAR, [s[1] for s in R.SITES], context=_context))
-    _counted(f"{_p}_sa_3w", P.south_america_3w(YEAR, _context))
+        _exact_and_loose(f"{_p}_city_{_key}", P.city_windows(_kind, YEAR, [s[1] for s in R.SITES], context=_context))
+    _exact_and_loose(f"{_p}_sa_3w", P.south_america_3w(YEAR, _context))
 
 
 _SEG_BOX = ("least(s.x1,s.x2) <= g.xmax AND greatest(s.x1,s.x2) >= g.xmin AND "

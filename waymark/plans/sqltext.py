@@ -41,9 +41,18 @@ def hits_cte(features: str, mode: str = "exact") -> str:
     """``hits(fid, geom_id)``: features in shapes, by nested loops over all edges."""
     if mode == "loose":
         n = "pow(2e0, s.lvl)"
-        return (f"hits AS (SELECT f.fid, s.geom_id FROM {features} f JOIN shapes s ON "
-                f"floor((f.lon+180e0)/360e0*{n}) BETWEEN floor((s.xmin+180e0)/360e0*{n}) AND floor((s.xmax+180e0)/360e0*{n}) AND "
-                f"floor((f.lat+90e0)/180e0*{n}) BETWEEN floor((s.ymin+90e0)/180e0*{n}) AND floor((s.ymax+90e0)/180e0*{n}))")
+        # of a polygon's cells those that an edge's box touches or whose centre is inside, as the cover has them
+        side = "((e.x2-e.x1)*(t.my-e.y1)-(t.mx-e.x1)*(e.y2-e.y1))"
+        return (
+            f"celled AS (SELECT f.fid, s.geom_id, s.poly, {n} AS n, floor((f.lon+180e0)/360e0*{n}) AS cx, floor((f.lat+90e0)/180e0*{n}) AS cy FROM {features} f JOIN shapes s ON "
+            f"floor((f.lon+180e0)/360e0*{n}) BETWEEN floor((s.xmin+180e0)/360e0*{n}) AND floor((s.xmax+180e0)/360e0*{n}) AND "
+            f"floor((f.lat+90e0)/180e0*{n}) BETWEEN floor((s.ymin+90e0)/180e0*{n}) AND floor((s.ymax+90e0)/180e0*{n})), "
+            "tiles AS (SELECT *, (ax+bx)/2e0 AS mx, (ay+b_y)/2e0 AS my FROM (SELECT DISTINCT geom_id, cx, cy, cx/n*360e0-180e0-1e-9 AS ax, cy/n*180e0-90e0-1e-9 AS ay, "
+            "(cx+1)/n*360e0-180e0+1e-9 AS bx, (cy+1)/n*180e0-90e0+1e-9 AS b_y FROM celled WHERE poly)), "
+            "cover AS (SELECT t.geom_id, t.cx, t.cy FROM tiles t JOIN edges e ON e.geom_id = t.geom_id GROUP BY ALL "
+            "HAVING bool_or(greatest(e.x1,e.x2) >= t.ax AND least(e.x1,e.x2) <= t.bx AND e.y2 >= t.ay AND e.y1 <= t.b_y) "
+            f"OR count(*) FILTER (WHERE t.my >= e.y1 AND t.my < e.y2 AND {side} > 0) % 2 = 1), "
+            "hits AS (SELECT fid, geom_id FROM celled WHERE NOT poly UNION ALL SELECT c.fid, c.geom_id FROM celled c JOIN cover USING (geom_id, cx, cy))")
     return (
         f"boxed AS (SELECT f.fid, f.lon, f.lat, s.geom_id, s.poly FROM {features} f JOIN shapes s ON "
         "f.lon BETWEEN s.xmin AND s.xmax AND f.lat BETWEEN s.ymin AND s.ymax "
