@@ -136,9 +136,6 @@ def grid(box, cols: int, rows: int) -> list[tuple[int, int, tuple[float, float,
 
 # ---- trajectory queries ------------------------------------------------------------------------
 
-MONTH_SPANS = {"year": lambda y: during(f"{y}-01-01", f"{y + 1}-01-01")}
-
-
 def month_span(year: int, month: int) -> TimeSpan:
     end = f"{year + 1}-01-01" if month == 12 else f"{year}-{month + 1:02d}-01"
     return during(f"{year}-{month:02d}-01", end)
@@ -151,7 +148,7 @@ def life(area: str | None, year: int | None = None, month: int | None = None, ho
         "CENTER-BEIJING": beijing_center(),
         "CENTER-BEIJING-BBOX": envelope_shape("beijing-center-box", beijing_center()),
     }[area]
-    span = ALL_TIME if year is None else (month_span(year, month) if month else MONTH_SPANS["year"](year))
+    span = ALL_TIME if year is None else (month_span(year, month) if month else during(f"{year}-01-01", f"{year + 1}-01-01"))
     words = ["GEOLIFE-IN", area, month_abbr[month].upper() if month else None, str(year) if year else None, how]
     name = loose_name("-".join(w for w in words if w), loose)
     return ([shape] if shape else []), [WindowRow(name, shape.geom_id if shape else "everywhere", span)]
@@ -220,8 +217,12 @@ def tracks_california_months(year: int = 2015) -> Preset:
 GRID_PERIODS = {"5DAY": 5, "1WEEK": 7, "9DAY": 9, "18DAY": 18, "27DAY": 27, "1MONTH": None}
 
 
-def tracks_grid(context: str, period: str, levels: Iterable[int], indexes: Iterable[int], year: int = 2015) -> Preset:
-    """All cells of the pyramid levels in the periods ``start + k periods .. start + (k+1) periods - 2 s``."""
+# How often each of them follows itself in the year.
+GRID_STEPS = {"1MONTH": 12, "27DAY": 13, "18DAY": 20, "9DAY": 40, "1WEEK": 52, "5DAY": 73}
+
+
+def grid_span(period: str, index: int, year: int = 2015) -> TimeSpan:
+    """``start + index periods .. start + (index + 1) periods - 2 s``."""
     from datetime import datetime, timedelta
     first = datetime(year, 1, 1, 0, 0, 1)
     days = GRID_PERIODS[period]
@@ -231,16 +232,25 @@ def tracks_grid(context: str, period: str, levels: Iterable[int], indexes: Itera
             return first + timedelta(days=days * k)
         return first.replace(year=year + k // 12, month=k % 12 + 1)
 
+    return during(start(index), start(index + 1), minus_seconds=2)
+
+
+def tracks_grid(context: str, period: str, levels: Iterable[int], indexes: Iterable[int], year: int = 2015) -> Preset:
+    """All cells of the pyramid levels in the given spans of a period."""
     shapes, rows = [], []
     for z in levels:
         for c, r, box in grid(usa().box, 2**z, 2**(z - 1)):
             shapes.append(box_shape(f"{z}-{c}-{r}", box))
     for k in indexes:
-        span = during(start(k), start(k + 1), minus_seconds=2)
-        rows += [WindowRow(f"TRACKS-USA-GRID-{context.upper()}-{period}-{k}-{s.geom_id}", s.geom_id, span) for s in shapes]
+        rows += [WindowRow(f"TRACKS-USA-GRID-{context.upper()}-{period}-{k}-{s.geom_id}", s.geom_id, grid_span(period, k, year)) for s in shapes]
     return shapes, rows
 
 
+def tracks_grid_spans(year: int = 2015) -> list[WindowRow]:
+    """Every index of every period, for any cell."""
+    return [WindowRow(f"{period}-{k}", span=grid_span(period, k, year)) for period, n in GRID_STEPS.items() for k in range(n)]
+
+
 # ---- other sets --------------------------------------------------------------------------------
 
 def free_buffers(lon: float, lat: float) -> Preset:

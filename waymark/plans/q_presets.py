@@ -6,15 +6,15 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from waymark.operators.tracks import timed_segments_in_windows
+from waymark.operators.tracks import timed_segments_in_windows, tracks_meeting_shapes
 from waymark.operators.windows import (
-    count_in_windows, count_matches, points_in_windows, window_set,
+    EVERYWHERE, WINDOW_SCHEMA, count_in_windows, count_matches, match_times, points_in_windows, window_set, window_set_from_tables,
 )
 from waymark.plans import presets as P, regions as R
-from waymark.plans.fixtures import geo_boxes, geo_events, geo_orders, segments_for, table, with_ctes
+from waymark.plans.fixtures import geo_boxes, geo_events, geo_orders, segments_for, stored_segments, table, with_ctes
 from waymark.plans.q_filters import SEGMENT_HITS_SQL
 from waymark.plans.registry import query
-from waymark.plans.sqltext import count_windows_sql, hits_cte, shapes_cte, span_test, windows_cte
+from waymark.plans.sqltext import count_windows_sql, hits_cte, num, shapes_cte, span_test, windows_cte
 
 # the trajectory and event sets run over the orders' points (1995 to 2001)
 YEAR = 1997
@@ -131,3 +131,42 @@ _tracked("tracks_ca_months", P.tracks_california_months(2024))
 for _key, _period, _levels in [("5d", "5DAY", [4, 5]), ("1w", "1WEEK", [4]), ("9d", "9DAY", [5]), ("18d", "18DAY", [3]),
                                ("27d", "27DAY", [6]), ("1m", "1MONTH", [4])]:
     _tracked(f"tracks_grid_{_key}", P.tracks_grid("grid", _period, _levels, range(2), 2024))
+
+
+# ---- the whole pyramid: all eight levels, all indexes of all periods ------------------------------
+
+_WEST, _SOUTH, _EAST, _NORTH = P.usa().box
+_GRID_LEVELS = range(1, 9)
+_GRID_ROWS = P.tracks_grid_spans(2024)
+
+
+def pyramid_cells(spark):
+    """``geom_id`` (level, column, row from the top) and box of every cell of the levels."""
+    z = F.col("z")
+    cols, rows = F.pow(F.lit(2.0), z), F.pow(F.lit(2.0), z - 1)
+    numbers = spark.range(_GRID_LEVELS.start, _GRID_LEVELS.stop).withColumnRenamed("id", "z").withColumn(
+        "c", F.explode(F.sequence(F.lit(0).cast("long"), cols.cast("long") - 1))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), rows.cast("long") - 1)))
+    x = lambda i: F.lit(_WEST) + F.lit(_EAST - _WEST) * i / cols
+    y = lambda j: F.lit(_NORTH) - F.lit(_NORTH - _SOUTH) * j / rows
+    return numbers.select(F.concat_ws("-", "z", "c", "r").alias("geom_id"), x(F.col("c")).alias("xmin"), y(F.col("r") + 1).alias("ymin"), x(F.col("c") + 1).alias("xmax"), y(F.col("r")).alias("ymax"))
+
+
+@query("tracks_grid_full", with_ctes(
+    "segs tracks", f"SELECT w.name, h.geom_id AS cell, count(*) AS n FROM track_hits h JOIN tracks t ON t.track = h.track JOIN windows w ON {span_test('t.t_start')} GROUP BY ALL",
+    "numbers AS (SELECT z, c, UNNEST(range(CAST(pow(2, z - 1) AS BIGINT))) AS r FROM (SELECT z, UNNEST(range(CAST(pow(2, z) AS BIGINT))) AS c FROM range("
+    f"{_GRID_LEVELS.start}, {_GRID_LEVELS.stop}) t(z))), "
+    f"shapes AS (SELECT z || '-' || c || '-' || r AS geom_id, {num(_WEST)} + {num(_EAST - _WEST)}*c/pow(2e0, z) AS xmin, {num(_NORTH)} - {num(_NORTH - _SOUTH)}*(r+1)/pow(2e0, z-1) AS ymin, "
+    f"{num(_WEST)} + {num(_EAST - _WEST)}*(c+1)/pow(2e0, z) AS xmax, {num(_NORTH)} - {num(_NORTH - _SOUTH)}*r/pow(2e0, z-1) AS ymax FROM numbers)",
+    windows_cte(_GRID_ROWS), SEGMENT_BOX_HITS_SQL))
+def tracks_grid_full(spark, sf):
+    """Tracks per cell of all levels and per index of all periods, for the windows that have any.
+
+    Cells are met once, then times: the nine million windows are never listed.
+    """
+    spans = window_set(spark, [], _GRID_ROWS)
+    anytime = spark.createDataFrame([("all", EVERYWHERE, None, None, False)], WINDOW_SCHEMA)
+    cells = window_set_from_tables(pyramid_cells(spark), anytime)
+    segments = stored_segments(spark, sf, cells.envelope, spans.span)
+    met = tracks_meeting_shapes(segments.select(F.struct("track", "t_start").alias("_t"), "x1", "y1", "x2", "y2"), cells, "_t")
+    timed = met.select("_t.track", "_t.t_start", F.col("geom_id").alias("cell"), F.lit(EVERYWHERE).alias("geom_id"))
+    return match_times(timed, spans, "t_start", "track").groupBy("name", "cell").agg(F.count("*").alias("n"))
