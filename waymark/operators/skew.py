@@ -44,7 +44,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_T
 
 def salted_join(
     big: DataFrame, other: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
-    how: str = "inner", rows_per_task: int = ROWS_PER_TASK, null_safe: bool = False,
+    how: str = "inner", rows_per_task: int = ROWS_PER_TASK, *, null_safe: bool = False,
 ) -> DataFrame:
     """Equi-join that splits hot keys of ``big``, null among them, and repeats only the matching rows of ``other``.
 
