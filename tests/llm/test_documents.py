@@ -294,7 +294,7 @@ def test_languages_of_odd_texts(spark, odd, empty):
     rows = language.identify(with_clashes(odd), model, F.col("doc_id")).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.doc_id for r in rows if r.lang_pred == "und"} == {13, 14, 15}
-    kept = language.known_language(with_clashes(odd), min_score=0.0, per_language=50)
+    kept = language.known_language(with_clashes(odd), per_language=50)
     assert kept.columns == with_clashes(odd).columns and kept.count() == odd.count() - 3
     assert language.identify(empty, language.learn(empty), F.col("doc_id")).count() == 0
     assert {r.lang_pred for r in language.identify(odd, None, F.col("doc_id")).collect()} == {"und"}

@@ -28,10 +28,32 @@ def test_order_and_columns(stages):
     assert all(after.columns == before.columns for _, before, after in stages[:-1])
 
 
-def test_language_keeps_what_it_knows(stages):
+def test_language_keeps_what_was_learned(stages):
     _, before, after = stages[0]
-    found = language.identify(before, language.learn(before), F.col("doc_id")).filter("lang_pred <> 'und' and score >= 0.3")
-    assert {r.doc_id for r in found.collect()} == {r.doc_id for r in after.collect()}
+    assert rows(after) == Counter(tuple(r) for r in before.collect() if any(c.isalpha() for c in r.text or ""))
+
+
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Jokaisella on oikeus elämään, vapauteen ja henkilökohtaiseen turvallisuuteen. Ketään ei saa pitää orjana tai orjuutettuna.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность. 12 статей.",
+]
+
+
+def test_language_drops_what_was_not_learned(spark, stages):
+    """Planted texts in two languages without a label go, with 20 rows of each; nothing else goes with them."""
+    _, before, after = stages[0]
+    planted = spark.createDataFrame([(-10 - 10 * i - k, t) for i, t in enumerate(FOREIGN) for k in range(10)], "doc_id bigint, text string")
+    kept = language.known_language(before.unionByName(planted, allowMissingColumns=True))
+    assert kept.filter("doc_id < 0").count() == 0
+    assert kept.count() == after.count()
+    # labels of a language left out: most of its documents go, all others stay
+    for out in ("de", "fr"):
+        some = before.withColumn("lang", F.when(F.col("lang") != out, F.col("lang")))
+        n = {r.known: r["count"] for r in language.known_language(some).groupBy(F.col("lang").isNotNull().alias("known")).count().collect()}
+        assert n[True] == after.filter(F.col("lang") != out).count()
+        assert n.get(False, 0) <= 0.1 * after.filter(F.col("lang") == out).count()
 
 
 def test_one_of_each_group(stages):

@@ -46,7 +46,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, per_language: int = 400, longest: int = 200_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang, text`` of at most ``per_language`` training rows of each label."""
+    """``lang, text, n`` of at most ``per_language`` training rows of each label, numbered from 1 in it."""
     draw = F.xxhash64(F.col(doc_id).cast("string"))
     rows = docs.filter(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & (F.length(text) <= longest)).select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(text).alias("text"))
     # The cut is found on the draws alone, so that texts of rows that are not chosen are never sorted or moved.
@@ -55,7 +55,7 @@ def labelled_sample(docs: DataFrame, per_language: int = 400, longest: int = 200
     cut = cut_lineage(cut.groupBy("lang").agg(F.max("draw").alias("cut")))
     chosen = rows.join(cut, "lang").filter("draw <= cut")
     order = Window.partitionBy("lang").orderBy("draw", "text")
-    return chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "text")
+    return chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "text", "n")
 
 
 def _padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,11 @@ def freeze(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarr
 
 def learn(docs: DataFrame, per_language: int = 400, **names: str) -> Model | None:
     """Fit on the bounded sample; only its gram counts reach the driver."""
-    counts = gram_counts(labelled_sample(docs, per_language, **names)).toPandas()
+    return fit(labelled_sample(docs, per_language, **names))
+
+
+def fit(sample: DataFrame) -> Model | None:
+    counts = gram_counts(sample).toPandas()
     if counts.empty:
         return None
     languages = sorted(counts["lang"].unique())
@@ -165,9 +169,14 @@ def identify(docs: DataFrame, model: Model | None, *keep: Column, text: str = "t
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(F.struct(*keep).alias("kept"), lettered.alias("lettered"), F.col(text).alias("text"))
+    return _coded(docs, model, F.struct(*keep), lettered, F.col(text)).select("kept.*", "lang_pred", "score")
+
+
+def _coded(docs: DataFrame, model: Model, kept: Column, lettered: Column, text: Column) -> DataFrame:
+    """``kept, lang_pred, score``, and ``bits`` of the text in that language and its ``size`` in bytes."""
+    rows = docs.select(kept.alias("kept"), lettered.alias("lettered"), text.alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double"
+    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double, bits double, size bigint"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
@@ -178,15 +187,43 @@ def identify(docs: DataFrame, model: Model | None, *keep: Column, text: str = "t
             score = 1 / np.exp2(np.maximum(bits.min(axis=0) - bits, -1000)).sum(axis=0)
             known = batch.column(1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.where(known, names[best], UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0))],
-                ["kept", "lang_pred", "score"])
+                [batch.column(0), pa.array(np.where(known, names[best], UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0)),
+                 pa.array(bits.min(axis=0)), pa.array(np.diff(flat(batch.column(2))[1]))], ["kept", "lang_pred", "score", "bits", "size"])
+
+    return rows.mapInArrow(predict, schema)
+
 
-    return rows.mapInArrow(predict, schema).select("kept.*", "lang_pred", "score")
+_SOFT = 64  # bytes at the typical rate that are added to a text: a short text has to differ more
 
 
-def known_language(docs: DataFrame, min_score: float = 0.3, text: str = "text", **names: str) -> DataFrame:
-    """``docs`` without those of unknown language or with a score below ``min_score``."""
+def _letters(text: str) -> Column:
+    """The words of letters alone, without those that hold a digit or an address, joined by one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\S*[0-9@]\S*", " "), r"[^\p{L}\p{M}]+", " "))
+
+
+def known_language(docs: DataFrame, excess: float = 1.1, spreads: float = 6.0, per_language: int = 500, text: str = "text", **names: str) -> DataFrame:
+    """``docs`` without those in a language that was not learned.
+
+    Every fifth row of the labelled sample is kept out of the trees and tells how many bits a byte of the language's
+    letters typically takes (the median), and their spread. A document stays if its best language codes its letters with
+    at most ``excess`` times that rate more, or ``spreads`` standard deviations if these are wider. Digits, marks and
+    addresses tell no language and are not looked at; a text whose words all hold some stays. Null texts and those
+    without a letter go, and all go when nothing was learned. A label with fewer than five rows takes the widest limit.
+    """
     columns = docs.columns
-    kept = identify(docs, learn(docs, text=text, **names), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), text=text)
-    kept = kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in columns])
+    sample = cut_lineage(labelled_sample(docs, per_language, text=text, **names))
+    model = fit(sample.filter("n % 5 <> 0 OR n IS NULL"))
+    if model is None:
+        return docs.limit(0)
+    over = lambda m: (F.col("bits") - F.col("size") * m) / (F.col("size") + _SOFT)
+    held = _coded(sample.filter("n % 5 = 0"), model, F.col("lang"), F.lit(True), _letters("text")).filter("size > 0")
+    rates = held.groupBy(F.col("kept").alias("lang_pred")).agg(F.percentile(F.col("bits") / F.col("size"), 0.5).alias("rate"))
+    wide = held.join(F.broadcast(rates), F.col("kept") == rates["lang_pred"]).groupBy(rates["lang_pred"], "rate").agg(
+        ((F.percentile(over(F.col("rate")), 0.9) - F.percentile(over(F.col("rate")), 0.1)) / 2.56).alias("spread"))
+    found = {r.lang_pred: (r.rate, max(excess * r.rate, spreads * r.spread)) for r in wide.collect()}  # a row per language
+    widest = max(found.values(), key=sum, default=(8.0, 8.0))
+    limits = docs.sparkSession.createDataFrame([(n, *found.get(n, widest)) for n in model.languages], "lang_pred string, rate double, allowed double")
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    coded = _coded(docs, model, F.struct(*[F.col(f"`{c}`") for c in columns]), lettered, _letters(text))
+    kept = coded.join(F.broadcast(limits), "lang_pred").filter(over(F.col("rate")) <= F.col("allowed"))  # a row per language
+    return kept.select(*[F.col(f"kept.`{c}`").alias(c) for c in columns])
