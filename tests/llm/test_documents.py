@@ -295,7 +295,9 @@ def test_languages_of_odd_texts(spark, odd, empty):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.doc_id for r in rows if r.lang_pred == "und"} == {13, 14, 15}
     kept = language.known_language(with_clashes(odd), per_language=50)
-    assert kept.columns == with_clashes(odd).columns and kept.count() == odd.count() - 3
+    # 18 is one letter 300,000 times, which no learned text is like
+    assert kept.columns == with_clashes(odd).columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in odd.collect() if r.doc_id not in (13, 14, 15, 18))
     assert language.identify(empty, language.learn(empty), F.col("doc_id")).count() == 0
     assert {r.lang_pred for r in language.identify(odd, None, F.col("doc_id")).collect()} == {"und"}
 

@@ -198,7 +198,7 @@ _SOFT = 64  # bytes at the typical rate that are added to a text: a short text h
 
 def _letters(text: str) -> Column:
     """The words of letters alone, without those that hold a digit or an address, joined by one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\S*[0-9@]\S*", " "), r"[^\p{L}\p{M}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", " "), r"[^\p{L}\p{M}]++", " "))
 
 
 def known_language(docs: DataFrame, excess: float = 1.1, spreads: float = 6.0, per_language: int = 500, text: str = "text", **names: str) -> DataFrame:
