@@ -4,11 +4,14 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import lowered, with_clashes, words
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, language, mixing, secrets, similar
+from waymark.llm.words import SPACED, hashed
 
 
 def key(row):
@@ -244,8 +247,6 @@ def test_secret_scan_is_native(spark, odd):
 def test_code_lengths_are_those_of_the_tree():
     import math
 
-    import numpy as np
-    import pyarrow as pa
     train = {"en": ["the cat sat", "that hat"], "fr": ["le chat été", "la là"]}
     grams, langs, counts = [], [], []
     for i, texts in enumerate(train.values()):
@@ -307,3 +308,18 @@ def test_held_out_accuracy(spark, sf):
     model = language.learn(docs, per_language=100)
     right = language.identify(docs, model, F.col("lang"), language.held_out(F.col("doc_id")).alias("h")).filter("h").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")))
     assert right.first()[0] > 0.95
+
+
+def test_word_hashes_tell_doubled_words_apart():
+    """The word that doubles itself by its complement and that complement, at every length; and what tells words apart."""
+    word, other, texts = "a", "b", []
+    for _ in range(14):
+        word, other = word + other, other + word
+        texts += [word, other]
+    texts += ["a" * n for n in range(1, 140) if n not in (1, 2)] + ["\x00", "\x00\x00", "ab\x00", "é", "ü" * 40]
+    hashes = [int(h) for t in texts for w in hashed(pa.array([t], pa.string()), SPACED) for h in w.hashes]
+    assert len(hashes) == len(set(texts)) == len(set(hashes))
+    together = np.concatenate([w.hashes for w in hashed(pa.array([" ".join(texts), " \n".join(texts).upper()], pa.string()), SPACED)])
+    lowered = [t.upper() if t[0] > "\x7f" else t for t in texts]  # only A-Z is lower-cased
+    second = [int(h) for t in lowered for w in hashed(pa.array([t], pa.string()), SPACED) for h in w.hashes]
+    assert together.tolist() == hashes + second

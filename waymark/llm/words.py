@@ -7,6 +7,7 @@ or text of any length is kept whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,18 +38,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_VALUES = mixed(LOWER.astype(np.uint64) * np.uint64(_BASE) + np.uint64(1))
-_powers: dict[str, np.ndarray] = {}
+_LONG = 64  # bytes; longer words are few
 
 
-def _power(n: int, inverse: bool) -> np.ndarray:
-    name = "inverse" if inverse else "power"
-    if len(_powers.get(name, ())) < n:
-        base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
-        steps = np.full(max(n, STRETCH + (STRETCH >> 2)), base, np.uint64)
-        steps[0] = 1
-        _powers[name] = np.multiply.accumulate(steps)
-    return _powers[name][:n]
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words given by their bytes: a scramble after every eight bytes, a cryptographic digest of long words.
+
+    No sum over the bytes is taken, so words built from each other by a rule (doubled, swapped) have nothing to cancel.
+    """
+    text = np.append(LOWER[data], np.zeros(8, np.uint8))
+    eights = np.ndarray(len(data), "<u8", text, strides=(1,))  # the eight bytes from every byte on
+    size = end - start
+    out = mixed(size.astype(np.uint64) + np.uint64(_BASE))
+    at = np.flatnonzero(size <= _LONG)
+    for done in range(0, _LONG, 8):
+        at = at[size[at] > done]
+        if not len(at):
+            break
+        unused = np.maximum(8 - (size[at] - done), 0).astype(np.uint64) * np.uint64(8)
+        block = eights[start[at] + done] & (np.uint64(MASK) >> unused)
+        out[at] = mixed(out[at] ^ block)
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(text[start[i]:end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 class Words(NamedTuple):
@@ -95,7 +107,4 @@ def hashed(column: pa.Array, kind: np.ndarray) -> Iterator[Words]:
     for i, j in stretches(bounds):
         part, own = data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i]
         start, end = spans(part, own, kind)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_VALUES[part] * _power(len(part), False), out=sums[1:])
-        words = mixed((sums[end] - sums[start]) * _power(len(part) + 1, True)[start])
-        yield Words(i, np.searchsorted(start, own), words)
+        yield Words(i, np.searchsorted(start, own), _word_hashes(part, start, end))
