@@ -9,7 +9,8 @@ windows together:
 3. the matched (feature, shape) pairs find their time windows with an equi-join on shape and time bucket.
 
 Window tables of a checked size are broadcast, so the features are never shuffled. Larger ones are joined
-by a shuffle on the cell with hot cells split (:mod:`waymark.operators.skew`).
+by a shuffle on the cell with hot cells split (:mod:`waymark.operators.skew`). Counts alone of box windows held as data come
+without a row per match (:mod:`waymark.operators.ranges`).
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.functions import cells, geo
-from waymark.functions.times import ALL_TIME, TimeSpan, in_span, in_span_columns
+from waymark.functions.times import ALL_TIME, TimeSpan, in_span, in_span_columns, ntz
+from waymark.operators.ranges import extents_per_box, points_per_box, points_per_cover
 from waymark.operators.skew import salted_join
 
 Box = tuple[float, float, float, float]
@@ -108,6 +110,7 @@ class WindowSet:
     open_ended: bool
     untimed: bool
     has_polygons: bool
+    one_span: TimeSpan | None = None  # of a set held as data in which all shapes are boxes and all windows ask for the same time
     shapes: list[Shape] = field(default_factory=list)
     rows: list[WindowRow] = field(default_factory=list)
 
@@ -175,12 +178,14 @@ def window_set_from_tables(geoms: DataFrame, windows: DataFrame) -> WindowSet:
         F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.coalesce("edges", F.array().cast(geo.EDGE_TYPE)))), F.lit(0)).alias("edges"),
         F.collect_set("level").alias("levels"), F.count_if(F.col("edges").isNotNull()).alias("polygons"), F.sum(cells.n_box_cells(
             F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("level"))).alias("chips"), F.min("xmin").alias("a"), F.min("ymin").alias("b"),
-        F.max("xmax").alias("c"), F.max("ymax").alias("d")).first()
+        F.max("xmax").alias("c"), F.max("ymax").alias("d"), F.count("metres").alias("buffers")).first()
     seconds = cells.unix_seconds(F.col("hi")) - cells.unix_seconds(F.col("lo"))
     w = windows.agg(
         F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(seconds).alias("longest"),
         F.count_if(F.col("lo").isNull()).alias("no_lo"), F.count_if(F.col("hi").isNull()).alias("no_hi"),
-        F.count_if(F.coalesce("lo", "hi").isNull()).alias("no_end"), F.sum(seconds).alias("seconds")).first()
+        F.count_if(F.coalesce("lo", "hi").isNull()).alias("no_end"), F.sum(seconds).alias("seconds"), F.max("lo").alias("last_lo"), F.min("hi").alias("first_hi"),
+        F.min("closed").alias("closed"), F.max("closed").alias("any_closed")).first()
+    alike = w["n"] and w["no_lo"] in (0, w["n"]) and w["no_hi"] in (0, w["n"]) and (w["lo"], w["hi"], w["closed"]) == (w["last_lo"], w["first_hi"], w["any_closed"])
     longest = float(w["longest"] or 0)
     return WindowSet(
         geoms=geoms.select(*[f.split()[0] for f in GEOM_SCHEMA.replace(geo.EDGE_TYPE, "x").split(", ")]),
@@ -190,6 +195,7 @@ def window_set_from_tables(geoms: DataFrame, windows: DataFrame) -> WindowSet:
         envelope=(g["a"], g["b"], g["c"], g["d"]) if g["n"] else None,
         span=TimeSpan(None if w["no_lo"] else w["lo"], None if w["no_hi"] else w["hi"], True),
         max_seconds=longest, open_ended=bool(w["no_lo"] or w["no_hi"]), untimed=w["no_end"] == w["n"], has_polygons=g["polygons"] > 0,
+        one_span=TimeSpan(w["lo"], w["hi"], w["closed"]) if alike and g["n"] and not g["polygons"] and not g["buffers"] else None,
     )
 
 
@@ -331,8 +337,37 @@ def count_matches(matches: DataFrame, ws: WindowSet) -> DataFrame:
     return ws.windows.select("name").join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _in_one_span(features: DataFrame, ws: WindowSet, time_col: str) -> DataFrame:
+    if ws.untimed:
+        return features
+    end = lambda v: F.lit(None).cast("timestamp_ntz") if v is None else ntz(v)
+    lo, hi, closed = ws.one_span
+    return features.filter(in_span(F.col(time_col), TimeSpan(lo, hi, True)) & in_span_columns(F.col(time_col), end(lo), end(hi), F.lit(closed)))
+
+
+def _sums_by_name(per_shape: DataFrame, ws: WindowSet, *columns: str) -> DataFrame:
+    return ws.windows.select("name", "geom_id").join(per_shape, "geom_id").groupBy("name").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def _named_counts(per_shape: DataFrame, ws: WindowSet) -> DataFrame:
+    return ws.windows.select("name").join(_sums_by_name(per_shape, ws, "n"), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def count_in_windows(features: DataFrame, ws: WindowSet, time_col: str = "ts", **options) -> DataFrame:
-    return count_matches(points_in_windows(features, ws, time_col, **options), ws)
+    """``name, n`` for every window. Box windows held as data that ask for one time are counted without a row per match
+    (:mod:`waymark.operators.ranges`), as their number may grow with the features."""
+    if ws.one_span is None or options.get("mode", "exact") != "exact":
+        return count_matches(points_in_windows(features, ws, time_col, **options), ws)
+    x, y = F.col(options.get("lon", "lon")), F.col(options.get("lat", "lat"))
+    asked = _in_one_span(features, ws, time_col).filter(geo.in_box(x, y, ws.envelope))
+    return _named_counts(points_per_box(asked, ws.geoms, x, y), ws)
+
+
+def count_extents_in_windows(extents: DataFrame, ws: WindowSet, time_col: str = "day", fid: str = "fid") -> DataFrame:
+    """``name, n``: box features that meet each window, counted as in :func:`count_in_windows`."""
+    if ws.one_span is None:
+        return count_matches(extents_in_windows(extents, ws, time_col, fid), ws)
+    return _named_counts(extents_per_box(_in_one_span(extents, ws, time_col), ws.geoms), ws)
 
 
 def selectivity(features: DataFrame, ws: WindowSet, time_col: str = "ts", **options) -> DataFrame:
@@ -344,8 +379,14 @@ def selectivity(features: DataFrame, ws: WindowSet, time_col: str = "ts", **opti
     covers = ws.geoms.select("geom_id", cells.n_box_cells(
         F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("level")).alias("cells"), "level").withColumn(
         "span", F.col("cells") / level).drop("level")
-    counts = points_in_windows(features, ws, time_col, mode="flag", **options).groupBy("name").agg(
-        F.count("*").alias("candidates"), F.count_if("exact").alias("matches"))
+    if ws.one_span is None:
+        counts = points_in_windows(features, ws, time_col, mode="flag", **options).groupBy("name").agg(
+            F.count("*").alias("candidates"), F.count_if("exact").alias("matches"))
+    else:
+        asked, x, y = _in_one_span(features, ws, time_col), F.col(options.get("lon", "lon")), F.col(options.get("lat", "lat"))
+        per_shape = points_per_cover(asked, ws.geoms, x, y, ws.levels, out="candidates").join(
+            points_per_box(asked.filter(geo.in_box(x, y, ws.envelope)), ws.geoms, x, y, out="matches"), "geom_id", "left")
+        counts = _sums_by_name(per_shape, ws, "candidates", "matches")
     counts, covers = (F.broadcast(counts), F.broadcast(covers)) if ws.small else (counts, covers)
     n, m = F.coalesce("candidates", F.lit(0)), F.coalesce("matches", F.lit(0))
     return ws.windows.select("name", "geom_id").join(covers, "geom_id").join(counts, "name", "left").select(
