@@ -8,7 +8,7 @@ from waymark.functions import draws, geo
 from waymark.functions.times import during
 from waymark.operators.tracks import timed_segments_in_windows, tracks_meeting_shapes
 from waymark.operators.windows import (
-    count_in_windows, count_matches, extents_in_windows, points_in_windows, selectivity, shape_test,
+    count_extents_in_windows, count_in_windows, extents_in_windows, points_in_windows, selectivity, shape_test,
     window_set, window_set_from_tables,
 )
 from waymark.plans import presets as P, regions as R
@@ -203,7 +203,7 @@ def random_extents_time(spark, sf):
 def random_points(spark, sf):
     """Random points without a width: box features that cover each."""
     ws = _random_windows(spark, _supplier_boxes(spark, sf, None))
-    return count_matches(extents_in_windows(geo_boxes(spark, sf), ws), ws)
+    return count_extents_in_windows(geo_boxes(spark, sf), ws)
 
 
 @query("random_extents_boxes", with_ctes(
@@ -212,7 +212,7 @@ def random_points(spark, sf):
 def random_extents_boxes(spark, sf):
     """Random boxes over box features."""
     ws = _random_windows(spark, _supplier_boxes(spark, sf))
-    return count_matches(extents_in_windows(geo_boxes(spark, sf), ws), ws)
+    return count_extents_in_windows(geo_boxes(spark, sf), ws)
 
 
 _SERIES_SQL = (
