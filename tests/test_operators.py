@@ -221,3 +221,46 @@ def test_clusters_settle(spark):
     assert clustered.count() == 300 and clusters.settled_kmeans(df.limit(0), ["lon", "lat"], 12)[1] == []
     # two rounds, as the query with SQL has, are not settled clusters
     assert clusters.jump_method(df, ["lon", "lat"], 6, rounds=2)[1][5][1] != pytest.approx(want[5], rel=1e-6)
+
+
+def test_density_clusters_write_few_rows(spark, monkeypatch):
+    """Crowded cells next to each other: no row for each pair of finer cells."""
+    draw = random.Random(11)
+    cloud = [(i, draw.randint(0, 1200) / 1000.0, draw.randint(0, 1200) / 1000.0) for i in range(6000)]
+    written, cut = [], clusters.cut_lineage
+    monkeypatch.setattr(clusters, "cut_lineage", lambda df: (lambda out: written.append(out.count()) or out)(cut(df)))
+    rows = clusters.density_clusters(spark.createDataFrame(cloud, "fid long, lon double, lat double"), 0.2, 4).collect()
+    assert {(r.cluster, r.core) for r in rows} == {(0, True)} and len(rows) == len(cloud)
+    assert sum(written) < 10 * len(cloud)
+
+
+def test_tube_pairs_come_once(spark):
+    """Ids that repeat at one place, and at another place and time, meet a track in one row."""
+    from datetime import datetime, timedelta
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    features = [(1, at(30), 0.5, 0.0), (1, at(30), 0.5, 0.0), (2, at(10), 0.1666, 0.0), (2, at(200), 3.33, 0.0), (3, at(60), 1.0, 0.0), (4, at(60), 1.0, 3.0), (None, at(5), 0.08, 0.0)]
+    segments = [("t", at(0), at(60), 0.0, 0.0, 1.0, 0.0), ("t", at(60), at(300), 1.0, 0.0, 5.0, 0.0)]
+    found = process.tube_select(spark.createDataFrame(features, "fid long, ts timestamp_ntz, lon double, lat double"),
+                                spark.createDataFrame(segments, "track string, t1 timestamp_ntz, t2 timestamp_ntz, x1 double, y1 double, x2 double, y2 double"), 20_000.0, 50.0)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "t"), (2, "t"), (3, "t"), (None, "t")]
+
+
+def test_tube_pairs_are_not_shuffled(spark):
+    """The only exchanges are those of the join: pairs are made distinct where they arise."""
+    import re
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        segments = spark.range(50).selectExpr("concat('t', id % 7) AS track", "timestamp_ntz'2024-01-01 00:00:00' AS t1", "timestamp_ntz'2024-01-01 02:00:00' AS t2",
+                                              "id / 50D AS x1", "0D AS y1", "id / 40D AS x2", "0.2D AS y2")
+        features = spark.range(50).selectExpr("id AS fid", "timestamp_ntz'2024-01-01 01:00:00' AS ts", "id / 50D AS lon", "0.1D AS lat")
+        plan = process.tube_select(features, segments, 20_000.0, 50.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+
+
+def test_settled_centres_take_rows_without_a_place(spark):
+    """The nearest centre as plain arithmetic: ties to the smaller number, a row without a place in cluster 0."""
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 2.0, 0.0), (4, None, 1.0)], "fid long, lon double, lat double")
+    rows = clusters._nearest_of(df, ["lon", "lat"], [(0.0, 0.0), (2.0, 0.0)]).orderBy("fid").collect()
+    assert [(r.cluster, r.distance) for r in rows] == [(0, 0.0), (0, 1.0), (1, 0.0), (0, None)]

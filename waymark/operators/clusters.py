@@ -35,6 +35,16 @@ def _nearest(columns: Sequence[str]) -> Column:
         reduce(lambda a, b: a + b, [gap(c, x) * gap(c, x) for x in columns]).alias("d"), c["cluster"].alias("cluster"))))
 
 
+def _nearest_of(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]]) -> DataFrame:
+    """Rows with the ``cluster`` and squared ``distance`` of the nearest of some centres, written out as plain arithmetic; ties to
+    the smaller number. A row without a place is in cluster 0 and has no distance, as in :func:`_nearest`."""
+    gaps = {f"_d{n}": reduce(lambda a, b: a + b, [(F.col(x) - F.lit(v)) * (F.col(x) - F.lit(v)) for x, v in zip(columns, c, strict=True)]) for n, c in enumerate(centres)}
+    known = reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in gaps])
+    near = df.withColumns(gaps).withColumn("distance", F.when(known, F.least(*gaps, F.lit(float("nan")))))  # NaN is the largest
+    number = reduce(lambda rest, n: F.when(F.col(f"_d{n}") == F.col("distance"), n).otherwise(rest), reversed(range(len(centres))), F.lit(0))
+    return near.withColumn("cluster", number).select(*df.columns, "cluster", "distance")
+
+
 def group_kmeans(
     df: DataFrame, columns: Sequence[str], k: int, by: Sequence[str] = (), rounds: int = 10, fid: str = "fid", seed: str = "kmeans",
 ) -> tuple[DataFrame, DataFrame]:
@@ -73,10 +83,8 @@ def settled_kmeans(df: DataFrame, columns: list[str], k: int, fid: str = "fid",
     centres = [tuple(float(v) for v in r) for r in first.select(*columns).collect()]  # k rows
     if not centres:
         return df.withColumn("cluster", F.lit(None).cast("int")).withColumn("distance", F.lit(None).cast("double")), []
-    kind = "array<struct<cluster:int," + ",".join(f"`{c}`:double" for c in columns) + ">>"
     for _ in range(ROUNDS):
-        row = df.sparkSession.createDataFrame([([(n, *c) for n, c in enumerate(centres)],)], f"_centres {kind}")  # one row
-        best = df.crossJoin(F.broadcast(row)).withColumn("_best", _nearest(columns)).withColumn("cluster", F.col("_best.cluster")).withColumn("distance", F.col("_best.d")).drop("_best", "_centres")
+        best = _nearest_of(df, columns, centres)
         means = {r[0]: tuple(r[1:]) for r in best.groupBy("cluster").agg(*[F.avg(c) for c in columns]).collect()}  # at most k rows
         after = [tuple(m if m is not None else o for m, o in zip(means.get(n, c), c, strict=True)) for n, c in enumerate(centres)]
         if all(abs(x - y) <= 1e-12 * max(abs(v) for o in centres for v in o) for o, m in zip(centres, after, strict=True) for x, y in zip(o, m, strict=True)):
@@ -218,31 +226,41 @@ def density_clusters(df: DataFrame, eps: float, min_points: int, fid: str = "fid
     thin_links = pairs(core.filter(~F.col("crowded")).drop("w"), core).select(
         node("cx", "cy").alias("a"), node("kx", "ky").alias("b")).distinct()
 
-    # crowded next to crowded: finer cells decide where their corners allow it
-    fine = side / _SUB
-    crowded = core.filter("crowded").withColumn("sx", cell("x", fine)).withColumn("sy", cell("y", fine))
-    # corner distances may be off by a rounding error, so "sure" asks for a little less than eps
-    far = lambda i, j: ((abs(i) + 1) ** 2 + (abs(j) + 1) ** 2) * fine * fine
-    near = lambda i, j: (max(abs(i) - 1, 0) ** 2 + max(abs(j) - 1, 0) ** 2) * fine * fine
-    reach = int(np.ceil(eps / fine)) + 1
-    fine_offsets = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if near(i, j) <= eps * eps * (1 + 1e-9)]
-    sub = crowded.select("cx", "cy", "sx", "sy").distinct()
-    spread = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(far(i, j) <= eps * eps * (1 - 1e-9)).alias("sure")) for i, j in fine_offsets])
-    met = sub.select("*", F.inline(spread)).select(
-        "cx", "cy", "sx", "sy", "sure", (F.col("sx") + F.col("i")).alias("tx"), (F.col("sy") + F.col("j")).alias("ty")).join(
-        sub.select(F.col("cx").alias("kx"), F.col("cy").alias("ky"), F.col("sx").alias("tx"), F.col("sy").alias("ty")), ["tx", "ty"]).filter(
-        (F.col("cx") < F.col("kx")) | ((F.col("cx") == F.col("kx")) & (F.col("cy") < F.col("ky"))))
-    met = cut_lineage(met)
-    sure = met.filter("sure").select("cx", "cy", "kx", "ky").distinct()
-    open_sub = met.filter(~F.col("sure")).join(sure, ["cx", "cy", "kx", "ky"], "left_anti")
-    left = crowded.select("sx", "sy", "x", "y")
-    right = crowded.select(F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    # crowded next to crowded: each cell's farthest place towards a neighbour and the neighbour's farthest towards it link most pairs
+    crowded = core.filter("crowded")
+    towards = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"t{n}.x").alias("x"), F.col(f"t{n}.y").alias("y")) for n, (i, j) in enumerate(near_cells)]
+    ends = cut_lineage(crowded.groupBy("cx", "cy").agg(*[
+        F.max(F.struct(F.col("x") * i + F.col("y") * j, "x", "y")).alias(f"t{n}") for n, (i, j) in enumerate(near_cells)]).select("cx", "cy", F.inline(F.array(*towards))))
+    there = ends.select(F.col("cx").alias("kx"), F.col("cy").alias("ky"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    here = ends.filter("i > 0 OR i = 0 AND j > 0").withColumn("kx", F.col("cx") + F.col("i")).withColumn("ky", F.col("cy") + F.col("j"))
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    tested = salted_join(left, open_sub, ["sx", "sy"], ["x", "y"])
-    tested = salted_join(right, tested, ["tx", "ty"], ["ox", "oy"]).filter(dx * dx + dy * dy <= F.lit(eps * eps)).select("cx", "cy", "kx", "ky").distinct()
-    dense_links = sure.unionByName(tested).select(node("cx", "cy").alias("a"), node("kx", "ky").alias("b"))
-
-    labels = components(core_cells.select(node("cx", "cy").alias("node")), thin_links.unionByName(dense_links).filter(F.col("a") != F.col("b")))
+    faced = cut_lineage(here.join(there, ["kx", "ky", "i", "j"]).select("cx", "cy", "kx", "ky", (dx * dx + dy * dy <= F.lit(eps * eps)).alias("met")))
+    as_link = [node("cx", "cy").alias("a"), node("kx", "ky").alias("b")]
+    labels = components(core_cells.select(node("cx", "cy").alias("node")), thin_links.unionByName(faced.filter("met").select(*as_link)).filter(F.col("a") != F.col("b")))
+
+    # pairs that are in one component need no more; for the others finer cells decide where their corners allow it
+    label_of = lambda at, name: labels.select(F.col("node").alias(at), F.col("label").alias(name))
+    apart = faced.filter(~F.col("met")).select("cx", "cy", "kx", "ky", *as_link)
+    apart = cut_lineage(apart.join(label_of("a", "la"), "a").join(label_of("b", "lb"), "b").filter(F.col("la") != F.col("lb")).drop("a", "b"))
+    if not apart.isEmpty():
+        fine = side / _SUB
+        # corner distances may be off by a rounding error, so "sure" asks for a little less than eps
+        i, j = F.abs(F.col("sx") - F.col("tx")), F.abs(F.col("sy") - F.col("ty"))
+        beyond = lambda d: F.greatest(d - 1, F.lit(0))
+        far = ((i + 1) * (i + 1) + (j + 1) * (j + 1)) * F.lit(fine * fine) <= F.lit(eps * eps * (1 - 1e-9))
+        near = (beyond(i) * beyond(i) + beyond(j) * beyond(j)) * F.lit(fine * fine) <= F.lit(eps * eps * (1 + 1e-9))
+        sub = crowded.select("cx", "cy", cell("x", fine).alias("sx"), cell("y", fine).alias("sy")).distinct()
+        there = sub.select(F.col("cx").alias("kx"), F.col("cy").alias("ky"), F.col("sx").alias("tx"), F.col("sy").alias("ty"))
+        met = apart.join(sub, ["cx", "cy"]).join(there, ["kx", "ky"]).filter(near).withColumn("sure", far)
+        sure = cut_lineage(met.filter("sure").select("la", "lb").distinct())
+        open_sub = cut_lineage(met.filter(~F.col("sure")).join(sure, ["la", "lb"], "left_anti").select("cx", "cy", "kx", "ky", "sx", "sy", "tx", "ty", "la", "lb"))
+        fine_at = [cell("x", fine), cell("y", fine)]
+        left = crowded.select("cx", "cy", fine_at[0].alias("sx"), fine_at[1].alias("sy"), "x", "y")
+        right = crowded.select(F.col("cx").alias("kx"), F.col("cy").alias("ky"), fine_at[0].alias("tx"), fine_at[1].alias("ty"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+        tested = salted_join(left, open_sub, ["cx", "cy", "sx", "sy"], ["x", "y"])
+        tested = salted_join(right, tested, ["kx", "ky", "tx", "ty"], ["ox", "oy"]).filter(dx * dx + dy * dy <= F.lit(eps * eps)).select("la", "lb").distinct()
+        over = components(labels.select(F.col("label").alias("node")).distinct(), sure.unionByName(tested).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        labels = cut_lineage(labels.withColumnRenamed("label", "under").join(over.withColumnRenamed("node", "under"), "under").select("node", "label"))
     # a cluster is named by the smallest id among its core points
     labelled = cut_lineage(core.withColumn("node", node("cx", "cy")).join(labels, "node").join(places.select("x", "y", "low"), ["x", "y"]))
     names = labelled.groupBy("label").agg(F.min("low").alias("cluster"))
