@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from waymark.functions import cells, draws, geo
-from waymark.operators.skew import join_measured, salted_join
+from waymark.operators.skew import join_measured, null_safe_join, salted_join
 from waymark.session import cut_lineage
 
 
@@ -219,9 +219,20 @@ def tube_select(
             "b": F.floor(F.col("t") / w), "cx": cell(F.col("fx")), "cy": cell(F.col("fy"))})
     r = (F.col("t") - F.col("s1")) / (F.col("s2") - F.col("s1"))
     dx, dy = F.col("fx") - at("ax", "bx", r), F.col("fy") - at("ay", "by", r)
-    joined = salted_join(f, s, ["b", "cx", "cy"], ["fid"], rows_per_task=rows_per_task)
-    return joined.filter(F.col("t").between(F.col("s1"), F.col("s2")) & (dx * dx + dy * dy <= F.lit(metres * metres))).select(
-        "fid", "track").distinct()
+    key = ["b", "cx", "cy"]
+
+    def met(rows: DataFrame) -> DataFrame:
+        joined = salted_join(rows, s, key, ["fid"], rows_per_task=rows_per_task)
+        near = joined.filter(F.col("t").between(F.col("s1"), F.col("s2")) & (dx * dx + dy * dy <= F.lit(metres * metres)))
+        # with the key of the join, so that repeated pairs go where they arise and are not shuffled
+        return near.select(*key, "fid", "track").distinct().select("fid", "track")
+
+    # an id at one time and place meets a track under one key; repeated ids at several do not
+    several = cut_lineage(f.groupBy("fid").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("z")).filter(F.col("a") != F.col("z")).select("fid"))
+    if several.isEmpty():
+        return met(f)
+    apart = [null_safe_join(f, several, ["fid"], how) for how in ("left_anti", "left_semi")]
+    return met(apart[0]).unionByName(met(apart[1]).distinct())
 
 
 # ---- choice --------------------------------------------------------------------------------------
