@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.functions.times import ALL_TIME
+from waymark.operators import polygons
 from waymark.operators.polygons import polygons_in_windows, rings_edges
 from waymark.operators.windows import WindowRow, box_shape, buffer_shape, polygon_shape, window_set
 
@@ -109,3 +110,16 @@ def test_plan_has_no_cross_join(spark, features):
     ws = window_set(spark, WINDOWS.values(), [WindowRow(n, n, ALL_TIME) for n in WINDOWS])
     plan = polygons_in_windows(features, ws)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_features_far_from_all_windows_go_first(spark, features, monkeypatch):
+    """Only features whose box meets a window's box are looked at edge by edge, not all within the windows' envelope."""
+    seen = []
+    known = polygons.tracks_meeting_shapes
+    monkeypatch.setattr(polygons, "tracks_meeting_shapes", lambda segments, *rest: seen.append(segments) or known(segments, *rest))
+    corners = {n: box_shape(n, b) for n, b in {"low": (-90, -90, -89, -89), "high": (104, 54, 105, 55), "in high": (104, 54, 104.5, 55)}.items()}
+    ws = window_set(spark, corners.values(), [WindowRow(n, n, ALL_TIME) for n in corners])
+    found = {tuple(r) for r in polygons_in_windows(features, ws).collect()}
+    assert found == {(3, "low"), (7, "high"), (7, "in high")}
+    assert {r[0].fid for r in seen[0].select("_f").distinct().collect()} == {3, 7}
+    assert len(polygons.window_boxes(ws)) == 2

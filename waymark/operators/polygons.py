@@ -11,14 +11,18 @@ Towards a buffer edges are straight on the Web Mercator map; its centre is teste
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.functions import cells, geo
 from waymark.functions.times import TimeSpan, in_span
 from waymark.operators.skew import salted_join
 from waymark.operators.tracks import tracks_meeting_shapes
-from waymark.operators.windows import EVERYWHERE, WindowSet, match_times
+from waymark.operators.windows import EVERYWHERE, Box, WindowSet, match_times
 
+MAX_BOXES = 64  # of windows that a feature's box is held against before its edges are looked at
 LEVELS = 16  # levels at which features may be looked up; larger cells hold larger features
 
 
@@ -63,6 +67,14 @@ def _features_around(features: DataFrame, ws: WindowSet, key: str) -> DataFrame:
     return salted_join(candidates, features.select(key, "edges"), [key], ["geom_id", "px", "py"]).filter(inside).select(key, "geom_id").distinct()
 
 
+def window_boxes(ws: WindowSet) -> list[Box]:
+    """Boxes that hold all shapes of the windows: those of the shapes that lie in no other's, or their envelope if these are many."""
+    boxes = {s.box for s in ws.shapes}
+    holds = lambda a, b: a[0] <= b[0] and a[1] <= b[1] and a[2] >= b[2] and a[3] >= b[3]
+    outer = sorted(b for b in boxes if not any(a != b and holds(a, b) for a in boxes))
+    return outer if 0 < len(outer) <= MAX_BOXES else [ws.envelope]
+
+
 def polygons_in_windows(features: DataFrame, ws: WindowSet, time_col: str = "day", fid: str = "fid") -> DataFrame:
     """``fid, name`` of polygon features (``edges``, see :func:`rings_edges`) that meet the windows' shapes, boundaries included.
 
@@ -74,9 +86,12 @@ def polygons_in_windows(features: DataFrame, ws: WindowSet, time_col: str = "day
     if not ws.spatial:
         met = features.select("_f", F.lit(EVERYWHERE).alias("geom_id")).distinct()
     else:
-        boxed = features.select("_f", "edges", *[c.alias(n) for c, n in zip(edges_box(F.col("edges")), ("xmin", "ymin", "xmax", "ymax"), strict=True)])
+        # inlined, so that a feature's box is worked out once and not again for each comparison of the filter
+        names = ("xmin", "ymin", "xmax", "ymax")
+        box = F.struct(*[c.alias(n) for c, n in zip(edges_box(F.col("edges")), names, strict=True)])
+        boxed = features.select("_f", "edges", F.inline(F.array(box)))
         if ws.envelope:
-            boxed = boxed.filter(geo.boxes_meet([F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], [F.lit(v) for v in ws.envelope]))
+            boxed = boxed.filter(reduce(or_, [geo.boxes_meet([F.col(c) for c in names], [F.lit(v) for v in b]) for b in window_boxes(ws)]))
         boundary = tracks_meeting_shapes(boxed.select("_f", F.inline("edges")), ws, "_f")
         met = boundary.unionByName(_features_around(boxed, ws, "_f")).distinct()
     rows = met.select(F.col("_f.fid").alias(fid), F.col("_f.at").alias(time_col), "geom_id")

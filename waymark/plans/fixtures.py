@@ -88,12 +88,12 @@ RING_SHAPES = {
 
 
 def geo_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polygon features at each order's point: fid, day, city, rings. Every third has a hole, every fifth a second part."""
+    """Polygon features at each order's point: fid, day, city, custkey, rings. Every third has a hole, every fifth a second part."""
     width = (F.col("fid") % 17 + 1).cast("double") / F.lit(4.0)
     ring = lambda name: F.array(*[F.struct((F.col("lon") + width * F.lit(x)).alias("x"), (F.col("lat") + width * F.lit(y)).alias("y")) for x, y in RING_SHAPES[name]])
     none = F.array().cast(f"array<{geo.RING_TYPE}>")
     rings = F.concat(F.array(ring("outer")), F.when(F.col("fid") % 3 == 0, F.array(ring("hole"))).otherwise(none), F.when(F.col("fid") % 5 == 0, F.array(ring("part"))).otherwise(none))
-    return geo_orders(spark, sf_dir).select("fid", "day", "city", rings.alias("rings"))
+    return geo_orders(spark, sf_dir).select("fid", "day", "city", "custkey", rings.alias("rings"))
 
 
 def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ from waymark.sources import geojson
 
 
 def _features(spark, sf):
-    return geo_rings(spark, sf).select("fid", "day", rings_edges(F.col("rings")).alias("edges"))
+    # an order of no customer has no site; compiled, Spark's element_at takes the last one for it
+    return geo_rings(spark, sf).select("fid", "day", F.when(F.col("custkey").isNotNull(), rings_edges(F.col("rings"))).alias("edges"))
 
 
 # Boundaries as segments, and vertices of the shapes in the features: an odd number of a feature's edges to their right.
