@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from waymark.operators import nearest
 from waymark.operators.nearest import k_nearest
 
 
@@ -34,3 +35,16 @@ def test_against_brute_force(spark, k, limit):
 def test_few_rows(spark, rows):
     df = spark.createDataFrame(rows, "fid long, lon double, lat double")
     assert sorted(map(tuple, k_nearest(df, 2).collect())) == brute(rows, 2)
+
+
+def test_own_leaf_is_compared_at_once(spark):
+    """Leaves that go on in the next batch; lists of the place's own leaf alone."""
+    rows = [(i, float(i % 5), float(i % 3), i // 20) for i in range(60)]
+    tree = spark.createDataFrame(rows, "fid long, x double, y double, cx long").selectExpr(
+        "2 AS lv", "cx", "0L AS cy", "x", "y", "array(fid) AS ids", "false AS crowded")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.ids[0]: [tuple(b) for b in r.best] for r in nearest._own_best(tree, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: sorted(((x - a) * (x - a) + (y - b) * (y - b), j) for j, a, b, d in rows if d == c)[:5] for i, x, y, c in rows}
