@@ -51,6 +51,28 @@ def test_examples_hold_their_context(spark):
     assert {c: n for c, n in total.items() if n} == dict(seen)
 
 
+def test_examples_are_written_out(spark):
+    """Every example is in the written rows with its whole context, in pieces where it is long; escapes may be cut by them."""
+    long = [(7, i, "assistant" if i % 2 else "user", "\\" * (chat.PIECE // 2 - 20 + i) + "</s>[INST]" * (40 * i) + "é😀") for i in range(7)]
+    rows = TURNS + long + [(8, i, "assistant", f"{i} ") for i in range(2100)]
+    written = chat.write_chat(spark.createDataFrame(rows, SCHEMA))
+    texts = {}
+    for r in sorted(written.collect(), key=lambda r: r.piece):
+        assert r.start == len(texts.setdefault((r.conv_id, r.place), "")) and 0 < len(r.text) <= 2 * chat.PIECE
+        texts[r.conv_id, r.place] += r.text
+    turns = {}
+    for c, t, r, x in sorted(rows, key=lambda v: (v[0] is None, v[0] or 0, v[1] is not None, v[1] or 0, v[2] or "", v[3] or "")):
+        turns.setdefault(c, []).append((r or "", x or ""))
+    expected = {(c, n + 1) for c, all_ in turns.items() for n, (r, _) in enumerate(all_) if r == "assistant" or n + 1 == len(all_)}
+    assert set(texts) == expected
+    for (c, place), text in texts.items():
+        if c != 8 or place % 100 == 0:
+            assert [chat.read_turn(m[0]) for m in chat._TURN.finditer(text)] == turns[c][:place]
+    got = {r.conv_id: r for r in chat.read_back(written).collect()}
+    assert {c: tuple(r)[1:5] for c, r in got.items()} == brute_chat(rows)
+    assert all(r.formatted_chars == sum(len(t) for (i, p), t in texts.items() if i == c and turns[c][p - 1][0] == "assistant") for c, r in got.items())
+
+
 def exact(vectors, k):
     out = {}
     for i, q in vectors:
