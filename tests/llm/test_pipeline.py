@@ -56,6 +56,21 @@ def test_language_drops_what_was_not_learned(spark, stages):
         assert n.get(False, 0) <= 0.1 * after.filter(F.col("lang") == out).count()
 
 
+def test_language_learns_from_every_labelled_row(spark, monkeypatch):
+    """The trees hold the counts of all labelled texts: more than 500 of a label, long ones, and the whole of each."""
+    texts = [(i, "en", f"row {i} tells of wind and weather over the hills") for i in range(1200)]
+    texts += [(1200, "en", "a long tale " * 30_000), (None, "fr", "le vent et la pluie"), (1201, "fr", "la pluie et le soleil"), (1202, None, "zzz"), (1203, "fr", None)]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    seen = []
+    monkeypatch.setattr(language, "freeze", lambda names, lang, gram, n, f=language.freeze: seen.append(
+        {name: int(n[lang == i].sum()) for i, name in enumerate(names)}) or f(names, lang, gram, n))
+    kept = language.known_language(docs)
+    size = {name: sum(len(t) for _, label, t in texts if label == name and t) for name in ("en", "fr")}
+    assert seen[0] == size
+    assert {name: sum(s.get(name, 0) for s in seen[1:]) for name in size} == size  # each half once
+    assert kept.filter("lang IS NOT NULL").count() == 1203
+
+
 def test_one_of_each_group(stages):
     _, before, after = stages[1]
     docs = sorted(before.collect(), key=lambda r: r.doc_id)

@@ -9,6 +9,8 @@ statistics are frozen, every (context, byte) cost is worked out once, and a text
 entries over all its bytes. A text starts as if behind line breaks; A-Z is lower-cased.
 
 The tables hold (contexts x byte values x languages) floats: some 50 MB for four languages, bounded by the sample.
+``known_language`` learns from all labelled documents of any length in place of the sample; its tables are bounded by the
+contexts of three bytes that occur.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is everything when nothing was learned.
 Null labels teach nothing; a null id is in training. Equal code lengths go to the first label in code point order. The
@@ -22,10 +24,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.words import LOWER, flat, stretches
+from waymark.operators.quantiles import bounded_quantiles
 from waymark.session import cut_lineage
 
 ORDER = 3
@@ -67,20 +71,44 @@ def _padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, own
 
 
-def gram_counts(sample: DataFrame) -> DataFrame:
-    """``lang, gram, n``: each byte with the three before it, as one number."""
+def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, of = np.unique(np.concatenate([g for g, _ in counts]), return_inverse=True)
+    return grams, np.bincount(of, np.concatenate([n for _, n in counts]), len(grams)).astype(np.int64)
+
+
+def gram_counts(sample: DataFrame, part: Column | None = None) -> DataFrame:
+    """``lang, part, gram, n``: each byte with the three before it, as one number; a task adds up before it gives counts out."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
-            data, bounds = flat(batch.column(1))
-            for name in sorted(set(langs)):
-                for i in np.flatnonzero(langs == name):
-                    bytes_, own = _padded(data[bounds[i]:bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))
-                    b = bytes_.astype(np.int64)
-                    gram, n = np.unique(((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:])[own[3:]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+        held: dict[tuple, list] = {}
 
-    return sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        def given() -> Iterator[pa.RecordBatch]:
+            for (name, p), counts in held.items():
+                gram, n = _merged(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array([p] * len(gram), pa.int32()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())],
+                                                 ["lang", "part", "gram", "n"])
+            held.clear()
+
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                rows.setdefault(key, []).append(i)
+            for key, own_rows in rows.items():
+                data, bounds = flat(batch.column(1).take(pa.array(own_rows)))
+                for i, j in stretches(bounds, _PIECE):
+                    bytes_, own = _padded(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
+                    for a in range(0, len(bytes_) - ORDER, 4 * _PIECE):
+                        b = bytes_[a:a + 4 * _PIECE + ORDER].astype(np.uint32)
+                        gram = ((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:])[own[a + ORDER:a + 4 * _PIECE + ORDER]]
+                        held.setdefault(key, []).append(np.unique(gram, return_counts=True))
+            if sum(len(g) for counts in held.values() for g, _ in counts) > 2 * _PIECE:
+                held = {key: [_merged(counts)] for key, counts in held.items()}
+                if sum(len(counts[0][0]) for counts in held.values()) > _PIECE:
+                    yield from given()
+        yield from given()
+
+    rows = sample.select("lang", "text", (F.lit(0) if part is None else part).cast("int").alias("part"))
+    return rows.mapInArrow(count, "lang string, part int, gram bigint, n bigint").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
 
 
 def freeze(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
@@ -134,12 +162,18 @@ def learn(docs: DataFrame, per_language: int = 400, **names: str) -> Model | Non
 
 
 def fit(sample: DataFrame) -> Model | None:
-    counts = gram_counts(sample).toPandas()
-    if counts.empty:
+    return _model(gram_counts(sample).toArrow())
+
+
+def _model(counts: pa.Table) -> Model | None:
+    """The frozen trees of all languages in a table of gram counts; counts of one gram are added up."""
+    if not counts.num_rows:
         return None
-    languages = sorted(counts["lang"].unique())
-    lang = counts["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
-    return freeze(languages, lang, counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
+    names = pa.concat_arrays(counts["lang"].chunks).dictionary_encode()
+    found = names.dictionary.to_pylist()
+    languages = sorted(found)
+    lang = np.array([languages.index(name) for name in found])[names.indices.to_numpy()]
+    return freeze(languages, lang, counts["gram"].to_numpy().astype(np.int64), counts["n"].to_numpy().astype(np.float64))
 
 
 def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
@@ -201,26 +235,41 @@ def _letters(text: str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", " "), r"[^\p{L}\p{M}]++", " "))
 
 
-def known_language(docs: DataFrame, excess: float = 1.1, spreads: float = 6.0, per_language: int = 500, text: str = "text", **names: str) -> DataFrame:
+def known_language(docs: DataFrame, excess: float = 1.1, spreads: float = 6.0, per_language: int | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without those in a language that was not learned.
 
-    Every fifth row of the labelled sample is kept out of the trees and tells how many bits a byte of the language's
-    letters typically takes (the median), and their spread. A document stays if its best language codes its letters with
-    at most ``excess`` times that rate more, or ``spreads`` standard deviations if these are wider. Digits, marks and
-    addresses tell no language and are not looked at; a text whose words all hold some stays. Null texts and those
-    without a letter go, and all go when nothing was learned. A label with fewer than five rows takes the widest limit.
+    All labelled documents count, whole and in no sample. They are dealt into two halves by a hash of the id: trees of each
+    half code the other one, which tells how many bits a byte of the language's letters typically takes where it was not
+    learned by heart (the median), and their spread. The trees of both halves together then code all documents.
+    A document stays if its best language codes its letters with at most ``excess`` times that rate more, or ``spreads``
+    standard deviations if these are wider. Digits, marks and addresses tell no language and are not looked at; a text whose
+    words all hold some stays. Null texts and those without a letter go, and all go when nothing was learned. A label
+    with rows in one half only takes the widest limit. ``per_language`` asks for a bounded sample of each label in place of all.
     """
     columns = docs.columns
-    sample = cut_lineage(labelled_sample(docs, per_language, text=text, **names))
-    model = fit(sample.filter("n % 5 <> 0 OR n IS NULL"))
+    half = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(2)).cast("int")
+    if per_language is None:
+        rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), half.alias("half"))
+    else:
+        rows = cut_lineage(labelled_sample(docs, per_language, doc_id=doc_id, text=text, lang=lang).select("lang", "text", (F.col("n") % 2).alias("half")))
+    counts = gram_counts(rows, F.col("half")).toArrow()  # bounded by the grams of four bytes that occur
+    model = _model(counts)
     if model is None:
         return docs.limit(0)
     over = lambda m: (F.col("bits") - F.col("size") * m) / (F.col("size") + _SOFT)
-    held = _coded(sample.filter("n % 5 = 0"), model, F.col("lang"), F.lit(True), _letters("text")).filter("size > 0")
-    rates = held.groupBy(F.col("kept").alias("lang_pred")).agg(F.percentile(F.col("bits") / F.col("size"), 0.5).alias("rate"))
-    wide = held.join(F.broadcast(rates), F.col("kept") == rates["lang_pred"]).groupBy(rates["lang_pred"], "rate").agg(
-        ((F.percentile(over(F.col("rate")), 0.9) - F.percentile(over(F.col("rate")), 0.1)) / 2.56).alias("spread"))
-    found = {r.lang_pred: (r.rate, max(excess * r.rate, spreads * r.spread)) for r in wide.collect()}  # a row per language
+    coded = []
+    for i in (0, 1):
+        other = _model(counts.filter(pc.equal(counts["part"], 1 - i)))
+        if other is not None:
+            theirs = rows.filter((F.col("half") == i) & F.col("lang").isin(other.languages))
+            coded.append(_coded(theirs, other, F.col("lang"), F.lit(True), _letters("text")).filter("size > 0").select(F.col("kept").alias("lang"), "bits", "size"))
+    found = {}
+    if coded:
+        held = cut_lineage(coded[0].unionByName(coded[1]) if len(coded) > 1 else coded[0])
+        rates = cut_lineage(bounded_quantiles(held.withColumn("v", F.col("bits") / F.col("size")), "v", [0.5], ["lang"]).select("lang", F.col("q")[0].alias("rate")))
+        wide = held.join(F.broadcast(rates), "lang")  # a row per language
+        wide = bounded_quantiles(wide.withColumn("v", over(F.col("rate"))), "v", [0.1, 0.9], ["lang"]).join(F.broadcast(rates), "lang")
+        found = {r.lang: (r.rate, max(excess * r.rate, spreads * (r.q[1] - r.q[0]) / 2.56)) for r in wide.collect()}
     widest = max(found.values(), key=sum, default=(8.0, 8.0))
     limits = docs.sparkSession.createDataFrame([(n, *found.get(n, widest)) for n in model.languages], "lang_pred string, rate double, allowed double")
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
