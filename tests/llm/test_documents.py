@@ -290,6 +290,19 @@ def test_code_lengths_are_those_of_the_tree():
         assert got[i] == pytest.approx(want, rel=1e-5) and pieces[i] == pytest.approx(want, rel=1e-5)
 
 
+def test_a_long_text_takes_little_memory():
+    """Working memory of a text of 12 MB is a few bytes a byte."""
+    import tracemalloc
+
+    model = language.freeze(["en"], np.zeros(1, int), np.array([int.from_bytes(b"ab a", "big")]), np.ones(1))
+    text = pa.array(["ab cd " * (1 << 21)])
+    tracemalloc.start()
+    bits = language.code_lengths(model, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bits[0, 0] > 0 and peak < 8 * text.nbytes
+
+
 def test_languages_of_odd_texts(spark, odd, empty):
     model = language.learn(with_clashes(odd), per_language=50)
     rows = language.identify(with_clashes(odd), model, F.col("doc_id")).collect()

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from conftest import words
 from pyspark.sql import functions as F
@@ -28,6 +29,21 @@ def test_order_and_columns(stages):
     assert all(after.columns == before.columns for _, before, after in stages[:-1])
 
 
+def test_every_stage_bounds_its_batches(spark, sf, stages):
+    """Batches to Python hold few MB of text after a stage was called by itself, however large the session's own are."""
+    texts = spark.range(200, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    for (name, stage), (_, given, _) in zip(corpus_pipeline.STAGES, stages, strict=True):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+        stage(spark, given, sf)
+        largest = max(r.n for r in texts.mapInArrow(sizes, "n bigint").collect())
+        assert largest <= ((4 if name == "language" else 16) << 20) + 200_000
+
+
 def test_language_keeps_what_was_learned(stages):
     _, before, after = stages[0]
     assert rows(after) == Counter(tuple(r) for r in before.collect() if any(c.isalpha() for c in r.text or ""))

@@ -34,7 +34,8 @@ from waymark.session import cut_lineage
 
 ORDER = 3
 UNKNOWN = "und"
-_PIECE = 1 << 20
+_PIECE = 1 << 18  # bytes of text that are worked on at once
+_HELD = 1 << 19  # grams that a task holds before it gives counts out
 
 
 class Model(NamedTuple):
@@ -65,6 +66,8 @@ def labelled_sample(docs: DataFrame, per_language: int = 400, longest: int = 200
 def _padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts with ``ORDER`` line breaks before each, and which bytes are the texts' own."""
     lengths = np.diff(bounds)
+    if len(lengths) == 1:  # of any length: no numbers of its places
+        return np.append(np.full(ORDER, 10, np.uint8), LOWER[data]), np.append(np.zeros(ORDER, bool), np.ones(len(data), bool))
     place = np.arange(len(data)) + ORDER * (np.repeat(np.arange(len(lengths)), lengths) + 1)
     out, own = np.full(len(data) + ORDER * len(lengths), 10, np.uint8), np.zeros(len(data) + ORDER * len(lengths), bool)
     out[place], own[place] = LOWER[data], True
@@ -101,9 +104,9 @@ def gram_counts(sample: DataFrame, part: Column | None = None) -> DataFrame:
                         b = bytes_[a:a + 4 * _PIECE + ORDER].astype(np.uint32)
                         gram = ((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:])[own[a + ORDER:a + 4 * _PIECE + ORDER]]
                         held.setdefault(key, []).append(np.unique(gram, return_counts=True))
-            if sum(len(g) for counts in held.values() for g, _ in counts) > 2 * _PIECE:
+            if sum(len(g) for counts in held.values() for g, _ in counts) > 2 * _HELD:
                 held = {key: [_merged(counts)] for key, counts in held.items()}
-                if sum(len(counts[0][0]) for counts in held.values()) > _PIECE:
+                if sum(len(counts[0][0]) for counts in held.values()) > _HELD:
                     yield from given()
         yield from given()
 
@@ -183,11 +186,10 @@ def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
     last, width = model.costs.shape[1] - 1, model.n_symbols
     for i, j in stretches(bounds, _PIECE):
         padded, own = _padded(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
-        symbols = model.symbol[padded]
         starts = bounds[i:j] - bounds[i] + ORDER * np.arange(j - i)
         # A text longer than a piece is added up piece by piece.
         for a in range(0, len(padded) - ORDER, 4 * _PIECE):
-            s = symbols[a:a + 4 * _PIECE + ORDER]
+            s = model.symbol[padded[a:a + 4 * _PIECE + ORDER]]
             entry = model.context[(s[:-3] * width + s[1:-2]) * width + s[2:-1]] * width + s[3:]
             entry = np.append(np.where(own[a + ORDER:a + ORDER + len(entry)], entry, last), last)
             first = max(0, int(np.searchsorted(starts, a, side="right")) - 1)
