@@ -1,6 +1,7 @@
 """Counts in box windows by sums at their corners, against brute force; slices are cut small, so that all three ways count."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions import cells
 from waymark.operators import ranges, windows
 from waymark.operators.windows import count_extents_in_windows, count_in_windows, selectivity, window_set_from_tables
+from waymark.session import cut_lineage
 
 BOX = "xmin double, ymin double, xmax double, ymax double"
 
@@ -116,3 +118,18 @@ def test_selectivity_held_as_data(spark, rows, no_rows_per_match):
         want[g] = sum(a <= cell(*p)[0] <= d and c <= cell(*p)[1] <= e for p in points), inside(points, b)
     got = {r["name"]: (r["candidates"], r["matches"]) for r in selectivity(df, window_tables(spark, boxes)).collect() if r["name"] in want and r["name"] != "b1"}
     assert got == {g: v for g, v in want.items() if g != "b1"}
+
+
+@pytest.mark.parametrize("ask", [selectivity, count_in_windows])
+def test_windows_beyond_the_limits_stay_out_of_the_driver(spark, rows, monkeypatch, ask):
+    """Joins with a row per window are not broadcast, however small Spark guesses the windows to be."""
+    points, boxes = rows
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points) if known(p[0]) and known(p[1])], "fid long, lon double, lat double")
+    boxes = [b for b in boxes if b[0] != "turned"]
+    ws = window_tables(spark, boxes)
+    want = sorted(map(tuple, ask(df, ws).collect()))
+    join = ranges.salted_join  # what is below the joins with the windows is written, so that only they are in the plan
+    monkeypatch.setattr(ranges, "salted_join", lambda *a, **k: cut_lineage(join(*a, **k)))
+    got = ask(df, replace(ws, small=False))
+    assert sorted(map(tuple, got.collect())) == want and len(want) >= len(boxes)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

@@ -345,12 +345,20 @@ def _in_one_span(features: DataFrame, ws: WindowSet, time_col: str) -> DataFrame
     return features.filter(in_span(F.col(time_col), TimeSpan(lo, hi, True)) & in_span_columns(F.col(time_col), end(lo), end(hi), F.lit(closed)))
 
 
+def _per_window(rows: DataFrame, ws: WindowSet) -> DataFrame:
+    """A side of a join with a row per shape or window. Beyond the limits neither side is broadcast, whatever Spark guesses: it guesses
+    the size of windows from the files they come from, without the rows that ``explode`` makes of one."""
+    return rows if ws.small else rows.hint("merge")
+
+
 def _sums_by_name(per_shape: DataFrame, ws: WindowSet, *columns: str) -> DataFrame:
-    return ws.windows.select("name", "geom_id").join(per_shape, "geom_id").groupBy("name").agg(*[F.sum(c).alias(c) for c in columns])
+    joined = ws.windows.select("name", "geom_id").join(_per_window(per_shape, ws), "geom_id")
+    return joined.groupBy("name").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def _named_counts(per_shape: DataFrame, ws: WindowSet) -> DataFrame:
-    return ws.windows.select("name").join(_sums_by_name(per_shape, ws, "n"), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = _per_window(_sums_by_name(per_shape, ws, "n"), ws)
+    return ws.windows.select("name").join(sums, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def count_in_windows(features: DataFrame, ws: WindowSet, time_col: str = "ts", **options) -> DataFrame:
@@ -384,10 +392,10 @@ def selectivity(features: DataFrame, ws: WindowSet, time_col: str = "ts", **opti
             F.count("*").alias("candidates"), F.count_if("exact").alias("matches"))
     else:
         asked, x, y = _in_one_span(features, ws, time_col), F.col(options.get("lon", "lon")), F.col(options.get("lat", "lat"))
-        per_shape = points_per_cover(asked, ws.geoms, x, y, ws.levels, out="candidates").join(
-            points_per_box(asked.filter(geo.in_box(x, y, ws.envelope)), ws.geoms, x, y, out="matches"), "geom_id", "left")
+        matches = points_per_box(asked.filter(geo.in_box(x, y, ws.envelope)), ws.geoms, x, y, out="matches")
+        per_shape = points_per_cover(asked, ws.geoms, x, y, ws.levels, out="candidates").join(_per_window(matches, ws), "geom_id", "left")
         counts = _sums_by_name(per_shape, ws, "candidates", "matches")
-    counts, covers = (F.broadcast(counts), F.broadcast(covers)) if ws.small else (counts, covers)
+    counts, covers = (F.broadcast(counts), F.broadcast(covers)) if ws.small else (_per_window(counts, ws), _per_window(covers, ws))
     n, m = F.coalesce("candidates", F.lit(0)), F.coalesce("matches", F.lit(0))
     return ws.windows.select("name", "geom_id").join(covers, "geom_id").join(counts, "name", "left").select(
         "name", "cells", "span", n.alias("candidates"), m.alias("matches"),
